@@ -19,8 +19,18 @@ REJECTED = "rejected"
 REFUSED = "refused"
 
 
+def _settled(rows: DataFrame) -> DataFrame:
+    """The same rows, with all columns computed at this point and only once.
+
+    Spark moves a later filter below projections and repeats their expressions in
+    it; here that would parse and judge every entry again. It does not move a
+    filter below a generator.
+    """
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
 def open_envelopes(envelopes: DataFrame, body_limit: int = V.MAX_BODY_BYTES) -> DataFrame:
-    """Add ``problem`` (why the body is refused, NULL if readable) and ``logs`` (its entries)."""
+    """Replace ``body`` by ``problem`` (why it is refused, NULL if readable) and ``logs`` (its entries)."""
     size = F.coalesce(F.octet_length("body"), F.lit(0))
     # parse_json ignores text after the first value. Reading "[body, mark]" and
     # asking for exactly these two elements makes trailing text an error.
@@ -42,55 +52,44 @@ def open_envelopes(envelopes: DataFrame, body_limit: int = V.MAX_BODY_BYTES) ->
             .when(F.col("logs").isNull(), V.BODY_SHAPE),
         )
         .withColumn("logs", F.when(F.col("problem").isNull(), F.col("logs")))
-        .drop("_parsed")
+        .drop("_parsed", "body")
     )
 
 
 def explode_entries(opened: DataFrame) -> DataFrame:
-    """One row per entry with its 0-based ``index``; nothing for refused or empty envelopes."""
-    return opened.select("batch_key", F.posexplode("logs").alias("index", "entry"))
+    """One row per entry with its 0-based ``index``; nothing for refused or empty envelopes.
+
+    The outer form, because for the inner one Spark derives a filter on ``logs`` and
+    pushes it down to the scan, where the body would be parsed once more.
+    """
+    exploded = opened.select("batch_key", F.posexplode_outer("logs").alias("index", "entry"))
+    return exploded.filter(F.col("index").isNotNull())
 
 
 def validate_entries(
     entries: DataFrame, now: datetime, max_service_len: int | None = None
 ) -> DataFrame:
     """Add ``reason`` and the typed log columns to rows with a VARIANT ``entry``."""
-    f = V.entry_fields(F.col("entry"))
     carried = entries.columns
-    extracted = entries.select(
-        *carried,
-        f.timestamp_text.alias("_timestamp"),
-        f.level.alias("level"),
-        f.service.alias("service"),
-        f.service_type.alias("_service_type"),
-        f.message.alias("message"),
-        f.message_type.alias("_message_type"),
-        f.attributes.alias("_attributes"),
-        f.attributes_type.alias("_attributes_type"),
-    )
-    fields = V.EntryFields(
-        timestamp_text=F.col("_timestamp"),
-        level=F.col("level"),
-        service=F.col("service"),
-        service_type=F.col("_service_type"),
-        message=F.col("message"),
-        message_type=F.col("_message_type"),
-        attributes=F.col("_attributes"),
-        attributes_type=F.col("_attributes_type"),
-    )
-    return (
-        extracted.withColumn("timestamp", V.parse_timestamp(F.col("_timestamp")))
+    # Each step is a projection of its own: a value used by several rules is computed once.
+    as_struct = entries.withColumn("_entry", F.col("entry").try_cast(V.ENTRY_STRUCT))
+    parts = {f"_{name}": column for name, column in vars(V.entry_fields(F.col("_entry"))).items()}
+    extracted = as_struct.select(*carried, *[c.alias(name) for name, c in parts.items()])
+    fields = V.EntryFields(**{name[1:]: F.col(name) for name in parts})
+    validated = (
+        extracted.withColumn("timestamp", V.parse_timestamp(fields))
         .withColumn("reason", V.reject_reason(fields, F.col("timestamp"), now, max_service_len))
         .select(
             *carried,
             "reason",
             "timestamp",
-            "level",
-            "service",
-            "message",
+            fields.level.alias("level"),
+            fields.service.alias("service"),
+            fields.message.alias("message"),
             V.stored_attributes(fields).alias("attributes"),
         )
     )
+    return _settled(validated)
 
 
 def accepted(validated: DataFrame) -> DataFrame:
@@ -101,27 +100,39 @@ def rejected(validated: DataFrame, *keys: str) -> DataFrame:
     return validated.filter(F.col("reason").isNotNull()).select(*keys, "index", "reason")
 
 
-def _reason_of(entry: Column, now: datetime) -> Column:
-    fields = V.entry_fields(entry)
-    return V.reject_reason(fields, V.parse_timestamp(fields.timestamp_text), now)
-
-
 def envelope_report(opened: DataFrame, now: datetime) -> DataFrame:
     """Per envelope: status, accepted count and the rejections in index order.
 
     Entries are judged inside their own row, so a report never gathers rows of
     different tasks, and its size is bound by the body limit.
     """
-    judged = F.transform(
-        "logs", lambda entry, i: F.struct(i.alias("index"), _reason_of(entry, now).alias("reason"))
-    )
-    rejections = F.filter(F.col("_judged"), lambda r: r["reason"].isNotNull())
-    return (
-        opened.select("batch_key", "problem", judged.alias("_judged"))
-        .withColumn("rejected", F.coalesce(rejections, F.expr("array()")))
+
+    names = list(V.EntryFields.__dataclass_fields__)
+
+    # As in validate_entries, one step for each set of values that later rules share.
+    def extract(entry: Column) -> Column:
+        return F.struct(*[c.alias(name) for name, c in vars(V.entry_fields(entry)).items()])
+
+    def with_time(part: Column) -> Column:
+        fields = V.EntryFields(**{name: part[name] for name in names})
+        return F.struct(part.alias("part"), V.parse_timestamp(fields).alias("parsed"))
+
+    def judge(timed: Column, index: Column) -> Column:
+        fields = V.EntryFields(**{name: timed["part"][name] for name in names})
+        reason = V.reject_reason(fields, timed["parsed"], now)
+        return F.struct(index.alias("index"), reason.alias("reason"))
+
+    structs = F.transform("logs", lambda entry: entry.try_cast(V.ENTRY_STRUCT))
+    judged = F.transform(F.transform(F.transform(structs, extract), with_time), judge)
+    rejections = F.filter(judged, lambda r: r["reason"].isNotNull())
+    report = (
+        opened.select("batch_key", "problem", F.size("logs").alias("_entries"), rejections.alias("rejected"))
+        .withColumn("rejected", F.coalesce("rejected", F.expr("array()")))
         .withColumn(
             "accepted",
-            F.coalesce(F.size("_judged") - F.size("rejected"), F.lit(0)).cast("bigint"),
+            F.when(F.col("problem").isNull(), F.col("_entries") - F.size("rejected"))
+            .otherwise(0)
+            .cast("bigint"),
         )
         .select(
             "batch_key",
@@ -134,6 +145,7 @@ def envelope_report(opened: DataFrame, now: datetime) -> DataFrame:
             "rejected",
         )
     )
+    return _settled(report)
 
 
 def reason_counts(validated: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def page_index(logs: DataFrame, page_size: int = DEFAULT_LIMIT) -> DataFrame:
     place = F.col("position") % page_size
     closes = (place == page_size - 1) | (F.col("position") == F.col("total") - 1)
     return (
-        rows.groupBy(F.floor(F.col("position") / page_size).alias("page_no"))
+        rows.groupBy(F.expr(f"position DIV {int(page_size)}").alias("page_no"))
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.max("timestamp").alias("first_timestamp"),

@@ -223,28 +223,31 @@ class LogTable:
             .parquet(f"{self.path}/rows/batch_id={batch_id}")
         )
 
-    def _commit(self, batch_id: int, id_base: int, replaces: tuple[int, ...] = ()) -> Commit:
+    def _commit(self, batch_id: int, id_base: int) -> Commit:
         """Write the rollup delta of the stored rows, then the commit record."""
-        written = self._entries([batch_id], "accepted")
-        stats = written.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max("id").alias("max_id"),
-            F.min("log_date").alias("first"),
-            F.max("log_date").alias("last"),
-        ).first()
-        id_limit = id_base
-        if stats["max_id"] is not None:
-            id_limit = max(id_base, ((stats["max_id"] >> ID_ROW_BITS) + 1) << ID_ROW_BITS)
+        stored = self._read("rows", [f"batch_id={batch_id}"], ENTRY_SCHEMA)
+        sides = {
+            row["outcome"]: row
+            for row in stored.groupBy("outcome")
+            .agg(
+                F.count(F.lit(1)).alias("n"),
+                F.max("id").alias("max_id"),
+                F.min("log_date").alias("first"),
+                F.max("log_date").alias("last"),
+            )
+            .collect()
+        }
+        kept = sides.get("accepted")
         commit = Commit(
             batch_id=batch_id,
             version=0,
-            accepted=stats["n"],
-            rejected=self._entries([batch_id], "rejected").count(),
-            id_limit=id_limit,
-            first_date=stats["first"],
-            last_date=stats["last"],
-            replaces=replaces,
+            accepted=kept["n"] if kept else 0,
+            rejected=sides["rejected"]["n"] if "rejected" in sides else 0,
+            id_limit=max(id_base, ((kept["max_id"] >> ID_ROW_BITS) + 1) << ID_ROW_BITS) if kept else id_base,
+            first_date=kept["first"] if kept else None,
+            last_date=kept["last"] if kept else None,
         )
+        written = self._entries([batch_id], "accepted")
         self._write_delta(commit, rollup.build(written))
         self._write_record(commit)
         return commit
