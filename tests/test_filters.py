@@ -34,6 +34,9 @@ TEXTS = [json.dumps(d) for d in DOCS] + [
     '{"k":0}',
     '{"k":-0.0}',
     "not json",
+    '{"\\u006b":"esc"}',
+    '{"k":"\\u0065sc"}',
+    '{"k": "e\\/sc"}',
 ]
 
 
@@ -71,6 +74,9 @@ def matching(spark, attrs, stored):
         ({"k": "9" * 400}, []),
         ({"it's": "q1", "": "empty"}, [11]),
         ({"it's": "q1", "k": "3"}, []),
+        # escapes in the text
+        ({"k": "esc"}, [22, 23]),
+        ({"k": "e/sc"}, [24]),
     ],
 )
 def test_attribute_equality(spark, attrs, ids, stored):

@@ -8,6 +8,7 @@ from conftest import NOW, plan_of, utc
 from pyspark.sql import functions as F
 
 from tidelog.functions import validation as V
+from tidelog.functions.cursors import Cursor
 from tidelog.operators import rollup
 from tidelog.operators.filters import LogFilter
 from tidelog.operators.listing import fetch_page
@@ -206,3 +207,27 @@ def test_retention_days(raw, days):
 def test_negative_batch_ids_are_refused(spark, table):
     with pytest.raises(ValueError):
         table.ingest(envelopes(spark, body([DAY1])), -1, NOW)
+
+
+def test_pages_of_the_stored_log(spark, table):
+    days = [f"2026-07-{d:02d}T12:00:00Z" for d in range(1, 20)]
+    table.ingest(envelopes(spark, body([d for d in days for _ in range(5)])), 0, NOW)
+    seen, cursor = [], None
+    while True:
+        page = table.page(LogFilter(service="auth", cursor=cursor), 20)
+        seen += [(e["timestamp"], int(e["id"])) for e in page.logs]
+        if page.next_cursor is None:
+            break
+        cursor = Cursor.decode(page.next_cursor)
+    assert len(seen) == 95 and seen == sorted(set(seen), reverse=True)
+    assert table.page(LogFilter(service="none"), 5).logs == []
+    assert table.page(LogFilter(since=utc("2026-07-19 12:00:00")), 5).next_cursor is None
+
+
+def test_counts_of_the_stored_log(spark, table):
+    table.ingest(envelopes(spark, body([DAY1, DAY1, DAY2])), 0, NOW)
+    where = LogFilter(since=utc("2026-07-18 10:00:00.000002"), until=utc("2026-07-20 00:00:00"))
+    whole = {str(r["start"]): r["count"] for r in table.counts(where, "1d").collect()}
+    assert whole == {"2026-07-18 00:00:00": 2, "2026-07-19 00:00:00": 1}
+    exact = {str(r["start"]): r["count"] for r in table.counts(where, "1d", exact=True).collect()}
+    assert exact == {"2026-07-19 00:00:00": 1}

@@ -65,6 +65,22 @@ def attrs_match(doc: Column, attrs: Mapping[str, str], is_text: bool) -> Column:
     def all_keys(parsed: Column) -> Column:
         return reduce(lambda a, b: a & b, [attr_equals(parsed, k, v) for k, v in attrs.items()])
 
-    if is_text:
-        return F.exists(F.array(F.try_parse_json(doc)), all_keys)
-    return all_keys(doc)
+    if not is_text:
+        return all_keys(doc)
+    return _may_match(doc, attrs) & F.exists(F.array(F.try_parse_json(doc)), all_keys)
+
+
+def _may_match(text: Column, attrs: Mapping[str, str]) -> Column:
+    """Spares parsing most rows that cannot match.
+
+    Without a backslash nothing in the text is escaped, so the quoted key is found
+    in it as it is, and so is a value that only a string can match.
+    """
+    needed = [f'"{key}"' for key in attrs]
+    needed += [
+        f'"{value}"'
+        for value in attrs.values()
+        if value not in ("true", "false") and not NUMBER_TOKEN.fullmatch(value)
+    ]
+    plain = reduce(lambda a, b: a & b, [F.contains(text, F.lit(part)) for part in needed])
+    return F.contains(text, F.lit("\\")) | plain

@@ -167,13 +167,6 @@ def agg_rollup_unaligned(spark, sf_dir):
     return aggregate.in_order(aggregate.from_rollup(deltas, RANGE, "1h", "service"))
 
 
-def _auto(spark, sf_dir, where: LogFilter, bucket: str, group_by: str | None, exact: bool = False):
-    table = stored_logs(spark, sf_dir)
-    return aggregate.aggregate(
-        table.rows(), table.rollup_deltas(where), where, bucket, group_by, exact
-    )
-
-
 @query(
     "agg_auto_service_level",
     _count_sql("5m", "level", f"{_WHOLE} AND service = 'checkout' AND level = 'error'"),
@@ -181,7 +174,7 @@ def _auto(spark, sf_dir, where: LogFilter, bucket: str, group_by: str | None, ex
 def agg_auto_service_level(spark, sf_dir):
     """Filters on service and level stay on the rollup."""
     where = LogFilter(since=SINCE, until=UNTIL, service="checkout", level="error")
-    return _auto(spark, sf_dir, where, "5m", "level")
+    return stored_logs(spark, sf_dir).counts(where, "5m", "level")
 
 
 @query(
@@ -191,13 +184,13 @@ def agg_auto_service_level(spark, sf_dir):
 def agg_auto_q_attr(spark, sf_dir):
     """Message and attribute filters need the stored rows."""
     where = LogFilter(since=SINCE, until=UNTIL, q="cache", attrs={"k": "9"})
-    return _auto(spark, sf_dir, where, "1d", "service")
+    return stored_logs(spark, sf_dir).counts(where, "1d", "service")
 
 
 @query("agg_exact_edges", _count_sql("1h", "service", _EXACT))
 def agg_exact_edges(spark, sf_dir):
     """Whole minutes from the rollup, the rest of the range from the rows."""
-    return _auto(spark, sf_dir, RANGE, "1h", "service", exact=True)
+    return stored_logs(spark, sf_dir).counts(RANGE, "1h", "service", exact=True)
 
 
 @query(

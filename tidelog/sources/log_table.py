@@ -13,14 +13,14 @@ again. One writer per table.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from datetime import date, datetime
+from datetime import date, datetime, time, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.functions.times import utc
-from tidelog.operators import ingest, listing, retention, rollup
+from tidelog.operators import aggregate, ingest, listing, retention, rollup
 from tidelog.operators.filters import LogFilter
 from tidelog.schema import COMMIT_SCHEMA, ENTRY_SCHEMA, LOG_COLUMNS, ROLLUP_SCHEMA
 from tidelog.session import prepare
@@ -108,32 +108,42 @@ class LogTable:
     def rollup(self) -> DataFrame:
         return rollup.total(self.rollup_deltas())
 
-    def newest(self, where: LogFilter, limit: int = listing.DEFAULT_LIMIT) -> DataFrame:
-        """The newest matching rows, looking at the newest days first.
+    def recent(self, where: LogFilter, enough: int) -> DataFrame:
+        """Matching rows of the newest days that hold at least ``enough`` of them, else all.
 
-        The span of days doubles until it holds enough rows, so that a page of
-        recent rows does not read the whole table.
+        The span of days doubles until it suffices, so that a page of recent rows
+        does not read the whole table. Each step stops at ``enough`` rows per task.
         """
-        live = [c for c in self.commits() if c.may_hold(where)]
-        days = self._days(live, where)
-        logs = self._accepted(live)
-        span = 1
-        while span < len(days):
-            recent = where.apply(logs.filter(F.col("log_date") >= F.lit(days[-span])))
-            if recent.limit(limit).count() == limit:
-                return listing.newest(recent, limit)
-            span *= 2
-        return listing.newest(where.apply(logs), limit)
-
-    def _days(self, live: list[Commit], where: LogFilter) -> list[date]:
-        """Days with data up to the end of the range, from the names of the folders."""
-        found = set()
-        for commit in live:
-            pattern = f"{self.path}/rows/batch_id={commit.batch_id}/outcome=accepted/log_date=*"
-            for path in paths.matching(self.spark, pattern):
-                found.add(date.fromisoformat(_partition_value(path, "log_date")))
-        last = _newest_day(where)
-        return sorted(d for d in found if last is None or d <= last)
+        live = [c for c in self.commits() if c.first_date and c.may_hold(where)]
+        if live:
+            first = min(c.first_date for c in live)
+            last = min(filter(None, [max(c.last_date for c in live), _newest_day(where)]))
+            span = timedelta(days=1)
+            while last - span >= first:
+                start = datetime.combine(last - span + timedelta(days=1), time(), timezone.utc)
+                if where.since is not None and utc(where.since) >= start:
+                    break
+                bounded = replace(where, since=start)
+                rows = bounded.apply(self._accepted([c for c in live if c.may_hold(bounded)]))
+                if rows.limit(enough).count() == enough:
+                    return rows
+                span *= 2
+        return where.apply(self._accepted(live))
+
+    def newest(self, where: LogFilter, limit: int = listing.DEFAULT_LIMIT) -> DataFrame:
+        return listing.newest(self.recent(where, listing.check_limit(limit)), limit)
+
+    def page(self, where: LogFilter, limit: int = listing.DEFAULT_LIMIT) -> listing.Page:
+        """A page of the stored log on the driver; its cursor goes into the filter of the next."""
+        return listing.fetch_page(self.recent(where, listing.check_limit(limit) + 1), limit)
+
+    def counts(
+        self, where: LogFilter, bucket: str, group_by: str | None = None, exact: bool = False
+    ) -> DataFrame:
+        """Counts per bucket, from the rollup where it can answer."""
+        return aggregate.aggregate(
+            self.rows(), self.rollup_deltas(where), where, bucket, group_by, exact
+        )
 
     def _accepted(self, commits: list[Commit]) -> DataFrame:
         entries = self._entries([c.batch_id for c in commits], "accepted")
