@@ -101,6 +101,16 @@ def search_documents(spark, sf_dir):
     return LogFilter(q="ATion").apply(documents).select("doc_id", "n_chars")
 
 
+@query(
+    "search_documents_literal",
+    "SELECT doc_id, n_chars FROM documents WHERE contains(lower(text), 'of%%% t')",
+)
+def search_documents_literal(spark, sf_dir):
+    """Wildcards have no meaning in a literal search."""
+    documents = tables.read_table(spark, sf_dir, "documents").withColumnRenamed("text", "message")
+    return LogFilter(q="OF%%% t").apply(documents).select("doc_id", "n_chars")
+
+
 @query(
     "search_conversations",
     r"SELECT conv_id, turn, role FROM conversations WHERE text ILIKE '%the_e%and%' ESCAPE '\'",

@@ -23,13 +23,17 @@ from tidelog.functions.times import utc
 from tidelog.operators import aggregate, ingest, listing, retention, rollup
 from tidelog.operators.filters import LogFilter
 from tidelog.schema import COMMIT_SCHEMA, ENTRY_SCHEMA, LOG_COLUMNS, ROLLUP_SCHEMA
-from tidelog.session import prepare
+from tidelog.session import prepare, settings
 from tidelog.sources import paths
 
 # Ids: every scan task of a batch has a range of 2^26 numbers.
 ID_ROW_BITS = 26
 _SLOT_ROW_BITS = 33
 
+# Shuffled bytes that make one file of rows. Rows shrink several times in Parquet, so
+# Spark's 64 MB would leave small files. With little data Spark still uses all cores.
+WRITE_SETTINGS = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "512MB"}
+
 # Batches below this many rows are merged by compaction; larger ones are left alone.
 COMPACT_BELOW = 50_000_000
 
@@ -225,13 +229,13 @@ class LogTable:
         Rebalancing by day gives files of a good size: small days are gathered,
         a hot day is split. Within a file rows are sorted for min/max pruning.
         """
-        (
-            entries.hint("rebalance", "outcome", "log_date")
-            .sortWithinPartitions("outcome", "log_date", "service", "level", "timestamp")
-            .write.mode("overwrite")
-            .partitionBy("outcome", "log_date")
-            .parquet(f"{self.path}/rows/batch_id={batch_id}")
+        laid_out = entries.hint("rebalance", "outcome", "log_date").sortWithinPartitions(
+            "outcome", "log_date", "service", "level", "timestamp"
         )
+        with settings(self.spark, WRITE_SETTINGS):
+            laid_out.write.mode("overwrite").partitionBy("outcome", "log_date").parquet(
+                f"{self.path}/rows/batch_id={batch_id}"
+            )
 
     def _commit(self, batch_id: int, id_base: int) -> Commit:
         """Write the rollup delta of the stored rows, then the commit record."""
