@@ -1,3 +1,5 @@
+import base64
+
 from conftest import plan_of, utc
 from pyspark.sql import functions as F
 
@@ -126,6 +128,9 @@ BAD_TOKENS = [
     "eyJ0aW1lc3RhbXAiOiIyMDI2LTAxLTAxVDAwOjAwOjAwWiIsImlkIjoiMS41In0",  # id "1.5"
     "a",
     "ÿ",
+    Cursor(utc("2026-07-20 14:32:01"), 10**19).encode(),
+    base64.urlsafe_b64encode(b'{"timestamp":"2026-01-01T00:00:00Z","id":"' + b"9" * 5000 + b'"}').decode(),
+    base64.urlsafe_b64encode(b"[" * 100_000).decode(),
 ]
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.times import iso_micros, utc
 
-# Fixed value: an id inside a cursor.
-ID_TEXT = re.compile(r"-?[0-9]+")
+# Fixed value: an id inside a cursor, at most as long as the largest one.
+ID_TEXT = re.compile(r"-?[0-9]{1,19}")
 MAX_ID = 2**63 - 1
 
 
@@ -35,7 +35,7 @@ class Cursor:
         try:
             raw = base64.urlsafe_b64decode(token + "=" * (-len(token) % 4))
             doc = json.loads(raw.decode())
-        except (binascii.Error, ValueError):
+        except (binascii.Error, ValueError, RecursionError):
             return None
         if not isinstance(doc, dict):
             return None
@@ -72,7 +72,7 @@ def cursor_fields(token: Column) -> Column:
     valid = (
         (F.schema_of_variant(stamp) == "STRING")
         & (F.schema_of_variant(row_id) == "STRING")
-        & id_text.rlike(r"^-?[0-9]+\z")
+        & id_text.rlike(r"^-?[0-9]{1,19}\z")
         & parsed_ts.isNotNull()
         & parsed_id.isNotNull()
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,10 +78,15 @@ def time_conditions(
     if until is not None:
         found.append(F.col(column) < ts_literal(until))
         if partitioned:
-            found.append(F.col(date_column) <= F.lit(utc(until).date()))
+            found.append(F.col(date_column) <= F.lit(last_day_before(until)))
     return found
 
 
+def last_day_before(until: datetime) -> date:
+    """The last UTC day with an instant before the exclusive bound."""
+    return (utc(until) - timedelta(microseconds=1)).date()
+
+
 def before_cursor(logs: DataFrame, cursor: Cursor) -> list[Column]:
     """Rows after the cursor in newest-first order.
 

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tidelog.functions.times import utc
 from tidelog.operators import aggregate, ingest, listing, retention, rollup
-from tidelog.operators.filters import LogFilter
+from tidelog.operators.filters import LogFilter, last_day_before
 from tidelog.schema import COMMIT_SCHEMA, ENTRY_SCHEMA, LOG_COLUMNS, ROLLUP_SCHEMA
 from tidelog.session import prepare, settings
 from tidelog.sources import paths
@@ -115,8 +115,9 @@ class LogTable:
     def recent(self, where: LogFilter, enough: int) -> DataFrame:
         """Matching rows of the newest days that hold at least ``enough`` of them, else all.
 
-        The span of days doubles until it suffices, so that a page of recent rows
-        does not read the whole table. Each step stops at ``enough`` rows per task.
+        The span of days grows until it suffices, so that a page of recent rows does
+        not read the whole table. Each step stops at ``enough`` rows per task; days
+        read in vain add up to a third of the last span.
         """
         live = [c for c in self.commits() if c.first_date and c.may_hold(where)]
         if live:
@@ -131,7 +132,7 @@ class LogTable:
                 rows = bounded.apply(self._accepted([c for c in live if c.may_hold(bounded)]))
                 if rows.limit(enough).count() == enough:
                     return rows
-                span *= 2
+                span *= 4
         return where.apply(self._accepted(live))
 
     def newest(self, where: LogFilter, limit: int = listing.DEFAULT_LIMIT) -> DataFrame:
@@ -357,7 +358,7 @@ def _partition_value(path: str, column: str) -> str:
 
 
 def _newest_day(where: LogFilter) -> date | None:
-    ends = [utc(where.until).date()] if where.until is not None else []
+    ends = [last_day_before(where.until)] if where.until is not None else []
     if where.cursor is not None:
         ends.append(utc(where.cursor.timestamp).date())
     return min(ends, default=None)
