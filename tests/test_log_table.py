@@ -231,3 +231,20 @@ def test_counts_of_the_stored_log(spark, table):
     assert whole == {"2026-07-18 00:00:00": 2, "2026-07-19 00:00:00": 1}
     exact = {str(r["start"]): r["count"] for r in table.counts(where, "1d", exact=True).collect()}
     assert exact == {"2026-07-19 00:00:00": 1}
+
+
+def test_a_hot_day_is_written_by_several_tasks(spark, tmp_path):
+    table = LogTable(spark, str(tmp_path / "hot"), file_bytes="64KB")
+    rows = spark.range(0, 40_000, 1, 4).select(
+        F.timestamp_seconds(F.lit(1_784_332_800) + F.col("id") % 3600).alias("timestamp"),
+        F.lit("info").alias("level"),
+        F.lit("api").alias("service"),
+        F.sha2(F.col("id").cast("string"), 256).alias("message"),
+        F.parse_json(F.lit("{}")).alias("attributes"),
+    )
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    commit = table.append(rows, 0)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
+    assert commit.accepted == 40_000 and commit.first_date == commit.last_date
+    assert len(table.rows().inputFiles()) > 1
+    assert table.rows().select("id").distinct().count() == 40_000

@@ -30,9 +30,9 @@ from tidelog.sources import paths
 ID_ROW_BITS = 26
 _SLOT_ROW_BITS = 33
 
-# Shuffled bytes that make one file of rows. Rows shrink several times in Parquet, so
+# Shuffled bytes that make one file of rows. Rows shrink about tenfold in Parquet, so
 # Spark's 64 MB would leave small files. With little data Spark still uses all cores.
-WRITE_SETTINGS = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "512MB"}
+FILE_BYTES = "512MB"
 
 # Batches below this many rows are merged by compaction; larger ones are left alone.
 COMPACT_BELOW = 50_000_000
@@ -62,9 +62,10 @@ class Commit:
 
 
 class LogTable:
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, file_bytes: str = FILE_BYTES):
         self.spark = prepare(spark)
         self.path = path.rstrip("/")
+        self.file_bytes = file_bytes
 
     # -- reading ---------------------------------------------------------------
 
@@ -233,7 +234,11 @@ class LogTable:
         laid_out = entries.hint("rebalance", "outcome", "log_date").sortWithinPartitions(
             "outcome", "log_date", "service", "level", "timestamp"
         )
-        with settings(self.spark, WRITE_SETTINGS):
+        rebalancing = {
+            "spark.sql.adaptive.enabled": "true",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": self.file_bytes,
+        }
+        with settings(self.spark, rebalancing):
             laid_out.write.mode("overwrite").partitionBy("outcome", "log_date").parquet(
                 f"{self.path}/rows/batch_id={batch_id}"
             )

@@ -15,6 +15,11 @@ from pyspark.sql.streaming import StreamingQuery
 from tidelog.sources.log_table import LogTable
 
 
+# Smaller than in the table's own jobs: a micro-batch mostly falls on one day, and this
+# size decides how many tasks write it. Compaction makes large files of it later.
+FILE_BYTES = "128MB"
+
+
 def _clock() -> datetime:
     return datetime.now(timezone.utc)
 
@@ -36,7 +41,7 @@ def start_ingest(
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        table = LogTable(batch.sparkSession, table_path)
+        table = LogTable(batch.sparkSession, table_path, FILE_BYTES)
         table.ingest(batch, batch_id, clock(), max_service_len)
 
     writer = envelopes.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
