@@ -6,9 +6,10 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidelog.session import scratch_path
-from tidelog.sources import sample_tables
+from tidelog.sources import paths, sample_tables
 from tidelog.sources.log_table import LogTable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,9 +48,10 @@ _stored: dict[tuple[str, str], str] = {}
 def stored_logs(spark: SparkSession, sf_dir: str) -> LogTable:
     """The log view written to a log table, once per application and input."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stored:
+    if key not in _stored or not paths.exists(spark, _stored[key]):
         path = scratch_path(spark, "logs")
         logs = sample_tables.logs(spark, sf_dir)
-        LogTable(spark, path).append(logs.selectExpr("* EXCEPT (attributes)", "try_parse_json(attributes) AS attributes"), 0)
+        parsed = logs.withColumn("attributes", F.try_parse_json("attributes"))
+        LogTable(spark, path).append(parsed, 0)
         _stored[key] = path
     return LogTable(spark, _stored[key])

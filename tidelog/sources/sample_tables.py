@@ -36,7 +36,8 @@ SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS timestamp, user_id,
 FROM events
 """
 
-# One entry in every stage of (in)validity, chosen by ``kind`` (0..19); {t} is the timestamp text.
+# One entry for every rule, chosen by ``kind`` (0..19): ``t`` is the time as text without a zone,
+# ``body`` the other fields of a valid entry, ``props`` its attributes.
 ENTRY_CASES_SQL = """
 CASE kind
  WHEN 0 THEN 'null'
@@ -73,8 +74,8 @@ FROM (SELECT event_id, ts, props, CAST(event_id % 20 AS INT) AS kind, {_BODY} AS
 # some envelopes are unreadable, of the wrong shape, empty or over the size limit.
 ENVELOPE_BODY_LIMIT = 2048
 
-_KIND_OF_ENTRY = ENTRY_CASES_SQL.replace("CASE kind", "CASE CAST((event_id + 5 * i) % 20 AS INT)")
-_ENTRIES = f"array_join(transform(sequence(0, CAST(event_id % 4 AS INT)), i -> {_KIND_OF_ENTRY}), ',')"
+_ENTRY_I = ENTRY_CASES_SQL.replace("CASE kind", "CASE CAST((event_id + 5 * i) % 20 AS INT)")
+_ENTRIES = f"array_join(transform(sequence(0, CAST(event_id % 4 AS INT)), i -> {_ENTRY_I}), ',')"
 
 ENVELOPES_SQL = f"""
 SELECT batch_key, event_id,
