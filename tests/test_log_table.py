@@ -1,6 +1,7 @@
 """The stored table: atomic batches, replay, ids, pruning, compaction, retention."""
 
 import json
+from dataclasses import replace
 from datetime import date, timedelta
 
 import pytest
@@ -229,6 +230,10 @@ def test_counts_of_the_stored_log(spark, table):
     where = LogFilter(since=utc("2026-07-18 10:00:00.000002"), until=utc("2026-07-20 00:00:00"))
     whole = {str(r["start"]): r["count"] for r in table.counts(where, "1d").collect()}
     assert whole == {"2026-07-18 00:00:00": 2, "2026-07-19 00:00:00": 1}
+    assert "/rows/" not in " ".join(table.counts(where, "1d").inputFiles())
+    by_text = table.counts(replace(where, q="M2"), "1d", "level")
+    assert [tuple(r)[1:] for r in by_text.collect()] == [("info", 1)]
+    assert "/rollup/" not in " ".join(by_text.inputFiles())
     exact = {str(r["start"]): r["count"] for r in table.counts(where, "1d", exact=True).collect()}
     assert exact == {"2026-07-19 00:00:00": 1}
 

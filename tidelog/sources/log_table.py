@@ -146,10 +146,18 @@ class LogTable:
     def counts(
         self, where: LogFilter, bucket: str, group_by: str | None = None, exact: bool = False
     ) -> DataFrame:
-        """Counts per bucket, from the rollup where it can answer."""
-        return aggregate.aggregate(
-            self.rows(), self.rollup_deltas(where), where, bucket, group_by, exact
-        )
+        """Counts per bucket, from the rollup where it can answer.
+
+        Opening a side lists its files, so only the sides that are read are opened.
+        """
+        if not aggregate.rollup_answers(where):
+            counted = aggregate.from_logs(self.rows(where), LogFilter(), bucket, group_by)
+            return aggregate.in_order(counted)
+        deltas = self.rollup_deltas(where)
+        if not exact:
+            return aggregate.in_order(aggregate.from_rollup(deltas, where, bucket, group_by))
+        logs = self._accepted([c for c in self.commits() if c.may_hold(where)])
+        return aggregate.aggregate(logs, deltas, where, bucket, group_by, exact)
 
     def _accepted(self, commits: list[Commit]) -> DataFrame:
         entries = self._entries([c.batch_id for c in commits], "accepted")
@@ -329,7 +337,10 @@ class LogTable:
     def expire(
         self, now: datetime, days: int = retention.DEFAULT_DAYS, keep_rollups: bool = False
     ) -> list[date]:
-        """Drop whole expired days by removing their folders; no row is rewritten."""
+        """Drop whole expired days by removing their folders; no row is rewritten.
+
+        Queries that opened the table before and still read those days will fail.
+        """
         last = retention.last_expired_date(now, days)
         areas = [("rows/batch_id=*/outcome=accepted", "log_date")]
         if not keep_rollups:
@@ -344,7 +355,10 @@ class LogTable:
         return sorted(dropped)
 
     def vacuum(self) -> list[int]:
-        """Remove the folders and records of batches that compaction replaced."""
+        """Remove the folders and records of batches that compaction replaced.
+
+        To be run when no query that opened the table before the compaction is left.
+        """
         gone = {b for c in self._records() for b in c.replaces}
         for batch_id in gone:
             for folder in (f"rows/batch_id={batch_id}", f"rollup/batch_id={batch_id}"):
