@@ -7,8 +7,8 @@ import pytest
 from conftest import SF_DIR, plan_of
 
 import __spark_entry__ as registry
+from tidelog.plans.registry import ORACLES, QUERIES
 
-QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 PYTHON_NODES = ("EvalPython", "InPandas", "InArrow", "PythonUDTF")
 
 
