@@ -7,24 +7,89 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import substring
+from tidelog.llm import decontaminate, exact_dedup, jaccard, mixing, oracles, substring, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        QUERIES[function.__name__] = function
+        if oracle is not None:
+            ORACLES[function.__name__] = oracle
+        return function
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+def hex_sha256(value: Column | str) -> Column:
+    return F.sha2(F.col(value) if isinstance(value, str) else value, 256)
+
+
+def total(spans: str) -> Column:
+    """Length of all ranges [start, end)."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
+@query(oracles.EXACT_DEDUP)
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
 
 
-def hex_sha256(column: str) -> Column:
-    return F.sha2(F.col(column), 256)
+@query(oracles.JACCARD)
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"))
 
 
+@query(oracles.SUBSTRING)
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(documents(spark, sf_dir)).select(
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", hex_sha256("kept_text").alias("kept_sha256")
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_substring_dedup,)}
-ORACLES: dict[str, str] = {}
+@query(oracles.DECONTAMINATE)
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        total("hits").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        hex_sha256(F.array_join("items", ",")).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query(oracles.URL_FILTER)
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query(oracles.MIXTURE)
+def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(oracles.SUFFIX_DEDUP)
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("removed").cast("long").alias("n_spans"),
+        hex_sha256("kept").alias("kept_sha256"),
+    )
