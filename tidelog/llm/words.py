@@ -119,7 +119,7 @@ class Words(NamedTuple):
 
 
 def words_of(buffer: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, lower: bool = False) -> Words:
-    inside = ~separators[buffer]
+    inside = ~(separators[LOWER] if lower else separators)[buffer]
     edge = np.zeros(len(buffer) + 1, dtype=bool)
     edge[offsets] = True
     before = np.ones(len(buffer), dtype=bool)
