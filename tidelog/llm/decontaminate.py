@@ -148,15 +148,16 @@ def find_items(
 
     def pass_over(number: int) -> DataFrame:
         part = listed.where(F.col("slice") == number).drop("slice").toArrow() if slices > 1 else listed.toArrow()
-        index = context.broadcast(build_index(part["name"].to_pylist(), part["text"], gram, window))
+        sent = context.broadcast(tuple(build_index(part["name"].to_pylist(), part["text"], gram, window)))
 
         def scan(batches):
+            index = Index(*sent.value)
             for batch in batches:
                 buffer, offsets = words.text_bytes(batch.column("text"))
                 for first, last in words.chunks(offsets):
                     at = offsets[first : last + 1]
                     found = words.words_of(buffer[at[0] : at[-1]], at - at[0], words.NOT_ALNUM, lower=True)
-                    yield results(batch.slice(first, last - first), found, index.value, gram, window)
+                    yield results(batch.slice(first, last - first), found, index, gram, window)
 
         return source.mapInArrow(scan, RESULT)
 

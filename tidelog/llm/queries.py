@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, exact_dedup, jaccard, mixing, oracles, substring, suffix_dedup, url_filter
+from tidelog.llm import decontaminate, exact_dedup, jaccard, langid, mixing, oracles, substring, suffix_dedup
+from tidelog.llm import toxicity as toxic
+from tidelog.llm import url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +40,18 @@ def total(spans: str) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
+def fold(column: str, folds: int, held_out: int) -> Column:
+    """Is the row held out? A null id is."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(folds)) == held_out, F.lit(True))
+
+
+@query()
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~fold("doc_id", 3, 1)))
+    return langid.predict(docs, model).select("doc_id", fold("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "languages")
+
+
 @query(oracles.EXACT_DEDUP)
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents")).select(
@@ -70,6 +84,18 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxic.fit(docs, labels.where(~fold("doc_id", 4, 2)))
+    return toxic.score(docs, model).select(
+        "doc_id",
+        fold("doc_id", 4, 2).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
