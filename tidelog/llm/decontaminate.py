@@ -119,6 +119,25 @@ def matches(found: words.Words, index: Index, gram: int, window: int, at_once: i
         yield place[i], n, items[j]
 
 
+def indexes(
+    docs: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int, gram: int, slice_bytes: int
+) -> list:
+    """The index of each slice of the items, as broadcast variables."""
+    total, count = items.select(F.sum(F.octet_length(item_text)), F.count(F.lit(1))).first()
+    slices = int((total or 0) + 16 * count) // (slice_bytes // 2) + 1  # half as a margin for uneven slices
+    listed = items.select(
+        F.col(item_id).cast("string").alias("name"),
+        F.col(item_text).cast("string").alias("text"),
+        F.pmod(F.xxhash64(item_id, item_text), F.lit(slices)).alias("slice"),
+    )
+    out = []
+    for number in range(slices):
+        part = listed.where(F.col("slice") == number).toArrow()
+        index = build_index(part["name"].to_pylist(), part["text"], gram, window)
+        out.append(docs.sparkSession.sparkContext.broadcast(tuple(index)))
+    return out
+
+
 def find_items(
     docs: DataFrame,
     items: DataFrame,
@@ -133,25 +152,16 @@ def find_items(
     """Per document its number of words, the word ranges [start, end) hit by item windows, and the items that occur."""
     if not 1 <= gram <= window:
         raise ValueError("a window holds at least one gram")
-    total, count = items.select(F.sum(F.octet_length(item_text)), F.count(F.lit(1))).first()
-    slices = int((total or 0) + 16 * count) // (slice_bytes // 2) + 1  # half as a margin for uneven slices
-    listed = items.select(
-        F.col(item_id).cast("string").alias("name"),
-        F.col(item_text).cast("string").alias("text"),
-        F.pmod(F.xxhash64(item_id, item_text), F.lit(slices)).alias("slice"),
-    )
-    context = docs.sparkSession.sparkContext
+    sent = indexes(docs, items, item_id, item_text, window, gram, slice_bytes)
+    slices = len(sent)
     row = F.xxhash64(doc_id, text) if slices > 1 else F.lit(0).cast("long")  # names a row in the results of all passes
     source = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), row.alias("row")
     )
 
     def pass_over(number: int) -> DataFrame:
-        part = listed.where(F.col("slice") == number).drop("slice").toArrow() if slices > 1 else listed.toArrow()
-        sent = context.broadcast(tuple(build_index(part["name"].to_pylist(), part["text"], gram, window)))
-
         def scan(batches):
-            index = Index(*sent.value)
+            index = Index(*sent[number].value)
             for batch in batches:
                 buffer, offsets = words.text_bytes(batch.column("text"))
                 for first, last in words.chunks(offsets):
@@ -227,3 +237,32 @@ def results(batch: pa.RecordBatch, found: words.Words, index: Index, gram: int,
         ],
         ["doc_id", "row", "n_words", "hits", "items"],
     )
+
+
+def keep_clean(
+    docs: DataFrame,
+    items: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = 10,
+    gram: int = 5,
+) -> DataFrame:
+    """The documents in which no item window occurs, with all their columns."""
+    for index in indexes(docs, items, item_id, item_text, window, gram, SLICE_BYTES):
+
+        def scan(batches, sent=index):
+            own = Index(*sent.value)
+            for batch in batches:
+                buffer, offsets = words.text_bytes(batch.column(text))
+                for first, last in words.chunks(offsets):
+                    at = offsets[first : last + 1]
+                    found = words.words_of(buffer[at[0] : at[-1]], at - at[0], words.NOT_ALNUM, lower=True)
+                    dirty = np.zeros(last - first, dtype=bool)
+                    for starts, _, _ in matches(found, own, gram, window):
+                        dirty[found.texts()[starts]] = True
+                    yield batch.slice(first, last - first).filter(pa.array(~dirty))
+
+        docs = docs.mapInArrow(scan, docs.schema)
+    return docs

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import blocks, words
@@ -179,15 +179,8 @@ def fits(shared: str | Column, n: str | Column, other: str | Column, percent: in
     return (100 + percent) * shared >= percent * (n + other)
 
 
-def join_components(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    size: int = 5,
-    percent: int = 80,
-    orders: int = 3,
-) -> DataFrame:
-    """Per document: doc_id, number of shingles, smallest doc_id that links of at least ``percent`` similarity reach."""
+def linked(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, orders: int) -> DataFrame:
+    """Per row: doc_id, node (its text), n_shingles, label (smallest node linked) and component_id."""
     shared_dir(docs.sparkSession)  # names the checkpoint folder of a local session
     sets, members = shingle_sets(docs, doc_id, text, size, percent, orders)
     sets = sets.checkpoint()
@@ -246,9 +239,51 @@ def join_components(
         .withColumn("label", F.coalesce("label", "node"))
     )
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_node = named.select("node", "n", "label").join(smallest, "label").select("node", "n", "component_id")
+    by_node = named.select("node", "n", "label").join(smallest, "label").select("node", "n", "label", "component_id")
     return members.join(by_node, "node").select(
         "doc_id",
+        "node",
         F.col("n").alias("n_shingles"),
+        "label",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def join_components(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    size: int = 5,
+    percent: int = 80,
+    orders: int = 3,
+) -> DataFrame:
+    """Per row: doc_id, number of shingles, smallest doc_id that links of at least ``percent`` similarity reach."""
+    return linked(docs, doc_id, text, size, percent, orders).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    size: int = 5,
+    percent: int = 80,
+    orders: int = 3,
+) -> DataFrame:
+    """One row of each group of linked documents, the one with the smallest doc_id, with all columns.
+
+    Documents without words are linked with nothing, so all of them stay.
+    """
+    slot = F.coalesce(F.col("doc_id"), F.lit(blocks.NO_DOC)).alias("_slot")
+    rows = linked(docs, doc_id, text, size, percent, orders).select(slot, F.col("node").alias("_node"), "n_shingles", "label")
+    worded, blank = rows.where("n_shingles > 0"), rows.where("n_shingles = 0")
+    first = worded.groupBy("label").agg(F.min(F.struct("_slot", "_node")).alias("first")).select("first.*")
+    kept = first.withColumn("_single", F.lit(True)).unionByName(
+        blank.select("_slot", "_node").distinct().withColumn("_single", F.lit(False))
+    )
+    named = docs.select(
+        F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(blocks.NO_DOC)).alias("_slot"),
+        F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("_node"),
+    )
+    turn = F.row_number().over(Window.partitionBy("_slot", "_node").orderBy(F.xxhash64("row")))
+    return named.join(kept, ["_slot", "_node"]).withColumn("_turn", turn).where("_turn = 1 or not _single").select("row.*")

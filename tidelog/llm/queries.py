@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, exact_dedup, jaccard, langid, mixing, oracles, substring, suffix_dedup
+from tidelog.llm import decontaminate, exact_dedup, jaccard, langid, license_scan, mixing, oracles, substring, suffix_dedup
 from tidelog.llm import toxicity as toxic
 from tidelog.llm import url_filter
 
@@ -110,6 +110,12 @@ def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query()
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.explode("matches").alias("match")).select("doc_id", "match.*")
+
+
 @query(oracles.SUFFIX_DEDUP)
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
