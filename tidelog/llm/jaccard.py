@@ -8,8 +8,9 @@ joins nothing: a set with at least a prefix of such shingles has no partner, and
 
 Equal texts are one node from the start. In a long list, such as that of a large group of near copies, comparing all pairs
 would be quadratic. So first each node is compared with one pivot, the most central of the nodes that share its
-prefixes, and components are formed; then only pairs of different components are compared, and only those
-whose numbers of shared shingles allow the similarity at all. That leaves no pair that could still join two components.
+prefixes, and components are formed. Then only pairs of different components are compared, and only those that could be similar
+enough: by their numbers of shared shingles, and, if both were compared with one pivot, by what each shares with it.
+That leaves no pair that could still join two components.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing. A text of fewer words than ``size``
 has one shingle, all its words. Rows of equal text are linked whatever their doc_id; a null doc_id is never the
@@ -137,16 +138,30 @@ def shingle_sets(
     return texts.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(build, SETS), members
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets reach the similarity."""
-    first = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
-    second = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
+    """The pairs (a, b) that share prefix shingles under every order, with their common shingles, and if they are linked."""
+
+    def side(name: str) -> DataFrame:
+        return sets.select(
+            F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "tokens", "prefixes"))
+        )
+
+    met = F.lit(True)
+    for order in range(1, orders):  # the pairs come from the lists of order 0
+        met = met & F.arrays_overlap(F.col("prefixes_a")[order], F.col("prefixes_b")[order])
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return (
-        pairs.join(first, "b")
-        .join(second, "a")
-        .where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
-        .select("a", "b")
+        pairs.join(side("b"), "b")
+        .join(side("a"), "a")
+        .where(met)
+        .select(
+            "a",
+            "b",
+            both.alias("common"),
+            F.array_except("tokens_a", "tokens_b").alias("outside"),
+            (F.col("n_a") + F.col("n_b")).alias("sum"),
+        )
+        .select("a", "b", "common", "outside", fits("common", "sum", F.lit(0), percent).alias("linked"))
     )
 
 
@@ -185,54 +200,75 @@ def linked(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, ord
     sets, members = shingle_sets(docs, doc_id, text, size, percent, orders)
     sets = sets.checkpoint()
     listed = sets.where("prefixes is not null")
-    postings = listed.select("node", "n", "shared", F.posexplode("prefixes").alias("order", "prefix")).select(
-        "node", "n", "shared", "order", F.explode("prefix").alias("token")
-    )
-    passed = F.bit_or(F.pow(F.lit(2), F.col("order")).cast("int"))  # one bit per order
-    every = (1 << orders) - 1
+    postings = listed.select("node", "n", "shared", F.explode(F.col("prefixes")[0]).alias("token"))
 
-    pivots = postings.groupBy("order", "token").agg(
+    pivots = postings.groupBy("token").agg(
         F.count(F.lit(1)).alias("nodes"),
         F.max(F.struct(F.col("shared") / F.col("n"), "n", F.col("node").alias("b"))).alias("pivot"),
     )
     starred = (
-        postings.join(pivots.where("nodes > 1").select("order", "token", "pivot.b"), ["order", "token"])
+        postings.join(pivots.where("nodes > 1").select("token", "pivot.b"), "token")
         .where("node != b")
         .groupBy(F.col("node").alias("a"), "b")
-        .agg(passed.alias("passed"), F.count(F.lit(1)).alias("times"))
-        .where(F.col("passed") == every)
+        .agg(F.count(F.lit(1)).alias("times"))
         .groupBy("a")
         .agg(F.max(F.struct("times", "b")).alias("best"))
         .select("a", "best.b")
     )
-    links = verified(starred, listed, percent).checkpoint()
+    star = compared(starred, listed, percent, orders).checkpoint()
+    links = star.where("linked").select("a", "b")
     labels = components(links)
-    labelled = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    def several(rows: DataFrame) -> DataFrame:
-        """The rows of lists in which different components meet, with the least set size of the list."""
-        lists = rows.groupBy("order", "token").agg(
-            F.min("n").alias("least"), F.min("label").alias("low"), F.max("label").alias("high")
+    # What a node shares with the pivot it was compared with (inside) bounds what two nodes of one pivot share. Where the
+    # inside alone is too small, the two must also share a shingle outside the pivot, and are found by those.
+    placed = (
+        listed.select("node", "n", "shared", F.col("prefixes")[0].alias("prefix"))
+        .join(labels, "node", "left")
+        .join(star.select(F.col("a").alias("node"), "b", "common", "outside"), "node", "left")
+        .select(
+            "node",
+            "n",
+            "shared",
+            "prefix",
+            F.coalesce("label", "node").alias("label"),
+            F.coalesce("b", "node").alias("pivot"),
+            F.coalesce("common", "shared").alias("inside"),
+            "outside",
         )
-        return rows.join(lists.where("low != high").select("order", "token", "least"), ["order", "token"])
-
-    near = several(labelled).where(fits("shared", "n", "least", percent)).drop("least")
-    near = several(near).drop("least").checkpoint()
-    left = near.select("order", "token", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "shared", "label")))
-    right = near.select("order", "token", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "shared", "label")))
-    crossed = (
-        left.join(right, ["order", "token"])
-        .where(
-            (F.col("node_a") < F.col("node_b"))
-            & (F.col("label_a") != F.col("label_b"))
-            & fits(F.least("shared_a", "shared_b"), "n_a", "n_b", percent)
+    ).checkpoint()
+    columns = ("node", "n", "shared", "label", "pivot", "inside")
+
+    def meeting(rows: DataFrame, keys: list[str], possible: Column) -> DataFrame:
+        """Pairs of nodes of different components that meet in a list and could be linked."""
+
+        def several(rows: DataFrame) -> DataFrame:
+            """The rows of lists in which different components meet, with the least set size of the list."""
+            lists = rows.groupBy(keys).agg(
+                F.min("n").alias("least"), F.min("label").alias("low"), F.max("label").alias("high")
+            )
+            return rows.join(lists.where("low != high").select(*keys, "least"), keys)
+
+        near = several(rows).where(fits("shared", "n", "least", percent)).drop("least")
+        near = several(near).drop("least").checkpoint()
+        names = [c for c in columns if c not in keys]
+        left, right = (near.select(*keys, *(F.col(c).alias(f"{c}_{x}") for c in names)) for x in "ab")
+        return (
+            left.join(right, keys)
+            .where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & possible)
+            .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         )
-        .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        .agg(passed.alias("passed"))
-        .where(F.col("passed") == every)
-        .select("a", "b")
-    )
-    final = components(links.union(verified(crossed, listed, percent)))
+
+    by_prefix = placed.select(*columns, F.explode("prefix").alias("token"))
+    inside = F.least("inside_a", "inside_b")
+    most = F.when(F.col("pivot_a") == F.col("pivot_b"), inside).otherwise(F.least("shared_a", "shared_b"))
+    done = (F.col("pivot_a") == F.col("node_b")) | (F.col("pivot_b") == F.col("node_a"))  # compared already
+    met = meeting(by_prefix, ["token"], ~done & fits(most, "n_a", "n_b", percent))
+    by_outside = placed.select(*columns, F.explode("outside").alias("token"))
+    beyond = F.least(F.col("shared_a") - F.col("inside_a"), F.col("shared_b") - F.col("inside_b"))
+    met_outside = meeting(by_outside, ["pivot", "token"], fits(inside + beyond, "n_a", "n_b", percent))
+    crossed = met.union(met_outside).distinct()
+    rest = compared(crossed, listed, percent, orders).where("linked").select("a", "b")
+    final = components(links.union(rest))
     named = (
         sets.join(final, "node", "left")
         .join(members.groupBy("node").agg(F.min("doc_id").alias("first_id")), "node")
