@@ -1,0 +1,221 @@
+"""The operators over texts against plain Python, on odd rows."""
+
+import hashlib
+
+import numpy as np
+import odd_rows
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tidelog.llm import decontaminate, exact_dedup, jaccard, substring, suffix_dedup, words
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return odd_rows.frame(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def given():
+    return [(r[0], r[1]) for r in odd_rows.rows()]
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], odd_rows.SCHEMA)
+
+
+def same(found, expected):
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, expected))
+
+
+def test_words_and_hashes():
+    texts = [r[1] for r in odd_rows.rows()]
+    found = words.words_of(*words.text_bytes(pa.array(texts)), lower=True)
+    named = {}
+    for i, text in enumerate(texts):
+        own = odd_rows.words(text, lower=True)
+        assert found.counts()[i] == len(own)
+        for word, value in zip(own, found.hashes[found.first[i] :]):
+            assert named.setdefault(word, value) == value
+    assert len(set(named.values())) == len(named)
+    values = np.random.default_rng(1).integers(0, 50, 300).astype(np.uint64)
+    for size in (1, 2, 7, 31, 300):
+        assert list(words.sliding_min(values, size)) == [min(values[i : i + size]) for i in range(301 - size)]
+
+
+def test_substring(odd, given, empty):
+    found = substring.remove_repeats(odd).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))
+    same(found.collect(), odd_rows.substring_dedup(given))
+    assert substring.remove_repeats(empty).collect() == []
+    with pytest.raises(ValueError):
+        substring.remove_repeats(odd, cover=(0, 1))
+
+
+def test_substring_spans(odd):
+    for row in substring.remove_repeats(odd).collect():
+        assert sum(s["end"] - s["start"] for s in row["removed"]) == row["n_removed"]
+
+
+def test_suffix(odd, given, empty):
+    found = suffix_dedup.remove_repeats(odd).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed"), F.sha2("kept", 256)
+    )
+    same(found.collect(), odd_rows.byte_dedup(given))
+    assert suffix_dedup.remove_repeats(empty).collect() == []
+
+
+def test_suffix_array_and_prefixes():
+    random = np.random.default_rng(2)
+    for trial in range(30):
+        snippets = [bytes(random.integers(97, 100, random.integers(3, 40)).astype(np.uint8)) for _ in range(8)]
+        snippets += snippets[: trial % 3]
+        text, sizes = np.frombuffer(b"".join(snippets), np.uint8), np.array([len(s) for s in snippets])
+        ends = np.cumsum(sizes)
+        suffixes = [s[t:] for s in snippets for t in range(len(s))]
+        expected = [i for _, i in sorted((s, i) for i, s in enumerate(suffixes))]
+        order = suffix_dedup.suffix_array(text, ends, sizes)
+        assert list(order) == expected
+
+        def common(a, b):
+            return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+        prefixes = suffix_dedup.common_prefixes(text, ends, sizes, order)
+        assert list(prefixes[1:]) == [common(suffixes[a], suffixes[b]) for a, b in zip(expected, expected[1:])]
+
+
+def test_pieces_of_a_hot_shard_are_merged(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 256 + 300)
+    random = np.random.default_rng(3)
+    base = [bytes(random.integers(97, 100, 60).astype(np.uint8)) for _ in range(20)]
+    snippets = [base[i] for i in random.integers(0, 20, 150)]
+    least, sizes = random.integers(0, 999, 150), np.full(150, 60, np.uint8)
+    part = (least, np.zeros(150, np.uint32), sizes, np.frombuffer(b"".join(snippets), np.uint8))
+    masks = np.frombuffer(b"".join(suffix_dedup.earlier_strings([part], 50)), np.uint32)
+    first = {}
+    for s, own in zip(snippets, least):
+        for t in range(11):
+            first[s[t : t + 50]] = min(first.get(s[t : t + 50], 9999), own)
+    assert [[bool(m >> t & 1) for t in range(11)] for m in masks] == [
+        [first[s[t : t + 50]] < own for t in range(11)] for s, own in zip(snippets, least)
+    ]
+
+
+def test_jaccard(odd, given, empty):
+    same(jaccard.join_components(odd).collect(), odd_rows.jaccard_components(given))
+    assert jaccard.join_components(empty).collect() == []
+
+
+def test_jaccard_crowded_group(spark):
+    """Many near copies of one text, most of them too different from each other."""
+    import random
+
+    chosen = random.Random(5)
+    base = odd_rows.prose(50, 90)
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for _ in range(chosen.randrange(0, 5)):
+            at = chosen.randrange(len(text))
+            text[at : at + 1] = [] if chosen.random() < 0.5 else [f"new{chosen.randrange(12)}"]
+        rows.append((1000 - i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(jaccard.join_components(docs).collect(), odd_rows.jaccard_components(rows))
+
+
+def test_jaccard_keeps_one_of_each(odd, given):
+    kept = jaccard.one_of_each(odd)
+    assert kept.columns == odd.columns
+    left = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    expected = odd_rows.jaccard_components(given)
+    groups = {e[2] for e in expected if e[1]}
+    assert len([x for x in left if odd_rows.words(x[1])]) == len(groups)
+    assert len([x for x in left if not odd_rows.words(x[1])]) == sum(1 for e in expected if not e[1])
+
+
+def items():
+    long = odd_rows.texts()[18].split()
+    return [
+        (1, " ".join(long[500:540])),
+        (2, "a b, c"),
+        (3, None),
+        (3, ""),
+        (4, " ".join(odd_rows.prose(2, 60)).upper()),
+        (None, " ".join(odd_rows.prose(44, 12))),
+        (20, "same same same"),
+        (20, "same same same"),
+        (5, "nothing like this occurs anywhere in the documents of this test at all"),
+    ]
+
+
+@pytest.mark.parametrize("slice_bytes", [decontaminate.SLICE_BYTES, 600])
+def test_decontamination(spark, odd, given, empty, slice_bytes):
+    bench = spark.createDataFrame(items(), "item_id long, text string")
+    found = decontaminate.find_items(odd, bench, slice_bytes=slice_bytes).collect()
+    got = [(r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["hits"]), r["items"]) for r in found]
+    expected = odd_rows.contamination(given, items())
+    same(got, expected)
+    clean = decontaminate.keep_clean(odd, bench)
+    assert clean.columns == odd.columns
+    assert clean.count() == sum(1 for e in expected if not e[2])
+    assert decontaminate.find_items(empty, bench).collect() == []
+    assert decontaminate.find_items(odd, bench.limit(0)).where("size(hits) > 0").collect() == []
+
+
+def best_rows(given):
+    groups = {}
+    for doc_id, text in given:
+        bare = "".join(odd_rows.words(text))
+        groups.setdefault(bare, []).append((-len(text or ""), odd_rows.order(doc_id), doc_id))
+    return groups
+
+
+def test_exact_dedup(odd, given, empty):
+    groups = best_rows(given)
+    expected = []
+    for doc_id, text in given:
+        bare = "".join(odd_rows.words(text))
+        best = min(groups[bare], key=lambda x: x[:2])
+        kept = doc_id == best[2] and len(text or "") == -best[0]
+        expected.append((doc_id, hashlib.sha256(bare.encode()).digest(), best[2], len(groups[bare]), kept))
+    found = exact_dedup.mark_duplicates(odd).collect()
+    same([(r[0], bytes(r[1]), *r[2:]) for r in found], expected)
+    left = exact_dedup.deduplicate(odd)
+    assert left.columns == odd.columns
+    assert sorted("".join(odd_rows.words(r["text"])) for r in left.collect()) == sorted(groups)
+    assert exact_dedup.mark_duplicates(empty).collect() == [] and exact_dedup.deduplicate(empty).collect() == []
+
+
+def digests(count, salt=0):
+    return [hashlib.sha256(f"{salt}:{i}".encode()).digest() for i in range(count)]
+
+
+def test_cuckoo_filter_grows_and_forgets():
+    index = exact_dedup.DigestIndex()
+    keys = digests(5000)
+    sizes = set()
+    for low in range(0, 5000, 250):
+        index.insert(keys[low : low + 250])
+        sizes.add(len(index.filter.table))
+    assert len(sizes) > 3  # it was rebuilt on the way
+    assert all(n is not None for n in index.find(keys))
+    assert index.filter.contains(exact_dedup.as_numbers(digests(5000, 1))).mean() < 0.01
+    assert not any(n is not None for n in index.find(digests(5000, 1)))
+    index.delete(keys[:2000] + keys[:10] + digests(5, 2))
+    assert [n is not None for n in index.find(keys)] == [False] * 2000 + [True] * 3000
+    assert index.filter.contains(exact_dedup.as_numbers(keys[2000:])).all()
+    index.insert(keys[:100])
+    assert sum(n is not None for n in index.find(keys)) == 3100
+
+
+def test_index_over_loads(spark):
+    keys = digests(300)
+    nothing = spark.createDataFrame([], exact_dedup.INDEX)
+    first = spark.createDataFrame([(k, True) for k in keys[:200]] + [(None, True)], "digest binary, live boolean")
+    index = exact_dedup.update(nothing, first, 4)
+    second = spark.createDataFrame([(k, False) for k in keys[:50]] + [(k, True) for k in keys[200:]], "digest binary, live boolean")
+    index = exact_dedup.update(index, second, 4)
+    wanted = spark.createDataFrame([(k,) for k in keys + keys[:5]], "digest binary")
+    found = {bytes(r[0]): r[1] for r in exact_dedup.lookup(index, wanted, 4).collect()}
+    assert found == {k: i >= 50 for i, k in enumerate(keys)}

@@ -190,7 +190,7 @@ def merged(passes: list[DataFrame]) -> DataFrame:
 
     def joined(done: Column, span: Column) -> Column:
         last = F.element_at(done, -1)
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
+        wider = F.struct(last["start"], F.greatest(last["end"], span["end"])).cast("struct<start: int, end: int>")
         return F.when(
             (F.size(done) > 0) & (last["end"] >= span["start"]),
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider)),
