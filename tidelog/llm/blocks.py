@@ -33,7 +33,7 @@ class Layout(NamedTuple):
 def layout(docs: DataFrame, text: str, keys_per_byte: float) -> Layout:
     """Blocks and buckets for the size of the texts: both grow with the input, so that a group stays as large."""
     size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
-    least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return Layout(
         max(least, int(size) // BLOCK_BYTES + 1), max(least, int(int(size) * keys_per_byte) // BUCKET_KEYS + 1)
     )

@@ -102,12 +102,11 @@ def mix(
         F.monotonically_increasing_id().alias("row"),
     ).checkpoint()  # the texts are read once, and a row keeps its number
     liked = sized.groupBy("source").agg(
-        (F.sum(F.col("size") * F.col("preference")) / F.sum("size")).alias("mean_preference")
+        F.try_divide(F.sum(F.col("size") * F.col("preference")), F.sum("size")).alias("mean_preference")
     )
     sources = with_source(targets(weighted_sources(sized, weights), most), liked)
-    expected = F.least(
-        F.col("target") / F.col("source_size") * (F.col("preference") / F.col("mean_preference")), F.lit(float(most))
-    )
+    liking = F.try_divide("preference", "mean_preference")
+    expected = F.least(F.try_divide("target", "source_size") * liking, F.lit(float(most)))
     planned = (
         with_source(sized, sources)
         .withColumn("expected", F.when(F.col("size") > 0, F.coalesce(expected, F.lit(0.0))).otherwise(0.0))
