@@ -34,7 +34,9 @@ def test_language_of_held_out_documents(spark):
 def test_language_mixture_of_two(spark):
     docs = table(spark, LARGER, "documents")
     model = langid.train(docs)
-    by_lang = {r["lang"]: r["text"] for r in docs.where("length(text) > 2000").select("lang", "text").collect()}
+    pure = langid.predict(docs, model).where("size(languages) = 1").select("doc_id")  # some documents mix languages
+    long = docs.where("length(text) > 2000").join(pure, "doc_id").select("lang", "text").collect()
+    by_lang = {r["lang"]: r["text"] for r in long}
     both = by_lang["de"][:1200] + " " + by_lang["fr"][:1200]
     row = langid.predict(spark.createDataFrame([(1, both)], "doc_id long, text string"), model).first()
     shares = {x["lang"]: x["share"] for x in row["languages"]}
@@ -73,14 +75,14 @@ def test_em_finds_the_proportions():
 
 
 def test_toxicity_of_held_out_documents(spark):
-    """Ranking, as the small tables have few labels to learn from; clean documents are left alone."""
-    found = QUERIES["op6_toxicity"](spark, LARGER).join(table(spark, LARGER, "labels"), "doc_id").where("held_out").collect()
-    bad = np.array([r["score"] for r in found if r["toxic"]])
-    good = np.array([r["score"] for r in found if not r["toxic"]])
-    assert len(bad) >= 10
-    assert (bad[:, None] > good).mean() + 0.5 * (bad[:, None] == good).mean() > 0.75
-    assert (good >= 0.3).mean() <= 0.02
-    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in found)
+    """Most toxic documents are found, clean ones are left alone. The smaller tables have too few labels to learn from."""
+    large = "/root/testdata/sf0.1"
+    found = QUERIES["op6_toxicity"](spark, large).join(table(spark, large, "labels"), "doc_id").where("held_out").collect()
+    bad = [r["predicted"] for r in found if r["toxic"]]
+    good = [r["predicted"] for r in found if not r["toxic"]]
+    assert len(bad) >= 100
+    assert sum(bad) >= 0.85 * len(bad) and sum(good) <= 0.01 * len(good)
+    assert all(r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in found)
 
 
 def test_toxicity_edge_cases(spark, odd, empty):
