@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
-1. Voters. Fixed lexicons and style patterns, and lexicons and word beginnings mined from labelled rows: words, and the first four,
-   five and six bytes of words, that are much more frequent in toxic texts. A voter fires on a document or abstains.
+1. Voters. Fixed lexicons and style patterns, and what is mined from labelled rows: words and word beginnings (the first
+   four to eight bytes), occurring once or again in a text, that are much more frequent in toxic texts. A voter fires on a
+   document or abstains.
 2. Label model. The documents are counted by the pattern of voters that fire. From these counts alone expectation-maximisation
    estimates how often each voter fires on toxic and on other texts. What remains correlated between two voters
    given the label is estimated next, and a voter's evidence is shared among those it is correlated with.
@@ -30,22 +31,23 @@ from tidelog.llm import words
 SAMPLE = 12_000
 FEATURES = 2_000
 NOT_LETTER = words.byte_set((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
-HEADS = (4, 5, 6)  # bytes of a word's beginning
-KINDS = 1 + len(HEADS)  # whole words, then beginnings
+HEADS = (4, 5, 6, 7, 8)  # bytes of a word's beginning
 LEXICONS = (
     ("idiot", "moron", "stupid", "dumb", "fool", "imbecile", "clown"),
     ("loser", "pathetic", "worthless", "useless", "failure"),
     ("scum", "trash", "filth", "vermin", "garbage", "disgusting", "parasite"),
     ("hate", "despise", "kill", "die", "shut", "destroy"),
 )
-GROUPS = (3, 2, 2, 1)  # voters among which the mined features of each kind are dealt
+GROUPS = (3, 2, 2)  # voters among which mined words, beginnings, and beginnings that occur again are dealt
 STYLES = 2  # runs of exclamation marks, words in capitals
 VOTERS = len(LEXICONS) + sum(GROUPS) + STYLES
 
 
 class Mined(NamedTuple):
-    keys: np.ndarray  # sorted hashes of features
-    voters: np.ndarray  # the voter that each belongs to
+    keys: np.ndarray  # sorted hashes of words and beginnings
+    once: np.ndarray  # feature of each key where it occurs, or -1
+    again: np.ndarray  # feature of each key where it occurs at least twice, or -1
+    voters: np.ndarray  # the voter that each feature belongs to
 
 
 class ToxicityModel(NamedTuple):
@@ -120,13 +122,17 @@ def hits_of(buffer: np.ndarray, offsets: np.ndarray, mined: Mined) -> Hits:
             word, at = lookup(keys, LEXICON_KEYS)
             votes[texts[word], LEXICON_VOTERS[at]] = True
         word, at = lookup(keys, mined.keys)
-        votes[texts[word], mined.voters[at]] = True
-        rows.append(texts[word])
-        features.append(at)
+        pair, times = np.unique(texts[word] * max(1, len(mined.keys)) + at, return_counts=True)
+        own, at = np.divmod(pair, max(1, len(mined.keys)))
+        for chosen in (mined.once[at], np.where(times > 1, mined.again[at], -1)):
+            rows.append(own[chosen >= 0])
+            features.append(chosen[chosen >= 0])
+    row, feature = np.concatenate(rows), np.concatenate(features)
+    votes[row, mined.voters[feature]] = True
     for k, fired in enumerate(style_hits(found, found)):
         votes[:, VOTERS - STYLES + k] = fired
-    pair = np.unique(np.concatenate(rows) * max(1, len(mined.keys)) + np.concatenate(features))
-    return Hits(votes, *np.divmod(pair, max(1, len(mined.keys))))
+    order = np.lexsort((feature, row))
+    return Hits(votes, row[order], feature[order])
 
 
 def text_chunks(batches, column: str = "text"):
@@ -157,20 +163,28 @@ def mine(sampled: DataFrame, limit: int) -> Mined:
             for kind, keys in enumerate(feature_hashes(found)):
                 order = np.lexsort((keys, found.texts()))
                 keys, texts = keys[order], found.texts()[order]
-                new = np.ones(len(keys), dtype=bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])
-                keys, marks = keys[new & (keys != 0)], toxic[texts[new & (keys != 0)]]
-                every, where = np.unique(keys, return_inverse=True)
-                bad = np.bincount(where, weights=marks, minlength=len(every)).astype(np.int64)
-                good = np.bincount(where, minlength=len(every)) - bad
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * len(every), pa.int32()), pa.array(every.view(np.int64)), pa.array(bad), pa.array(good)],
-                    ["kind", "feature", "bad", "good"],
-                )
+                new = np.ones(len(keys) + 1, dtype=bool)
+                new[1:-1] = (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])
+                heads = np.flatnonzero(new)
+                times, keys, texts = np.diff(heads), keys[heads[:-1]], texts[heads[:-1]]
+                for own, chosen in ((min(kind, 1), keys != 0), (2, (keys != 0) & (times > 1) & (kind > 0))):
+                    every, where = np.unique(keys[chosen], return_inverse=True)
+                    bad = np.bincount(where, weights=toxic[texts[chosen]], minlength=len(every)).astype(np.int64)
+                    good = np.bincount(where, minlength=len(every)) - bad
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([own] * len(every), pa.int32()),
+                            pa.array(every.view(np.int64)),
+                            pa.array(bad),
+                            pa.array(good),
+                        ],
+                        ["kind", "feature", "bad", "good"],
+                    )
 
     total = sampled.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     if not total["bad"] or not total["good"]:
-        return Mined(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        none = np.zeros(0, np.int64)
+        return Mined(none.astype(np.uint64), none, none, none)
     rate_bad = (F.col("bad") + 0.1) / total["bad"]
     rate_good = (F.col("good") + 0.5) / total["good"]
     found = (
@@ -180,17 +194,20 @@ def mine(sampled: DataFrame, limit: int) -> Mined:
         .where(F.col("bad") >= 3)
         .withColumn("odds", F.log(rate_bad / rate_good) - 1.64 * F.sqrt(1 / F.col("bad") + 1 / (F.col("good") + 0.5)))
         .where(F.col("odds") >= 2.5)  # the lower bound of the log odds
-        .orderBy(F.col("odds").desc(), "feature")
+        .orderBy(F.col("odds").desc(), "feature", "kind")
         .limit(limit)
         .select("kind", "feature")
         .toArrow()
     )
-    keys = found["feature"].to_numpy().view(np.uint64)
+    keys = found["feature"].to_numpy().view(np.uint64)  # sorted by odds, so the number of a feature is its rank
     kinds = found["kind"].to_numpy()
     bases = len(LEXICONS) + np.concatenate([[0], np.cumsum(GROUPS)[:-1]])
     voters = bases[kinds] + (words.mix(keys, 70) % np.array(GROUPS, np.uint64)[kinds]).astype(np.int64)
-    order = np.argsort(keys)
-    return Mined(keys[order], voters[order])
+    every, where = np.unique(keys, return_inverse=True)
+    once, again = np.full((2, len(every)), -1)
+    once[where[kinds < 2]] = np.flatnonzero(kinds < 2)
+    again[where[kinds == 2]] = np.flatnonzero(kinds == 2)
+    return Mined(every, once, again, voters)
 
 
 class LabelModel(NamedTuple):
@@ -299,19 +316,19 @@ def fit(
     observed = sampled.mapInArrow(observe, "pattern long, features array<int>, toxic int").orderBy("pattern", "features").toArrow()
     bits = lambda column: (column.to_numpy()[:, None] >> np.arange(VOTERS)) & 1 == 1
     if not counts.num_rows:
-        return ToxicityModel(mined, np.zeros(len(mined.keys) + VOTERS), -3.0)
+        return ToxicityModel(mined, np.zeros(len(mined.voters) + VOTERS), -3.0)
     order = np.argsort(counts["pattern"].to_numpy())
     toxic = observed["toxic"].to_numpy()
     prior = float(toxic.mean()) if len(toxic) else 0.05
     model = label_model(bits(counts["pattern"])[order], counts["times"].to_numpy()[order], prior)
     if not len(toxic):  # nothing to train on: the evidence of the voters themselves
-        weights = np.concatenate([np.zeros(len(mined.keys)), model.weights[0] - model.weights[1]])
+        weights = np.concatenate([np.zeros(len(mined.voters)), model.weights[0] - model.weights[1]])
         return ToxicityModel(mined, weights, float(np.log(model.prior / (1 - model.prior)) + model.weights[1].sum()))
     votes = bits(observed["pattern"])
     lists = observed["features"].combine_chunks()
     rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
     hits = Hits(votes, rows, lists.flatten().to_numpy().astype(np.int64))
-    return ToxicityModel(mined, *regression(hits, len(mined.keys), posterior(votes, model)))
+    return ToxicityModel(mined, *regression(hits, len(mined.voters), posterior(votes, model)))
 
 
 def received(sent: tuple) -> ToxicityModel:
@@ -320,7 +337,7 @@ def received(sent: tuple) -> ToxicityModel:
 
 def scores(buffer: np.ndarray, offsets: np.ndarray, model: ToxicityModel) -> np.ndarray:
     hits = hits_of(buffer, offsets, model.mined)
-    size = len(model.mined.keys)
+    size = len(model.mined.voters)
     odds = hits.votes @ model.weights[size:] + model.bias
     odds += np.bincount(hits.rows, weights=model.weights[hits.features], minlength=len(offsets) - 1)
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
