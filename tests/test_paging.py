@@ -1,4 +1,5 @@
 import base64
+import json
 
 from conftest import plan_of, utc
 from pyspark.sql import functions as F
@@ -139,3 +140,44 @@ def test_bad_tokens(spark):
     frame = spark.createDataFrame([(t,) for t in BAD_TOKENS], "token STRING")
     rows = frame.select("token", cursor_fields(F.col("token")).alias("c")).filter("c IS NOT NULL").collect()
     assert rows == []
+
+
+def token_of(stamp, row_id="5"):
+    return base64.urlsafe_b64encode(json.dumps({"timestamp": stamp, "id": row_id}).encode()).decode().rstrip("=")
+
+
+STAMPS = [
+    "2026-07-20T14:32:01Z",
+    "2026-07-20T14:32:01.123456789Z",
+    "2026-07-20T14:32:01+05:30",
+    "2026-07-20T14:32:01-17:59",
+    "0001-01-01T00:00:00Z",
+    "9999-12-31T23:59:59.999999Z",
+    "0001-01-01T00:00:00+05:00",
+    "9999-12-31T23:59:59-05:00",
+    "0000-06-01T00:00:00Z",
+    "2026-02-30T00:00:00Z",
+    "2026-07-20T24:00:00Z",
+    "2026-07-20T14:32:01",
+    "2026-07-20T14:32:01+18:30",
+    "T12:30:00",
+    "2024",
+    "2024-01-01",
+    "20240101T000000Z",
+    "2026-07-20 14:32:01Z",
+    "2026-07-20T14:32Z",
+    " 2026-07-20T14:32:01Z",
+    "2026-07-20T14:32:01Z\n",
+    "",
+]
+
+
+def test_both_ways_of_decoding_agree(spark):
+    tokens = [token_of(s) for s in STAMPS] + BAD_TOKENS + [token_of(STAMPS[0]) + "=", token_of(STAMPS[0], "-7"), "a b", "%%"]
+    frame = spark.createDataFrame([(t,) for t in tokens], "token STRING")
+    rows = frame.select("token", cursor_fields(F.col("token")).alias("c")).collect()
+    by_column = {r["token"]: r["c"] and (utc(r["c"]["timestamp"]), r["c"]["id"]) for r in rows}
+    for token in tokens:
+        found = Cursor.decode(token)
+        assert by_column[token] == (found and (found.timestamp, found.id)), token
+    assert sum(Cursor.decode(token_of(s)) is not None for s in STAMPS) == 6

@@ -106,3 +106,11 @@ def test_times(text, instant):
 def test_bad_times(text):
     with pytest.raises(RequestError):
         parse_time(text, "since")
+
+
+def test_a_very_long_limit_is_answered_like_a_large_one():
+    with pytest.raises(RequestError) as large:
+        ListRequest.parse({"limit": "99999"})
+    with pytest.raises(RequestError) as long:
+        ListRequest.parse({"limit": "9" * 5000})
+    assert str(large.value) == str(long.value)

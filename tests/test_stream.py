@@ -28,7 +28,7 @@ def test_one_file_is_one_envelope_and_batches_add_up(spark, tmp_path):
         write(inbox, f"{i}.json", f"2026-07-18T10:0{i}:00Z", "2026-07-18T10:00:30Z", "bad")
     drain(spark, inbox, path, checkpoint, max_files=2)
     table = LogTable(spark, str(path))
-    assert [(c.batch_id, c.accepted, c.rejected) for c in table.commits()] == [(0, 4, 2), (1, 4, 2), (2, 2, 1)]
+    assert [(c.number, c.accepted, c.rejected) for c in table.commits()] == [(0, 4, 2), (1, 4, 2), (2, 2, 1)]
     # a late row adds to its old minute, equal rows stay apart
     write(inbox, "late.json", "2026-07-18T10:00:00Z", "2020-01-01T00:00:00Z")
     drain(spark, inbox, path, checkpoint)
@@ -61,3 +61,13 @@ def test_lines(spark, tmp_path):
     assert len({r["batch_key"] for r in rows}) == 3
     whole = read_envelopes(spark, str(folder)).collect()
     assert len(whole) == 1 and whole[0]["batch_key"].endswith("a.txt")
+
+
+def test_new_checkpoint_and_second_stream_add_their_rows(spark, tmp_path):
+    path = tmp_path / "table"
+    for name in ("one", "two"):
+        write(tmp_path / f"in-{name}", "a.json", "2026-07-18T10:00:00Z")
+        drain(spark, tmp_path / f"in-{name}", path, tmp_path / f"check-{name}")
+    drain(spark, tmp_path / "in-one", path, tmp_path / "check-new")
+    drain(spark, tmp_path / "in-one", path, tmp_path / "check-new")
+    assert LogTable(spark, str(path)).rows().count() == 3

@@ -7,7 +7,7 @@ import binascii
 import json
 import re
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +18,14 @@ from tidelog.functions.times import iso_micros, utc
 ID_TEXT = re.compile(r"-?[0-9]{1,19}")
 MAX_ID = 2**63 - 1
 
+# Both ways of decoding read this grammar: base64url letters, an ISO 8601 time with a zone, years 1 to 9999 in UTC.
+TOKEN = r"^[A-Za-z0-9_-]+={0,2}\z"
+TIME = (
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]{1,9})?"
+    r"(Z|[+-](0[0-9]|1[0-7]):[0-5][0-9])\z"
+)
+FIRST, LAST = "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999"
+
 
 @dataclass(frozen=True)
 class Cursor:
@@ -32,8 +40,10 @@ class Cursor:
     @classmethod
     def decode(cls, token: str) -> Cursor | None:
         """None for anything that is not a cursor."""
+        if not re.search(TOKEN.replace(r"\z", r"\Z"), token):
+            return None
         try:
-            raw = base64.urlsafe_b64decode(token + "=" * (-len(token) % 4))
+            raw = base64.urlsafe_b64decode(token.rstrip("=") + "=" * (-len(token.rstrip("=")) % 4))
             doc = json.loads(raw.decode())
         except (binascii.Error, ValueError, RecursionError):
             return None
@@ -44,13 +54,12 @@ class Cursor:
             return None
         if abs(int(row_id)) > MAX_ID:
             return None
+        if not re.search(TIME.replace(r"\z", r"\Z"), stamp):
+            return None
         try:
-            parsed = datetime.fromisoformat(stamp)
-        except ValueError:
+            return cls(utc(datetime.fromisoformat(stamp)), int(row_id))
+        except (ValueError, OverflowError):  # no such day, or beyond the years
             return None
-        if parsed.tzinfo is None:
-            parsed = parsed.replace(tzinfo=timezone.utc)
-        return cls(utc(parsed), int(row_id))
 
 
 def cursor_token(ts: Column, row_id: Column) -> Column:
@@ -63,7 +72,9 @@ def cursor_token(ts: Column, row_id: Column) -> Column:
 
 def cursor_fields(token: Column) -> Column:
     """Struct (timestamp, id), or NULL when the token is not a cursor. For whole columns of tokens."""
-    text = F.try_validate_utf8(F.try_to_binary(F.translate(token, "-_", "+/"), F.lit("base64")).cast("string"))
+    letters = F.when(token.rlike(TOKEN), F.translate(token, "-_=", "+/"))
+    padded = F.rpad(letters, (F.floor((F.length(letters) + 3) / 4) * 4).cast("int"), F.lit("="))
+    text = F.try_validate_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
     doc = F.try_parse_json(text)
     stamp, row_id = F.try_variant_get(doc, "$.timestamp", "variant"), F.try_variant_get(doc, "$.id", "variant")
     id_text = F.try_variant_get(row_id, "$", "string")
@@ -73,7 +84,8 @@ def cursor_fields(token: Column) -> Column:
         (F.schema_of_variant(stamp) == "STRING")
         & (F.schema_of_variant(row_id) == "STRING")
         & id_text.rlike(r"^-?[0-9]{1,19}\z")
-        & parsed_ts.isNotNull()
+        & F.try_variant_get(stamp, "$", "string").rlike(TIME)
+        & parsed_ts.between(F.lit(FIRST).cast("timestamp"), F.lit(LAST).cast("timestamp"))
         & parsed_id.isNotNull()
     )
     return F.when(valid, F.struct(parsed_ts.alias("timestamp"), parsed_id.alias("id")))

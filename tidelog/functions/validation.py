@@ -37,6 +37,9 @@ BODY_SHAPE = 'Request body must be { "logs": [...] }'
 ISO_8601 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})\z"
 UTC_MILLIS_SHAPE = r"(?s)^.{4}-.{2}-.{2}T.{2}:.{2}:.{2}\..{3}Z\z"
 
+# The first instant that dates of the stored days can express: 0001-01-01T00:00:00Z.
+_FIRST_MICROS = -62_135_596_800_000_000
+
 # Midnight written as the end of a day.
 _END_OF_DAY = r"T24:00:00(\.0+)?[Z+-]"
 
@@ -86,12 +89,13 @@ def entry_fields(entry: Column) -> EntryFields:
 
 
 def parse_timestamp(fields: EntryFields) -> Column:
-    """Instant of an ISO 8601 text with a zone, to the microsecond; NULL for an impossible date."""
+    """Instant of an ISO 8601 text with a zone, to the microsecond; NULL for an impossible date or one before year 1."""
     text = fields.timestamp_text
     next_day = F.regexp_replace(text, "T24:", "T00:").try_cast("timestamp") + F.expr("INTERVAL 1 DAY")
     plain = text.try_cast("timestamp")
     ends_day = (F.substring(text, 11, 3) == "T24") & text.rlike(_END_OF_DAY)
-    return F.when(fields.is_iso, F.when(ends_day, next_day).otherwise(plain))
+    instant = F.when(ends_day, next_day).otherwise(plain)
+    return F.when(fields.is_iso & (instant >= F.timestamp_micros(F.lit(_FIRST_MICROS))), instant)
 
 
 def _is_filled_text(kind: Column, value: Column) -> Column:

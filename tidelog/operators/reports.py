@@ -12,6 +12,9 @@ from tidelog.operators.positions import with_positions
 # Reported percentiles.
 PERCENTILES = (50, 95, 99)
 
+# Up to this many kinds the wanted ranks (a few numbers each) are sent to every task.
+MOST_KINDS = 100_000
+
 
 def latency_summary(samples: DataFrame, kind: str = "kind", value: str = "ms") -> DataFrame:
     """Exact nearest-rank percentiles (rank ``ceil(p/100*n)``), maximum and count per kind.
@@ -26,10 +29,10 @@ def latency_summary(samples: DataFrame, kind: str = "kind", value: str = "ms") -
         F.monotonically_increasing_id().alias("salt"),
     ).filter(F.col("value").isNotNull())
     placed = with_positions(salted, "kind", "value", "salt")
-    stats = placed.groupBy("kind").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("position").alias("start"),
-        F.max("value").alias("max"),
+    stats = (
+        placed.groupBy("kind")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("start"), F.max("value").alias("max"))
+        .checkpoint()
     )
     wanted = stats.select(
         "kind",
@@ -47,6 +50,9 @@ def latency_summary(samples: DataFrame, kind: str = "kind", value: str = "ms") -
             )
         ).alias("rank"),
     ).select("kind", "n", "max", "rank.p", "rank.position")
+    # The wanted ranks go to the samples: a second exchange of all samples is left to more kinds than are ever reported.
+    if stats.count() <= MOST_KINDS:
+        wanted = F.broadcast(wanted)
     picked = placed.select("position", "value").join(wanted, "position")
     return picked.groupBy("kind", "n", "max").agg(
         *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{p}") for p in PERCENTILES]

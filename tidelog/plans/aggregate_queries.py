@@ -104,7 +104,7 @@ def _three_batches(spark, sf_dir) -> LogTable:
     table = LogTable(spark, scratch_path(spark, "upsert"))
     logs = tables.logs(spark, sf_dir).withColumn("attributes", F.try_parse_json("attributes"))
     for part in (0, 1, 2, 2):
-        table.append(logs.filter(F.col("id") % 3 == part), part)
+        table.append(logs.filter(F.col("id") % 3 == part), "sample", part)
     return table
 
 

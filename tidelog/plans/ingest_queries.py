@@ -165,7 +165,7 @@ def reject_reason_counts(spark, sf_dir):
 def ingest_accepted_rows(spark, sf_dir):
     """Envelopes validated and written to a log table, read back."""
     table = LogTable(spark, scratch_path(spark, "ingest"))
-    table.ingest(tables.envelopes(spark, sf_dir), 0, NOW)
+    table.ingest(tables.envelopes(spark, sf_dir), "sample", 0, NOW)
     return _log_columns(table.rows())
 
 

@@ -52,6 +52,6 @@ def stored_logs(spark: SparkSession, sf_dir: str) -> LogTable:
         path = scratch_path(spark, "logs")
         logs = sample_tables.logs(spark, sf_dir)
         parsed = logs.withColumn("attributes", F.try_parse_json("attributes"))
-        LogTable(spark, path).append(parsed, 0)
+        LogTable(spark, path).append(parsed, "sample", 0)
         _stored[key] = path
     return LogTable(spark, _stored[key])

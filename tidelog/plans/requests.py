@@ -90,7 +90,8 @@ class ListRequest:
             if not re.fullmatch(r"[0-9]+", params["limit"]):
                 raise RequestError("limit must be a positive integer")
             try:
-                limit = listing.check_limit(int(params["limit"]))
+                # More digits say no more than that the limit is too large.
+                limit = listing.check_limit(int(params["limit"].lstrip("0")[:10] or 0))
             except ValueError as error:
                 raise RequestError(str(error)) from error
         cursor = None

@@ -17,15 +17,17 @@ LOG_SCHEMA = T.StructType(
 )
 LOG_COLUMNS = LOG_SCHEMA.names
 
-# One row per received entry. Accepted rows fill the log columns, rejected rows the last four.
+# One row per received entry, and one for each refused or empty envelope. Accepted rows fill the log columns, rejected
+# rows the last two. ``origin`` is the batch that brought the row, also after compaction.
 ENTRY_SCHEMA = T.StructType(
     LOG_SCHEMA.fields
     + [
+        T.StructField("origin", T.StringType()),
         T.StructField("batch_key", T.StringType()),
         T.StructField("index", T.IntegerType()),
         T.StructField("reason", T.StringType()),
         T.StructField("entry", T.StringType()),
-        T.StructField("batch_id", T.LongType()),
+        T.StructField("batch_id", T.StringType()),
         T.StructField("outcome", T.StringType()),
         T.StructField("log_date", T.DateType()),
     ]
@@ -38,22 +40,8 @@ ROLLUP_SCHEMA = T.StructType(
         T.StructField("service", T.StringType()),
         T.StructField("level", T.StringType()),
         T.StructField("log_count", T.LongType()),
-        T.StructField("batch_id", T.LongType()),
+        T.StructField("batch_id", T.StringType()),
         T.StructField("version", T.IntegerType()),
         T.StructField("bucket_date", T.DateType()),
     ]
 )
-
-# One small record per committed batch.
-COMMIT_SCHEMA = T.StructType(
-    [
-        T.StructField("batch_id", T.LongType()),
-        T.StructField("version", T.IntegerType()),
-        T.StructField("accepted", T.LongType()),
-        T.StructField("rejected", T.LongType()),
-        T.StructField("id_limit", T.LongType()),
-        T.StructField("first_date", T.DateType()),
-        T.StructField("last_date", T.DateType()),
-        T.StructField("replaces", T.ArrayType(T.LongType())),
-    ]
-)

@@ -1,34 +1,39 @@
 """The stored log: Parquet rows by batch and UTC day, rollup deltas, commit records.
 
-    rows/batch_id=N/outcome=accepted|rejected/log_date=D/
-    rollup/batch_id=N/version=V/bucket_date=D/
-    commits/N.V/
-
-A batch is written whole, then committed by one small record. Readers take
-committed batches only, so rows and rollup become visible together; a batch that
-was interrupted is overwritten by its replay, and a committed one is not written
-again. One writer per table.
+    rows/batch_id=STREAM-N/outcome=accepted|rejected|empty/log_date=D/
+    rollup/batch_id=STREAM-N/version=V/bucket_date=D/
+    commits/STREAM-N.V.R
+
+A batch belongs to a stream and has a number that grows within it. It is written whole, then committed by one small record.
+Readers take committed batches only, so rows and rollup become visible together; a batch that was interrupted is
+overwritten by its replay, and a number that its stream has committed before is not written again. Streams do not know of
+each other. A record lists the days that are visible: version V counts rebuilt deltas, revision R expiries. One writer at a
+time per table.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-from datetime import date, datetime, time, timedelta, timezone
+import json
+import re
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field, replace
+from datetime import date, datetime, time, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.functions.times import utc
+from tidelog.functions.times import bucket_start, utc
 from tidelog.operators import aggregate, ingest, listing, retention, rollup
 from tidelog.operators.filters import LogFilter, last_day_before
-from tidelog.schema import COMMIT_SCHEMA, ENTRY_SCHEMA, LOG_COLUMNS, ROLLUP_SCHEMA
+from tidelog.schema import ENTRY_SCHEMA, LOG_COLUMNS, ROLLUP_KEYS, ROLLUP_SCHEMA
 from tidelog.session import prepare, settings
 from tidelog.sources import paths
 
-# Ids: every scan task of a batch has a range of 2^26 numbers.
+# Ids: every scan task of a batch has a range of 2^26 numbers. A task with more rows goes on in further ranges.
 ID_ROW_BITS = 26
 _SLOT_ROW_BITS = 33
+_MOST_TASKS = 1 << 20
 
 # Shuffled bytes that make one file of rows. Rows shrink about tenfold in Parquet, so
 # Spark's 64 MB would leave small files. With little data Spark still uses all cores.
@@ -37,28 +42,57 @@ FILE_BYTES = "512MB"
 # Batches below this many rows are merged by compaction; larger ones are left alone.
 COMPACT_BELOW = 50_000_000
 
+STREAM = re.compile(r"[A-Za-z0-9_]{1,64}")
+MERGED = "merged"  # the stream of compaction
+
+# More commit records than this are read by a Spark job instead of one by one.
+_READ_SINGLY = 32
+
+# Times that carry file statistics, so that time bounds skip row groups.
+_TIMES = {"spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS"}
+
+_known: dict[str, dict[str, Commit]] = {}  # commit records by table, and by name and time of their file
+
 
 @dataclass(frozen=True)
 class Commit:
-    batch_id: int
+    stream: str
+    number: int
     version: int
     accepted: int
     rejected: int
     id_limit: int
-    first_date: date | None
-    last_date: date | None
-    replaces: tuple[int, ...] = ()
-
-    def may_hold(self, where: LogFilter | None) -> bool:
-        """False when no day of the batch lies in the time range."""
-        if where is None:
-            return True
-        if self.first_date is None:
-            return False
-        if where.since is not None and self.last_date < utc(where.since).date():
-            return False
-        newest_day = _newest_day(where)
-        return newest_day is None or self.first_date <= newest_day
+    days: tuple[str, ...]  # of accepted rows
+    rejected_days: tuple[str, ...]  # the day of their arrival, as for empty envelopes
+    empty_days: tuple[str, ...]
+    delta_days: tuple[str, ...] = ()
+    revision: int = 0
+    replaces: tuple[str, ...] = ()  # batches that this one merged
+    seen: dict[str, int] = field(default_factory=dict)  # highest number of each merged stream
+
+    @property
+    def batch(self) -> str:
+        return f"{self.stream}-{self.number}"
+
+    @property
+    def first_date(self) -> date | None:
+        return date.fromisoformat(self.days[0]) if self.days else None
+
+    @property
+    def last_date(self) -> date | None:
+        return date.fromisoformat(self.days[-1]) if self.days else None
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """What one call sees of the table: the newest record of every batch, also of merged ones."""
+
+    records: list[Commit]
+
+    @property
+    def live(self) -> list[Commit]:
+        gone = {b for c in self.records for b in c.replaces}
+        return [c for c in self.records if c.batch not in gone]
 
 
 class LogTable:
@@ -70,129 +104,173 @@ class LogTable:
     # -- reading ---------------------------------------------------------------
 
     def commits(self) -> list[Commit]:
-        """Live commits in batch order."""
-        records = self._records()
-        gone = {b for c in records for b in c.replaces}
-        return [c for c in records if c.batch_id not in gone]
+        """Live commits by stream and number."""
+        return self.snapshot().live
 
-    def _records(self) -> list[Commit]:
-        """The newest version of every commit, also of batches that compaction replaced.
-
-        One small record per batch since the last vacuum.
-        """
+    def snapshot(self) -> Snapshot:
+        """One listing of the records; only those not read before are opened."""
         folder = f"{self.path}/commits"
-        if not paths.exists(self.spark, folder):
-            return []
-        reader = self.spark.read.schema(COMMIT_SCHEMA).option("recursiveFileLookup", True)
-        newest: dict[int, Commit] = {}
-        for row in reader.json(folder).collect():
-            commit = Commit(**{**row.asDict(), "replaces": tuple(row["replaces"] or ())})
-            known = newest.get(commit.batch_id)
-            if known is None or known.version < commit.version:
-                newest[commit.batch_id] = commit
-        return [newest[b] for b in sorted(newest)]
+        known = _known.setdefault(self.path, {})
+        present = {n: stamp for n, stamp in paths.stamped_names(self.spark, folder).items() if n[0] not in "._"}
+        new = [n for n, stamp in present.items() if stamp not in known]
+        if len(new) > _READ_SINGLY:
+            lines = self.spark.read.text([f"{folder}/{n}" for n in new]).select("value", "_metadata.file_name").collect()
+            known.update({present[r["file_name"]]: _parse(r["value"]) for r in lines})
+        else:
+            known.update({present[n]: _parse(paths.read_text(self.spark, f"{folder}/{n}")) for n in new})
+        newest: dict[str, Commit] = {}
+        for commit in (known[stamp] for stamp in present.values()):
+            known_as = newest.get(commit.batch)
+            if known_as is None or (known_as.version, known_as.revision) < (commit.version, commit.revision):
+                newest[commit.batch] = commit
+        return Snapshot(sorted(newest.values(), key=lambda c: (c.stream, c.number)))
 
     def rows(self, where: LogFilter | None = None) -> DataFrame:
         """Accepted rows of committed batches, with ``log_date`` for partition pruning.
 
-        Batches without a day in the range of ``where`` are not even listed.
+        Only the folders of days in the range of ``where`` are opened.
         """
-        found = self._accepted([c for c in self.commits() if c.may_hold(where)])
+        found = self._accepted(self.snapshot(), where)
         return found if where is None else where.apply(found)
 
     def rejects(self) -> DataFrame:
         """Rejected entries; a refused envelope has no ``index`` and no ``entry``."""
-        return self._entries([c.batch_id for c in self.commits()], "rejected").select(
-            "batch_id", "batch_key", "index", "reason", "entry"
+        found = self._entries(self.snapshot(), "rejected")
+        return found.select(F.col("origin").alias("batch"), "batch_key", "index", "reason", "entry")
+
+    def envelopes(self) -> DataFrame:
+        """Per stored envelope its status, the error of a refused one, and the number of accepted entries."""
+        now = self.snapshot()
+        parts = [
+            self._entries(now, outcome).select(
+                F.col("origin").alias("batch"),
+                "batch_key",
+                F.lit(int(outcome == "accepted")).alias("accepted"),
+                (F.col("reason") if outcome == "rejected" else F.lit(None).cast("string")).alias("reason"),
+                "index",
+            )
+            for outcome in ("accepted", "rejected", "empty")
+        ]
+        every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        counted = every.groupBy("batch", "batch_key").agg(
+            F.sum("accepted").alias("accepted"), F.max(F.when(F.col("index").isNull(), F.col("reason"))).alias("error")
         )
+        status = (
+            F.when(F.col("error").isNotNull(), ingest.REFUSED)
+            .when(F.col("accepted") > 0, ingest.OK)
+            .otherwise(ingest.REJECTED)
+        )
+        return counted.select("batch", "batch_key", status.alias("status"), "error", "accepted")
 
     def rollup_deltas(self, where: LogFilter | None = None) -> DataFrame:
-        live = [c for c in self.commits() if c.may_hold(where)]
-        return self._read("rollup", [_delta_folder(c) for c in live], ROLLUP_SCHEMA)
+        return self._deltas(self.snapshot(), where)
 
     def rollup(self) -> DataFrame:
         return rollup.total(self.rollup_deltas())
 
-    def recent(self, where: LogFilter, enough: int) -> DataFrame:
-        """Matching rows of the newest days that hold at least ``enough`` of them, else all.
-
-        The span of days grows until it suffices, so that a page of recent rows does
-        not read the whole table. Each step stops at ``enough`` rows per task; days
-        read in vain add up to a third of the last span.
-        """
-        live = [c for c in self.commits() if c.first_date and c.may_hold(where)]
-        if live:
-            first = min(c.first_date for c in live)
-            last = min(filter(None, [max(c.last_date for c in live), _newest_day(where)]))
-            span = timedelta(days=1)
+    def audit(self) -> DataFrame:
+        """Minutes in which the stored deltas differ from the stored rows; days without rows by retention are left out."""
+        now = self.snapshot()
+        kept = [_with_deltas(c, [d for d in c.delta_days if d in set(c.days)]) for c in now.live]
+        return rollup.audit(self._accepted(now), rollup.total(self._deltas(Snapshot(kept), None)))
+
+    def _spans(self, now: Snapshot, where: LogFilter) -> Iterator[LogFilter]:
+        """The filter on growing spans of the newest days, the whole range last."""
+        days = [d for c in now.live for d in _in_range(c.days, where)]
+        if days:
+            first, last = (date.fromisoformat(d).toordinal() for d in (min(days), max(days)))
+            span = 1
             while last - span >= first:
-                start = datetime.combine(last - span + timedelta(days=1), time(), timezone.utc)
-                if where.since is not None and utc(where.since) >= start:
-                    break
-                bounded = replace(where, since=start)
-                rows = bounded.apply(self._accepted([c for c in live if c.may_hold(bounded)]))
-                if rows.limit(enough).count() == enough:
-                    return rows
-                span *= 4
-        return where.apply(self._accepted(live))
+                start = datetime.combine(date.fromordinal(last - span + 1), time(), timezone.utc)
+                yield replace(where, since=start)
+                span *= 8
+        yield where
 
     def newest(self, where: LogFilter, limit: int = listing.DEFAULT_LIMIT) -> DataFrame:
-        return listing.newest(self.recent(where, listing.check_limit(limit)), limit)
+        """The newest matching rows, from the newest days that hold enough of them."""
+        now, enough = self.snapshot(), listing.check_limit(limit)
+        found = None
+        for part in self._spans(now, where):
+            found = part.apply(self._accepted(now, part))
+            if part is not where and found.limit(enough).count() == enough:
+                break
+        return listing.newest(found, limit)
 
     def page(self, where: LogFilter, limit: int = listing.DEFAULT_LIMIT) -> listing.Page:
         """A page of the stored log on the driver; its cursor goes into the filter of the next."""
-        return listing.fetch_page(self.recent(where, listing.check_limit(limit) + 1), limit)
+        now, page = self.snapshot(), None
+        for part in self._spans(now, where):
+            page = listing.fetch_page(part.apply(self._accepted(now, part)), limit)
+            if page.next_cursor is not None:  # full, and more rows follow
+                break
+        return page
 
     def counts(
         self, where: LogFilter, bucket: str, group_by: str | None = None, exact: bool = False
     ) -> DataFrame:
-        """Counts per bucket, from the rollup where it can answer.
-
-        Opening a side lists its files, so only the sides that are read are opened.
-        """
+        """Counts per bucket, from the rollup where it can answer. Only the sides that are read are opened."""
+        now = self.snapshot()
         if not aggregate.rollup_answers(where):
-            counted = aggregate.from_logs(self.rows(where), LogFilter(), bucket, group_by)
+            counted = aggregate.from_logs(where.apply(self._accepted(now, where)), LogFilter(), bucket, group_by)
             return aggregate.in_order(counted)
-        deltas = self.rollup_deltas(where)
+        deltas = self._deltas(now, where)
         if not exact:
             return aggregate.in_order(aggregate.from_rollup(deltas, where, bucket, group_by))
-        logs = self._accepted([c for c in self.commits() if c.may_hold(where)])
+        edges = {utc(t).date().isoformat() for t in (where.since, where.until) if t is not None}
+        logs = self._accepted(now, where, edges)
         return aggregate.aggregate(logs, deltas, where, bucket, group_by, exact)
 
-    def _accepted(self, commits: list[Commit]) -> DataFrame:
-        entries = self._entries([c.batch_id for c in commits], "accepted")
-        return entries.select(*LOG_COLUMNS, "log_date")
+    def _accepted(self, now: Snapshot, where: LogFilter | None = None, only: set[str] | None = None) -> DataFrame:
+        return self._entries(now, "accepted", where, only).select(*LOG_COLUMNS, "log_date")
 
-    def _entries(self, batches: list[int], outcome: str) -> DataFrame:
-        folders = [f"batch_id={b}/outcome={outcome}" for b in batches]
+    def _entries(
+        self,
+        now: Snapshot,
+        outcome: str,
+        where: LogFilter | None = None,
+        only: set[str] | None = None,
+        commits: list[Commit] | None = None,
+    ) -> DataFrame:
+        """Rows of the batches, from the folders of the days in range."""
+        folders = []
+        for c in now.live if commits is None else commits:
+            days = {"accepted": c.days, "rejected": c.rejected_days, "empty": c.empty_days}[outcome]
+            wanted = [d for d in _in_range(days, where) if only is None or d in only]
+            folders += _folders(c, f"batch_id={c.batch}/outcome={outcome}", "log_date", wanted, days)
         return self._read("rows", folders, ENTRY_SCHEMA)
 
+    def _deltas(self, now: Snapshot, where: LogFilter | None, commits: list[Commit] | None = None) -> DataFrame:
+        folders = []
+        for c in now.live if commits is None else commits:
+            folders += _folders(c, _delta_folder(c), "bucket_date", _in_range(c.delta_days, where), c.delta_days)
+        return self._read("rollup", folders, ROLLUP_SCHEMA)
+
     def _read(self, area: str, folders: list[str], schema: T.StructType) -> DataFrame:
         base = f"{self.path}/{area}"
-        present = [f"{base}/{f}" for f in folders if paths.exists(self.spark, f"{base}/{f}")]
-        if not present:
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", base).parquet(*present)
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/{f}" for f in folders])
 
     # -- writing ---------------------------------------------------------------
 
     def ingest(
         self,
         envelopes: DataFrame,
-        batch_id: int,
+        stream: str,
+        number: int,
         now: datetime,
         max_service_len: int | None = None,
     ) -> Commit:
-        """Validate and store one batch of envelopes ``(batch_key, body)``; a replay is a no-op."""
+        """Validate and store one batch of envelopes ``(batch_key, body)`` of a stream; a replay is a no-op."""
         opened = ingest.open_envelopes(envelopes)
-        # A refused envelope stays as one row without index and entry.
-        entries = opened.select(
-            "batch_key", "problem", F.posexplode_outer("logs").alias("index", "entry")
-        ).filter(F.col("index").isNotNull() | F.col("problem").isNotNull())
+        # A refused envelope, and an empty one, stays as one row without index and entry.
+        entries = opened.select("batch_key", "problem", F.posexplode_outer("logs").alias("index", "entry"))
         validated = ingest.validate_entries(entries, now, max_service_len)
-        return self._store(validated.withColumn("reason", F.coalesce("problem", "reason")), batch_id)
+        empty = F.col("index").isNull() & F.col("problem").isNull()
+        judged = validated.withColumn("empty", empty).withColumn("reason", F.coalesce("problem", "reason"))
+        return self._store(judged, stream, number, utc(now).date())
 
-    def append(self, logs: DataFrame, batch_id: int) -> Commit:
+    def append(self, logs: DataFrame, stream: str, number: int) -> Commit:
         """Store rows known to be valid: the log columns without id."""
         nothing = F.lit(None)
         return self._store(
@@ -202,100 +280,112 @@ class LogTable:
                 nothing.cast("int").alias("index"),
                 nothing.cast("string").alias("reason"),
                 nothing.cast("variant").alias("entry"),
+                F.lit(False).alias("empty"),
             ),
-            batch_id,
+            stream,
+            number,
+            None,
         )
 
-    def _store(self, validated: DataFrame, batch_id: int) -> Commit:
-        if batch_id < 0:
-            raise ValueError("negative batch ids are taken by compaction")
-        records = self._records()
+    def _store(self, validated: DataFrame, stream: str, number: int, arrival: date | None) -> Commit:
+        if not isinstance(stream, str) or not STREAM.fullmatch(stream) or stream == MERGED:
+            raise ValueError("a batch needs the name of its stream: letters, digits and _")
+        if number < 0:
+            raise ValueError("batches of a stream are numbered from 0")
+        records = self.snapshot().records
         for commit in records:
-            if batch_id == commit.batch_id or batch_id in commit.replaces:
+            own = commit.number if commit.stream == stream else -1
+            if number <= max(own, commit.seen.get(stream, -1)):
                 return commit
         id_base = max((c.id_limit for c in records), default=0)
-        ok = F.col("reason").isNull()
+        outcome = F.when(F.col("empty"), "empty").when(F.col("reason").isNull(), "accepted").otherwise("rejected")
+        ok, refused = outcome == "accepted", outcome == "rejected"
 
         # Ids are given in scan order, before the exchange: entries of one envelope keep their order.
         row = F.col("_slot").bitwiseAND(F.lit((1 << _SLOT_ROW_BITS) - 1))
-        task = F.shiftright("_slot", _SLOT_ROW_BITS)
-        row_id = F.when(
-            row < (1 << ID_ROW_BITS), F.shiftleft(task, ID_ROW_BITS) + row + F.lit(id_base)
-        ).otherwise(F.raise_error(F.lit("too many rows in one scan task for its id range")))
+        ranges = F.shiftright("_slot", _SLOT_ROW_BITS) + F.shiftright(row, ID_ROW_BITS) * F.lit(_MOST_TASKS)
+        within = row.bitwiseAND(F.lit((1 << ID_ROW_BITS) - 1))
+        row_id = F.shiftleft(ranges, ID_ROW_BITS) + within + F.lit(id_base)
         numbered = validated.withColumn("_slot", F.monotonically_increasing_id()).select(
             row_id.cast("bigint").alias("id"),
             *[F.when(ok, F.col(c)).alias(c) for c in LOG_COLUMNS if c != "id"],
-            *[F.when(~ok, F.col(c)).alias(c) for c in ("batch_key", "index", "reason")],
-            F.when(~ok, F.to_json("entry")).alias("entry"),
-            F.when(ok, "accepted").otherwise("rejected").alias("outcome"),
-            F.when(ok, F.to_date("timestamp")).alias("log_date"),
+            F.lit(f"{stream}-{number}").alias("origin"),
+            "batch_key",
+            "index",
+            F.when(refused, F.col("reason")).alias("reason"),
+            F.when(refused, F.to_json("entry")).alias("entry"),
+            outcome.alias("outcome"),
+            F.when(ok, F.to_date("timestamp")).otherwise(F.lit(arrival)).alias("log_date"),
+        )
+        seen = self._write_rows(numbered, f"{stream}-{number}")
+        limit = id_base
+        if seen["accepted"]:
+            limit = max(id_base, ((seen["max_id"] >> ID_ROW_BITS) + 1) << ID_ROW_BITS)
+        commit = Commit(
+            stream, number, 0, seen["accepted"], seen["rejected"], limit, *self._days_of(f"{stream}-{number}")
         )
-        self._write_rows(numbered, batch_id)
-        return self._commit(batch_id, id_base)
+        written = self._entries(Snapshot([commit]), "accepted")
+        return self._finish(commit, rollup.build(written))
 
-    def _write_rows(self, entries: DataFrame, batch_id: int) -> None:
-        """Accepted and rejected rows in one pass over the input.
+    def _write_rows(self, entries: DataFrame, batch: str) -> dict[str, int]:
+        """All rows of a batch in one pass over the input; their numbers by outcome, and the highest id.
 
         Rebalancing by day gives files of a good size: small days are gathered,
         a hot day is split. Within a file rows are sorted for min/max pruning.
         """
-        laid_out = entries.hint("rebalance", "outcome", "log_date").sortWithinPartitions(
-            "outcome", "log_date", "service", "level", "timestamp"
+        counted = Observation()
+        laid_out = (
+            entries.hint("rebalance", "outcome", "log_date")
+            .sortWithinPartitions("outcome", "log_date", "service", "level", "timestamp")
+            .observe(
+                counted,
+                F.count_if(F.col("outcome") == "accepted").alias("accepted"),
+                F.count_if(F.col("outcome") == "rejected").alias("rejected"),
+                F.max(F.when(F.col("outcome") == "accepted", F.col("id"))).alias("max_id"),
+            )
         )
-        rebalancing = {
-            "spark.sql.adaptive.enabled": "true",
-            "spark.sql.adaptive.advisoryPartitionSizeInBytes": self.file_bytes,
-        }
-        with settings(self.spark, rebalancing):
+        with settings(self.spark, self._writing()):
             laid_out.write.mode("overwrite").partitionBy("outcome", "log_date").parquet(
-                f"{self.path}/rows/batch_id={batch_id}"
+                f"{self.path}/rows/batch_id={batch}"
             )
+        return counted.get
 
-    def _commit(self, batch_id: int, id_base: int) -> Commit:
-        """Write the rollup delta of the stored rows, then the commit record."""
-        stored = self._read("rows", [f"batch_id={batch_id}"], ENTRY_SCHEMA)
-        sides = {
-            row["outcome"]: row
-            for row in stored.groupBy("outcome")
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.max("id").alias("max_id"),
-                F.min("log_date").alias("first"),
-                F.max("log_date").alias("last"),
-            )
-            .collect()
+    def _writing(self) -> dict[str, str]:
+        return {
+            **_TIMES,
+            "spark.sql.adaptive.enabled": "true",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": self.file_bytes,
         }
-        kept = sides.get("accepted")
-        commit = Commit(
-            batch_id=batch_id,
-            version=0,
-            accepted=kept["n"] if kept else 0,
-            rejected=sides["rejected"]["n"] if "rejected" in sides else 0,
-            id_limit=max(id_base, ((kept["max_id"] >> ID_ROW_BITS) + 1) << ID_ROW_BITS) if kept else id_base,
-            first_date=kept["first"] if kept else None,
-            last_date=kept["last"] if kept else None,
-        )
-        written = self._entries([batch_id], "accepted")
-        self._write_delta(commit, rollup.build(written))
+
+    def _days_of(self, batch: str) -> list[tuple[str, ...]]:
+        """Days of accepted rows, rejected ones and empty envelopes, as the folders have them."""
+        return [self._days_in(f"rows/batch_id={batch}/outcome={o}", "log_date") for o in ("accepted", "rejected", "empty")]
+
+    def _days_in(self, folder: str, column: str) -> tuple[str, ...]:
+        names = paths.names(self.spark, f"{self.path}/{folder}")
+        return tuple(sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{column}=")))
+
+    def _finish(self, commit: Commit, delta: DataFrame) -> Commit:
+        """Write the rollup delta, then the commit record."""
+        self._write_delta(commit, delta)
+        commit = replace(commit, delta_days=self._days_in(f"rollup/{_delta_folder(commit)}", "bucket_date"))
         self._write_record(commit)
         return commit
 
     def _write_delta(self, commit: Commit, delta: DataFrame) -> None:
-        (
-            delta.withColumn("bucket_date", F.to_date("time_bucket"))
-            .hint("rebalance", "bucket_date")
-            .sortWithinPartitions("bucket_date", "service", "level", "time_bucket")
-            .write.mode("overwrite")
-            .partitionBy("bucket_date")
-            .parquet(f"{self.path}/rollup/{_delta_folder(commit)}")
-        )
+        """One file per day and task; small deltas are one task."""
+        gathered = {**self._writing(), "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+        with settings(self.spark, gathered):
+            (
+                delta.withColumn("bucket_date", F.to_date("time_bucket"))
+                .sortWithinPartitions("bucket_date", "service", "level", "time_bucket")
+                .write.mode("overwrite")
+                .partitionBy("bucket_date")
+                .parquet(f"{self.path}/rollup/{_delta_folder(commit)}")
+            )
 
     def _write_record(self, commit: Commit) -> None:
-        values = {**commit.__dict__, "replaces": list(commit.replaces)}
-        record = self.spark.createDataFrame([[values[n] for n in COMMIT_SCHEMA.names]], COMMIT_SCHEMA)
-        record.coalesce(1).write.mode("overwrite").json(
-            f"{self.path}/commits/{commit.batch_id}.{commit.version}"
-        )
+        paths.write_text(self.spark, f"{self.path}/commits/{_record_name(commit)}", json.dumps(asdict(commit)))
 
     # -- maintenance -----------------------------------------------------------
 
@@ -305,75 +395,162 @@ class LogTable:
         Large batches stay, so the work follows the new data. The deltas of the
         merged batches are summed as they are: they may hold days whose rows are gone.
         """
-        records = self._records()
-        small = [c for c in self.commits() if c.accepted < below]
+        now = self.snapshot()
+        small = [c for c in now.live if c.accepted < below]
         if len(small) < 2:
             return None
-        merged = [c.batch_id for c in small]
-        entries = self._entries(merged, "accepted").unionByName(self._entries(merged, "rejected"))
+        sides = [self._entries(now, o, commits=small) for o in ("accepted", "rejected", "empty")]
+        seen: dict[str, int] = {}
+        for c in small:
+            for stream, number in [(c.stream, c.number), *c.seen.items()]:
+                seen[stream] = max(number, seen.get(stream, -1))
+        number = max((c.number for c in now.records if c.stream == MERGED), default=-1) + 1
+        name = f"{MERGED}-{number}"
+        counted = self._write_rows(sides[0].unionByName(sides[1]).unionByName(sides[2]).drop("batch_id"), name)
         commit = Commit(
-            batch_id=min(min(c.batch_id for c in records), 0) - 1,
+            stream=MERGED,
+            number=number,
             version=0,
-            accepted=sum(c.accepted for c in small),
-            rejected=sum(c.rejected for c in small),
+            accepted=counted["accepted"],
+            rejected=counted["rejected"],
             id_limit=max(c.id_limit for c in small),
-            first_date=min((c.first_date for c in small if c.first_date), default=None),
-            last_date=max((c.last_date for c in small if c.last_date), default=None),
-            replaces=tuple(sorted({b for c in small for b in (c.batch_id, *c.replaces)})),
+            **dict(zip(("days", "rejected_days", "empty_days"), self._days_of(name))),
+            replaces=tuple(sorted(c.batch for c in small)),
+            seen=seen,
         )
-        self._write_rows(entries.drop("batch_id"), commit.batch_id)
-        deltas = self._read("rollup", [_delta_folder(c) for c in small], ROLLUP_SCHEMA)
-        self._write_delta(commit, rollup.total(deltas))
-        self._write_record(commit)
-        return commit
+        return self._finish(commit, rollup.total(self._deltas(now, None, small)))
 
     def rebuild_rollup(self) -> None:
-        """Derive all deltas anew from the stored rows; each takes effect with its new commit record."""
-        for commit in self.commits():
-            renewed = replace(commit, version=commit.version + 1)
-            self._write_delta(renewed, rollup.build(self._entries([commit.batch_id], "accepted")))
-            self._write_record(renewed)
+        """Derive all deltas anew from the stored rows, in one job; each takes effect with its new commit record.
+
+        Days whose rows are gone by retention keep the deltas they have.
+        """
+        now = self.snapshot()
+        if not now.live:
+            return
+        version = max(c.version for c in now.records) + 1
+        for folder in paths.matching(self.spark, f"{self.path}/rollup/batch_id=*/version={version}"):
+            paths.remove(self.spark, folder)  # of an attempt that did not end
+        rows = self._entries(now, "accepted")
+        keys = ["batch_id", *ROLLUP_KEYS]
+        built = (
+            rows.select("batch_id", bucket_start(F.col("timestamp"), "1m").alias("time_bucket"), "service", "level")
+            .groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("log_count"))
+        )
+        kept = [_with_deltas(c, [d for d in c.delta_days if d not in set(c.days)]) for c in now.live]
+        if any(c.delta_days for c in kept):
+            built = built.unionByName(self._deltas(Snapshot(kept), None).select(*keys, "log_count"))
+        with settings(self.spark, self._writing()):
+            (
+                built.withColumn("version", F.lit(version))
+                .withColumn("bucket_date", F.to_date("time_bucket"))
+                .hint("rebalance", "batch_id", "bucket_date")
+                .sortWithinPartitions("batch_id", "bucket_date", "service", "level", "time_bucket")
+                .write.mode("append")
+                .partitionBy("batch_id", "version", "bucket_date")
+                .parquet(f"{self.path}/rollup")
+            )
+        for commit in now.live:
+            renewed = replace(commit, version=version)
+            days = self._days_in(f"rollup/{_delta_folder(renewed)}", "bucket_date")
+            self._write_record(replace(renewed, delta_days=days))
 
     def expire(
         self, now: datetime, days: int = retention.DEFAULT_DAYS, keep_rollups: bool = False
     ) -> list[date]:
-        """Drop whole expired days by removing their folders; no row is rewritten.
+        """Drop whole expired days of accepted, rejected and empty rows; no row is rewritten.
 
-        Queries that opened the table before and still read those days will fail.
+        A new record of each batch leaves the days out, rows and rollup together; then their folders go. What an
+        interrupted call has left over is removed by ``vacuum``. Queries that opened the table before and still read
+        those days will fail. Rows that arrive later for an expired day stay until the next call.
         """
-        last = retention.last_expired_date(now, days)
-        areas = [("rows/batch_id=*/outcome=accepted", "log_date")]
-        if not keep_rollups:
-            areas.append(("rollup/batch_id=*/version=*", "bucket_date"))
+        last = retention.last_expired_date(now, days).isoformat()
         dropped = set()
-        for area, column in areas:
-            for path in paths.matching(self.spark, f"{self.path}/{area}/{column}=*"):
-                day = date.fromisoformat(_partition_value(path, column))
-                if day <= last:
-                    paths.remove(self.spark, path)
-                    dropped.add(day)
-        return sorted(dropped)
-
-    def vacuum(self) -> list[int]:
-        """Remove the folders and records of batches that compaction replaced.
-
-        To be run when no query that opened the table before the compaction is left.
+        for c in self.snapshot().live:
+            kept = {
+                name: tuple(d for d in getattr(c, name) if d > last) for name in ("days", "rejected_days", "empty_days")
+            }
+            if not keep_rollups:
+                kept["delta_days"] = tuple(d for d in c.delta_days if d > last)
+            gone = {name: [d for d in getattr(c, name) if d <= last] for name in kept}
+            if not any(gone.values()):
+                continue
+            self._write_record(replace(c, **kept, revision=c.revision + 1))
+            for name, expired in gone.items():
+                for day in expired:
+                    paths.remove(self.spark, f"{self.path}/{_day_folder(c, name, day)}")
+            dropped |= {*gone["days"], *gone.get("delta_days", ())}
+        return sorted(map(date.fromisoformat, dropped))
+
+    def vacuum(self) -> list[str]:
+        """Remove what no record shows any more: merged batches, replaced deltas, days half expired, old records.
+
+        To be run when no query that opened the table before is left.
         """
-        gone = {b for c in self._records() for b in c.replaces}
-        for batch_id in gone:
-            for folder in (f"rows/batch_id={batch_id}", f"rollup/batch_id={batch_id}"):
+        now = self.snapshot()
+        live = {c.batch: c for c in now.live}
+        gone = [c.batch for c in now.records if c.batch not in live]
+        for batch in gone:
+            for folder in (f"rows/batch_id={batch}", f"rollup/batch_id={batch}"):
                 paths.remove(self.spark, f"{self.path}/{folder}")
-            for record in paths.matching(self.spark, f"{self.path}/commits/{batch_id}.*"):
-                paths.remove(self.spark, record)
-        return sorted(gone)
+        for batch, commit in live.items():
+            for name in paths.names(self.spark, f"{self.path}/rollup/batch_id={batch}"):
+                if name.startswith("version=") and name != f"version={commit.version}":
+                    paths.remove(self.spark, f"{self.path}/rollup/batch_id={batch}/{name}")
+            present = dict(zip(("days", "rejected_days", "empty_days"), self._days_of(batch)))
+            present["delta_days"] = self._days_in(f"rollup/{_delta_folder(commit)}", "bucket_date")
+            for name, days in present.items():
+                for day in set(days) - set(getattr(commit, name)):
+                    paths.remove(self.spark, f"{self.path}/{_day_folder(commit, name, day)}")
+        kept = {_record_name(c) for c in live.values()}
+        for name in paths.names(self.spark, f"{self.path}/commits"):
+            if name not in kept and name[0] not in "._":
+                paths.remove(self.spark, f"{self.path}/commits/{name}")
+        return gone
+
+
+def _parse(text: str) -> Commit:
+    values = json.loads(text)
+    return Commit(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
+
+
+def _record_name(commit: Commit) -> str:
+    return f"{commit.batch}.{commit.version}.{commit.revision}"
 
 
 def _delta_folder(commit: Commit) -> str:
-    return f"batch_id={commit.batch_id}/version={commit.version}"
+    return f"batch_id={commit.batch}/version={commit.version}"
+
+
+def _day_folder(commit: Commit, days: str, day: str) -> str:
+    """The folder of a day in one of the lists of days of a record."""
+    if days == "delta_days":
+        return f"rollup/{_delta_folder(commit)}/bucket_date={day}"
+    outcome = {"days": "accepted", "rejected_days": "rejected", "empty_days": "empty"}[days]
+    return f"rows/batch_id={commit.batch}/outcome={outcome}/log_date={day}"
+
+
+def _with_deltas(commit: Commit, days: list[str]) -> Commit:
+    """The record with some of its delta days only."""
+    if len(days) == len(commit.delta_days):
+        return commit
+    return replace(commit, delta_days=tuple(days), revision=commit.revision + 1)
+
+
+def _folders(commit: Commit, base: str, column: str, wanted: list[str], days: tuple[str, ...]) -> list[str]:
+    """The folder above all days where that shows the same: none is left out, and none was expired."""
+    if wanted and len(wanted) == len(days) and not commit.revision:
+        return [base]
+    return [f"{base}/{column}={d}" for d in wanted]
 
 
-def _partition_value(path: str, column: str) -> str:
-    return path.split(f"/{column}=", 1)[1].split("/", 1)[0]
+def _in_range(days: tuple[str, ...], where: LogFilter | None) -> list[str]:
+    """The days that the time bounds of a filter allow."""
+    first = utc(where.since).date().isoformat() if where is not None and where.since is not None else ""
+    newest_day = _newest_day(where) if where is not None else None
+    last = newest_day.isoformat() if newest_day is not None else "9999-12-31"
+    return [d for d in days if first <= d <= last]
 
 
 def _newest_day(where: LogFilter) -> date | None:

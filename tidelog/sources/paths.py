@@ -26,3 +26,46 @@ def matching(spark: SparkSession, pattern: str) -> list[str]:
 def remove(spark: SparkSession, path: str) -> None:
     fs, hadoop_path = _open(spark, path)
     fs.delete(hadoop_path, True)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    fs, hadoop_path = _open(spark, folder)
+    if not fs.exists(hadoop_path):
+        return []
+    return sorted(status.getPath().getName() for status in fs.listStatus(hadoop_path))
+
+
+def stamped_names(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Names in a folder with what tells a rewritten file from the one before: its time and length."""
+    fs, hadoop_path = _open(spark, folder)
+    if not fs.exists(hadoop_path):
+        return {}
+    return {
+        s.getPath().getName(): f"{s.getPath().getName()}:{s.getModificationTime()}:{s.getLen()}"
+        for s in fs.listStatus(hadoop_path)
+    }
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, hadoop_path = _open(spark, path)
+    stream = fs.open(hadoop_path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole: under another name first, which readers pass over."""
+    folder, name = path.rsplit("/", 1)
+    fs, unfinished = _open(spark, f"{folder}/_{name}")
+    stream = fs.create(unfinished, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if fs.exists(target):
+        fs.delete(target, False)
+    fs.rename(unfinished, target)
