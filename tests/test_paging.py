@@ -1,5 +1,6 @@
 import base64
 import json
+from datetime import timedelta
 
 from conftest import plan_of, utc
 from pyspark.sql import functions as F
@@ -175,9 +176,12 @@ STAMPS = [
 def test_both_ways_of_decoding_agree(spark):
     tokens = [token_of(s) for s in STAMPS] + BAD_TOKENS + [token_of(STAMPS[0]) + "=", token_of(STAMPS[0], "-7"), "a b", "%%"]
     frame = spark.createDataFrame([(t,) for t in tokens], "token STRING")
-    rows = frame.select("token", cursor_fields(F.col("token")).alias("c")).collect()
-    by_column = {r["token"]: r["c"] and (utc(r["c"]["timestamp"]), r["c"]["id"]) for r in rows}
+    read = frame.select("token", cursor_fields(F.col("token")).alias("c"))
+    rows = read.select("token", F.unix_micros("c.timestamp").alias("micros"), "c.id").collect()
+    by_column = {r["token"]: (r["micros"], r["id"]) for r in rows}
+    epoch = utc("1970-01-01 00:00:00")
     for token in tokens:
         found = Cursor.decode(token)
-        assert by_column[token] == (found and (found.timestamp, found.id)), token
+        expected = ((found.timestamp - epoch) // timedelta(microseconds=1), found.id) if found else (None, None)
+        assert by_column[token] == expected, token
     assert sum(Cursor.decode(token_of(s)) is not None for s in STAMPS) == 6

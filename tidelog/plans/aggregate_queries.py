@@ -54,8 +54,8 @@ _raw(
     "agg_raw_q",
     "1h",
     "service",
-    LogFilter(since=SINCE, until=UNTIL, q="Declined"),
-    f"{_EXACT} AND contains(lower(message), 'declined')",
+    LogFilter(since=SINCE, until=UNTIL, q="Refused"),
+    f"{_EXACT} AND contains(lower(message), 'refused')",
 )
 _raw(
     "agg_raw_attr",
@@ -129,6 +129,15 @@ def rollup_rebuild(spark, sf_dir):
     return table.rollup()
 
 
+@query("rollup_rebuild_expired", over_logs(_ROLLUP))
+def rollup_rebuild_expired(spark, sf_dir):
+    """Rows of the first days are expired, their rollup is kept, and a rebuild leaves it as it is."""
+    table = _three_batches(spark, sf_dir)
+    table.expire(at("2024-02-06 09:00:00"), 30, keep_rollups=True)
+    table.rebuild_rollup()
+    return table.rollup()
+
+
 def _coarse_sql(bucket: str) -> str:
     return over_logs(
         f"""SELECT {_START[bucket]} AS time_bucket, service, level, count(*) AS log_count
@@ -169,21 +178,21 @@ def agg_rollup_unaligned(spark, sf_dir):
 
 @query(
     "agg_auto_service_level",
-    _count_sql("5m", "level", f"{_WHOLE} AND service = 'checkout' AND level = 'error'"),
+    _count_sql("5m", "level", f"{_WHOLE} AND service = 'storefront' AND level = 'error'"),
 )
 def agg_auto_service_level(spark, sf_dir):
     """Filters on service and level stay on the rollup."""
-    where = LogFilter(since=SINCE, until=UNTIL, service="checkout", level="error")
+    where = LogFilter(since=SINCE, until=UNTIL, service="storefront", level="error")
     return stored_logs(spark, sf_dir).counts(where, "5m", "level")
 
 
 @query(
     "agg_auto_q_attr",
-    _count_sql("1d", "service", f"{_EXACT} AND contains(lower(message), 'cache') AND attributes = '{{\"k\": 9}}'"),
+    _count_sql("1d", "service", f"{_EXACT} AND contains(lower(message), 'without') AND attributes = '{{\"k\": 9}}'"),
 )
 def agg_auto_q_attr(spark, sf_dir):
     """Message and attribute filters need the stored rows."""
-    where = LogFilter(since=SINCE, until=UNTIL, q="cache", attrs={"k": "9"})
+    where = LogFilter(since=SINCE, until=UNTIL, q="without", attrs={"k": "9"})
     return stored_logs(spark, sf_dir).counts(where, "1d", "service")
 
 

@@ -217,6 +217,48 @@ def retention_expired_days(spark, sf_dir):
     return retention.expired_days(stored_logs(spark, sf_dir).rows(), RETENTION_NOW, RETENTION_DAYS)
 
 
+@query(
+    "retention_expire_stored",
+    over_logs(
+        f"""SELECT CAST(timestamp AS DATE) AS log_date, count(*) AS rows, count(*) AS counted FROM logs
+        WHERE CAST(timestamp AS DATE) > {_LAST_EXPIRED} GROUP BY ALL"""
+    ),
+)
+def retention_expire_stored(spark, sf_dir):
+    """Expired days are dropped from the stored rows and their rollup alike."""
+    table = LogTable(spark, scratch_path(spark, "expire"))
+    table.append(tables.logs(spark, sf_dir).withColumn("attributes", F.try_parse_json("attributes")), "sample", 0)
+    table.expire(RETENTION_NOW, RETENTION_DAYS)
+    rows = table.rows().groupBy("log_date").agg(F.count(F.lit(1)).alias("rows"))
+    counted = table.rollup().groupBy(F.to_date("time_bucket").alias("log_date")).agg(F.sum("log_count").alias("counted"))
+    return rows.join(counted, "log_date", "full")
+
+
+@query(
+    "ids_unique",
+    over_logs("SELECT count(*) AS rows, count(DISTINCT id) AS ids, count(*) FILTER (id >= 0) AS not_negative FROM logs"),
+)
+def ids_unique(spark, sf_dir):
+    rows = stored_logs(spark, sf_dir).rows()
+    return rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("id").alias("ids"), F.count_if(F.col("id") >= 0).alias("not_negative")
+    )
+
+
+@query(
+    "stored_batch_status",
+    _STORED_ENVELOPES
+    + """SELECT batch_key, CASE WHEN error IS NOT NULL THEN 'refused' WHEN accepted > 0 THEN 'ok'
+    ELSE 'rejected' END AS status, error, accepted FROM reports""",
+)
+def stored_batch_status(spark, sf_dir):
+    """The answer to every envelope, read from the stored table."""
+    table = LogTable(spark, scratch_path(spark, "status"))
+    sent = tables.envelopes(spark, sf_dir).withColumn("batch_key", F.col("batch_key").cast("string"))
+    table.ingest(sent, "sample", 0, NOW)
+    return table.envelopes().drop("batch")
+
+
 # -- streaming -----------------------------------------------------------------
 
 
@@ -241,6 +283,17 @@ def stream_ingest_logs(spark, sf_dir):
     return _log_columns(LogTable(spark, f"{base}/table").rows())
 
 
+@query("stream_two_sources", _STORED_ENVELOPES + _STORED)
+def stream_two_sources(spark, sf_dir):
+    """Two streams, each with its own progress, feed one table; their batches have the same numbers."""
+    base = scratch_path(spark, "sources")
+    envelopes = tables.envelopes(spark, sf_dir)
+    for name, part in (("a", F.col("event_id") % 2 == 0), ("b", F.col("event_id") % 2 == 1)):
+        files = _write_bodies(envelopes.filter(part), f"{base}/{name}")
+        _drain(spark, f"{base}/{name}", f"{base}/table", f"{base}/progress-{name}", files)
+    return _log_columns(LogTable(spark, f"{base}/table").rows())
+
+
 @query(
     "stream_rollup_late",
     _STORED_ENVELOPES

@@ -11,6 +11,7 @@ from tidelog.functions.times import bucket_start, iso_micros
 from tidelog.operators import listing
 from tidelog.operators.filters import PATTERN, LogFilter
 from tidelog.plans.registry import at, over_logs, over_ties, query, stored_logs
+from tidelog.plans.requests import AggregateRequest, ListRequest
 from tidelog.sources import sample_tables as tables
 
 SINCE, UNTIL = at("2024-01-08 06:30:00"), at("2024-01-20 18:00:00.5")
@@ -65,29 +66,29 @@ _filtered(
     LogFilter(since=SINCE, until=UNTIL),
     f"timestamp >= {_SINCE} AND timestamp < {_UNTIL}",
 )
-_filtered("filter_service", LogFilter(service="checkout"), "service = 'checkout'")
+_filtered("filter_service", LogFilter(service="storefront"), "service = 'storefront'")
 _filtered("filter_level", LogFilter(level="error"), "level = 'error'")
 _filtered(
     "filter_service_level",
-    LogFilter(service="checkout", level="error"),
-    "service = 'checkout' AND level = 'error'",
+    LogFilter(service="storefront", level="error"),
+    "service = 'storefront' AND level = 'error'",
 )
-_filtered("filter_message_contains", LogFilter(q="PAYment"), "contains(lower(message), 'payment')")
+_filtered("filter_message_contains", LogFilter(q="VOUCher"), "contains(lower(message), 'voucher')")
 _filtered(
     "filter_message_literal_wildcard", LogFilter(q="r_quest"), "contains(lower(message), 'r_quest')"
 )
 _filtered(
     "filter_message_wildcard",
-    LogFilter(q="R_quest%pleted", q_mode=PATTERN),
-    r"message ILIKE '%R_quest%pleted%' ESCAPE '\'",
+    LogFilter(q="Qu_ry%swered", q_mode=PATTERN),
+    r"message ILIKE '%Qu_ry%swered%' ESCAPE '\'",
 )
 _filtered(
     "filter_all_combined",
     LogFilter(
-        since=SINCE, until=UNTIL, service="auth", level="info", q="user", attrs={"k": "42"}
+        since=SINCE, until=UNTIL, service="identity", level="info", q="session", attrs={"k": "42"}
     ),
-    f"""timestamp >= {_SINCE} AND timestamp < {_UNTIL} AND service = 'auth' AND level = 'info'
-    AND contains(lower(message), 'user') AND attributes = '{{"k": 42}}'""",
+    f"""timestamp >= {_SINCE} AND timestamp < {_UNTIL} AND service = 'identity' AND level = 'info'
+    AND contains(lower(message), 'session') AND attributes = '{{"k": 42}}'""",
 )
 
 
@@ -168,15 +169,75 @@ def list_limit_20(spark, sf_dir):
 @query(
     "list_newest_stored",
     over_logs(
-        f"SELECT timestamp, level, service, message FROM logs WHERE service = 'checkout' AND level = 'error' {_NEWEST} LIMIT 100"
+        f"SELECT timestamp, level, service, message FROM logs WHERE service = 'storefront' AND level = 'error' {_NEWEST} LIMIT 100"
     ),
 )
 def list_newest_stored(spark, sf_dir):
     """Newest rows of the stored table, newest days first."""
-    found = stored_logs(spark, sf_dir).newest(LogFilter(service="checkout", level="error"), 100)
+    found = stored_logs(spark, sf_dir).newest(LogFilter(service="storefront", level="error"), 100)
     return found.select("timestamp", "level", "service", "message")
 
 
+@query(
+    "page_stored_second",
+    over_logs(
+        f"""SELECT timestamp, level, service, message FROM (
+         SELECT *, row_number() OVER ({_NEWEST}) AS n FROM logs WHERE service = 'ledger') WHERE n > 150 AND n <= 300"""
+    ),
+)
+def page_stored_second(spark, sf_dir):
+    """The second page of the stored table, by the cursor of the first, with text parameters."""
+    table = stored_logs(spark, sf_dir)
+    first = ListRequest.parse({"service": "ledger", "limit": "150"})
+    params = {"service": "ledger", "limit": "150", "cursor": table.page(first.where, first.limit).next_cursor}
+    second = ListRequest.parse(params)
+    return table.newest(second.where, second.limit).select("timestamp", "level", "service", "message")
+
+
+@query(
+    "request_list",
+    over_logs(
+        f"""{_ALL} WHERE timestamp >= TIMESTAMP '2024-01-05 06:07:08.9' AND timestamp < TIMESTAMP '2024-01-20 00:00:00'
+        AND level = 'warn' AND service IN ('gateway') AND contains(lower(message), 'hit') {_NEWEST} LIMIT 40"""
+    ),
+)
+def request_list(spark, sf_dir):
+    """Text parameters, checked and typed, then the page."""
+    request = ListRequest.parse(
+        {
+            "since": "2024-01-05T06:07:08.9Z",
+            "until": "2024-01-20T02:00:00+02:00",
+            "level": "warn",
+            "service": "gateway",
+            "q": "HIT",
+            "limit": "40",
+        }
+    )
+    return listing.newest(request.where.apply(tables.logs(spark, sf_dir)), request.limit)
+
+
+@query(
+    "request_aggregate",
+    over_logs(
+        """SELECT time_bucket(INTERVAL 5 MINUTE, timestamp) AS start, level AS "group", count(*) AS count FROM logs
+        WHERE timestamp >= TIMESTAMP '2024-01-05 00:00:00' AND timestamp < TIMESTAMP '2024-01-12 12:00:00'
+        AND service = 'jobs' GROUP BY ALL"""
+    ),
+)
+def request_aggregate(spark, sf_dir):
+    request = AggregateRequest.parse(
+        {
+            "since": "2024-01-05T00:00:00Z",
+            "until": "2024-01-12T12:00:00Z",
+            "bucket": "5m",
+            "group_by": "level",
+            "service": "jobs",
+        }
+    )
+    table = stored_logs(spark, sf_dir)
+    return request.run(table.rows(request.where), table.rollup_deltas(request.where))
+
+
 _PAGE_ROWS = 200
 
 

@@ -14,9 +14,9 @@ from tidelog.session import prepare
 LOGS_SQL = """
 SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS timestamp,
  CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warn' WHEN 'click' THEN 'debug' ELSE 'info' END AS level,
- CASE CAST(user_id % 5 AS INT) WHEN 0 THEN 'checkout' WHEN 1 THEN 'auth' WHEN 2 THEN 'billing' WHEN 3 THEN 'api' ELSE 'worker' END AS service,
- CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 'payment declined' WHEN 1 THEN 'request completed' WHEN 2 THEN 'retry scheduled'
-   WHEN 3 THEN 'cache miss' WHEN 4 THEN 'user login' ELSE 'inventory updated' END AS message,
+ CASE CAST(user_id % 5 AS INT) WHEN 0 THEN 'storefront' WHEN 1 THEN 'identity' WHEN 2 THEN 'ledger' WHEN 3 THEN 'gateway' ELSE 'jobs' END AS service,
+ CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 'voucher refused' WHEN 1 THEN 'query answered' WHEN 2 THEN 'job queued again'
+   WHEN 3 THEN 'lookup without a hit' WHEN 4 THEN 'session opened' ELSE 'shelf counted' END AS message,
  props AS attributes
 FROM events
 """
