@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidelog.operators import aggregate, rollup
 from tidelog.operators.filters import LogFilter
 from tidelog.plans.registry import at, over_logs, query, stored_logs
-from tidelog.session import scratch_path
+from tidelog.session import fresh_path
 from tidelog.sources import sample_tables as tables
 from tidelog.sources.log_table import LogTable
 
@@ -99,9 +99,9 @@ def rollup_merge_batches(spark, sf_dir):
     return rollup.merge(*[rollup.build(b) for b in batches])
 
 
-def _three_batches(spark, sf_dir) -> LogTable:
+def _three_batches(spark, sf_dir, label: str) -> LogTable:
     """The log written as three batches, the last one twice."""
-    table = LogTable(spark, scratch_path(spark, "upsert"))
+    table = LogTable(spark, fresh_path(spark, label, sf_dir))
     logs = tables.logs(spark, sf_dir).withColumn("attributes", F.try_parse_json("attributes"))
     for part in (0, 1, 2, 2):
         table.append(logs.filter(F.col("id") % 3 == part), "sample", part)
@@ -111,12 +111,12 @@ def _three_batches(spark, sf_dir) -> LogTable:
 @query("rollup_upsert", over_logs(_ROLLUP))
 def rollup_upsert(spark, sf_dir):
     """Each batch adds to existing minutes; a batch that comes again adds nothing."""
-    return _three_batches(spark, sf_dir).rollup()
+    return _three_batches(spark, sf_dir, "upsert").rollup()
 
 
 @query("rollup_compacted", over_logs(_ROLLUP))
 def rollup_compacted(spark, sf_dir):
-    table = _three_batches(spark, sf_dir)
+    table = _three_batches(spark, sf_dir, "compacted")
     table.compact()
     return table.rollup()
 
@@ -124,7 +124,7 @@ def rollup_compacted(spark, sf_dir):
 @query("rollup_rebuild", over_logs(_ROLLUP))
 def rollup_rebuild(spark, sf_dir):
     """Deltas derived anew from the stored rows."""
-    table = _three_batches(spark, sf_dir)
+    table = _three_batches(spark, sf_dir, "rebuild")
     table.rebuild_rollup()
     return table.rollup()
 
@@ -132,7 +132,7 @@ def rollup_rebuild(spark, sf_dir):
 @query("rollup_rebuild_expired", over_logs(_ROLLUP))
 def rollup_rebuild_expired(spark, sf_dir):
     """Rows of the first days are expired, their rollup is kept, and a rebuild leaves it as it is."""
-    table = _three_batches(spark, sf_dir)
+    table = _three_batches(spark, sf_dir, "rebuild-expired")
     table.expire(at("2024-02-06 09:00:00"), 30, keep_rollups=True)
     table.rebuild_rollup()
     return table.rollup()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import validation as V
 from tidelog.operators import ingest, reports, retention
 from tidelog.plans.registry import at, over_logs, query, stored_logs
-from tidelog.session import scratch_path
+from tidelog.session import fresh_path
 from tidelog.sources import sample_tables as tables
 from tidelog.sources.envelopes import stream_envelopes
 from tidelog.sources.log_table import LogTable
@@ -164,7 +164,7 @@ def reject_reason_counts(spark, sf_dir):
 @query("ingest_accepted_rows", _STORED_ENVELOPES + _STORED)
 def ingest_accepted_rows(spark, sf_dir):
     """Envelopes validated and written to a log table, read back."""
-    table = LogTable(spark, scratch_path(spark, "ingest"))
+    table = LogTable(spark, fresh_path(spark, "ingest", sf_dir))
     table.ingest(tables.envelopes(spark, sf_dir), "sample", 0, NOW)
     return _log_columns(table.rows())
 
@@ -226,7 +226,7 @@ def retention_expired_days(spark, sf_dir):
 )
 def retention_expire_stored(spark, sf_dir):
     """Expired days are dropped from the stored rows and their rollup alike."""
-    table = LogTable(spark, scratch_path(spark, "expire"))
+    table = LogTable(spark, fresh_path(spark, "expire", sf_dir))
     table.append(tables.logs(spark, sf_dir).withColumn("attributes", F.try_parse_json("attributes")), "sample", 0)
     table.expire(RETENTION_NOW, RETENTION_DAYS)
     rows = table.rows().groupBy("log_date").agg(F.count(F.lit(1)).alias("rows"))
@@ -253,7 +253,7 @@ def ids_unique(spark, sf_dir):
 )
 def stored_batch_status(spark, sf_dir):
     """The answer to every envelope, read from the stored table."""
-    table = LogTable(spark, scratch_path(spark, "status"))
+    table = LogTable(spark, fresh_path(spark, "status", sf_dir))
     sent = tables.envelopes(spark, sf_dir).withColumn("batch_key", F.col("batch_key").cast("string"))
     table.ingest(sent, "sample", 0, NOW)
     return table.envelopes().drop("batch")
@@ -277,7 +277,7 @@ def _drain(spark, folder: str, table_path: str, checkpoint: str, max_files: int)
 @query("stream_ingest_logs", _STORED_ENVELOPES + _STORED)
 def stream_ingest_logs(spark, sf_dir):
     """The same rows through several micro-batches."""
-    base = scratch_path(spark, "stream")
+    base = fresh_path(spark, "stream", sf_dir)
     files = _write_bodies(tables.envelopes(spark, sf_dir), f"{base}/in")
     _drain(spark, f"{base}/in", f"{base}/table", f"{base}/checkpoint", -(-files // 3))
     return _log_columns(LogTable(spark, f"{base}/table").rows())
@@ -286,7 +286,7 @@ def stream_ingest_logs(spark, sf_dir):
 @query("stream_two_sources", _STORED_ENVELOPES + _STORED)
 def stream_two_sources(spark, sf_dir):
     """Two streams, each with its own progress, feed one table; their batches have the same numbers."""
-    base = scratch_path(spark, "sources")
+    base = fresh_path(spark, "sources", sf_dir)
     envelopes = tables.envelopes(spark, sf_dir)
     for name, part in (("a", F.col("event_id") % 2 == 0), ("b", F.col("event_id") % 2 == 1)):
         files = _write_bodies(envelopes.filter(part), f"{base}/{name}")
@@ -302,7 +302,7 @@ def stream_two_sources(spark, sf_dir):
 )
 def stream_rollup_late(spark, sf_dir):
     """A month of rows, then more rows of the same month: late rows add to their old minutes."""
-    base = scratch_path(spark, "late")
+    base = fresh_path(spark, "late", sf_dir)
     envelopes = tables.envelopes(spark, sf_dir)
     is_late = F.pmod(F.xxhash64("event_id"), F.lit(3)) == 0
     for part in (envelopes.filter(~is_late), envelopes.filter(is_late)):

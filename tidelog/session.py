@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +19,9 @@ REQUIRED_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+# Checkpoints of frames that are no longer used are removed while the session goes on.
+CLEANING = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
 _local_scratch: dict[str, str] = {}
 
 
@@ -32,7 +38,7 @@ def build_session(app_name: str = "tidelog", master: str | None = None, **settin
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**REQUIRED_SETTINGS, **settings}.items():
+    for key, value in {**CLEANING, **REQUIRED_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return prepare(builder.getOrCreate())
 
@@ -67,6 +73,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = context.applicationId
     if app not in _local_scratch:
         _local_scratch[app] = tempfile.mkdtemp(prefix="tidelog-")
+        atexit.register(shutil.rmtree, _local_scratch[app], ignore_errors=True)
         context.setCheckpointDir(_local_scratch[app])
     return _local_scratch[app]
 
@@ -74,3 +81,13 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, never reused path below the shared folder."""
     return f"{shared_dir(spark)}/tidelog/{label}-{uuid.uuid4().hex}"
+
+
+def fresh_path(spark: SparkSession, label: str, key: str) -> str:
+    """A path of this application for ``label`` and ``key``; what an earlier call left there is removed."""
+    name = f"{label}-{spark.sparkContext.applicationId}-{hashlib.md5(key.encode()).hexdigest()[:12]}"
+    path = f"{shared_dir(spark)}/tidelog/{name}"
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return path
