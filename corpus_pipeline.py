@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate, exact_dedup, jaccard, mixing, toxicity
 from tidelog.llm.queries import fold, table
-from tidelog.session import scratch_path
+from tidelog.session import fresh_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ ORACLE_SQL = None  # the toxicity model is learned; tests/llm holds the stages a
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
+        path = fresh_path(spark, f"pipeline-{name}", sf_dir)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
