@@ -12,14 +12,15 @@ from tidelog.functions.cursors import cursor_token
 from tidelog.functions.times import iso_micros
 from tidelog.operators.positions import with_positions
 
-# Page sizes.
+# Page sizes, and the answer to one beyond them.
 DEFAULT_LIMIT = 100
 MAX_LIMIT = 1000
+BAD_SIZE = f"limit must be between 1 and {MAX_LIMIT}"
 
 
 def check_limit(limit: int) -> int:
     if not 1 <= limit <= MAX_LIMIT:
-        raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
+        raise ValueError(BAD_SIZE)
     return limit
 
 

@@ -352,21 +352,7 @@ def throughput_summary(spark, sf_dir):
     return reports.throughput(_samples(spark, sf_dir), accepted)
 
 
-@query(
-    "slo_checks",
-    f"""WITH p AS ({_PERCENTILES}),
-    run AS (SELECT sum(n) AS accepted, max(p95) FILTER (kind = 'view') AS p95, max(n) FILTER (kind = 'view') AS agg_ok,
-      max(n) FILTER (kind = 'click') AS query_ok, max(n) FILTER (kind = 'error') AS failed, max(max) AS visible,
-      (SELECT CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1e6 FROM events) AS elapsed_s FROM p)
-    SELECT 'rate' AS name, accepted / elapsed_s >= 0.001 AS passed, accepted / elapsed_s AS measured FROM run
-    UNION ALL SELECT 'no_failures', failed = 0, CAST(failed AS DOUBLE) FROM run
-    UNION ALL SELECT 'aggregate_p95', p95 < 1000, p95 FROM run
-    UNION ALL SELECT 'queries_ok', query_ok > 0, CAST(0 AS DOUBLE) FROM run
-    UNION ALL SELECT 'accepted_rows', true, CAST(accepted AS DOUBLE) FROM run
-    UNION ALL SELECT 'visible', visible < 20000, visible FROM run
-    UNION ALL SELECT 'aggregate_rate', agg_ok >= greatest(1, floor(elapsed_s) - 2), CAST(agg_ok AS DOUBLE) FROM run""",
-)
-def slo_checks(spark, sf_dir):
+def _run(spark, sf_dir):
     """Requests of the run are taken from the events: views aggregate, clicks query, errors fail."""
     samples = _samples(spark, sf_dir)
     spans = samples.groupBy("kind").agg(
@@ -377,7 +363,7 @@ def slo_checks(spark, sf_dir):
     def of(kind: str, column: str):
         return F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(column))), F.lit(0))
 
-    run = per_kind.agg(
+    return per_kind.agg(
         F.sum("n").alias("accepted"),
         ((F.max("last") - F.min("first")) / F.lit(1_000_000)).alias("elapsed_s"),
         of("error", "n").alias("failed_batches"),
@@ -388,7 +374,44 @@ def slo_checks(spark, sf_dir):
         F.lit(0).alias("query_failed"),
         F.max("max").alias("visible_ms"),
     )
-    return reports.slo_checks(run, reports.Targets(rate=0.001), F.col("accepted"))
+
+
+@query(
+    "slo_checks",
+    f"""WITH p AS ({_PERCENTILES}),
+    run AS (SELECT sum(n) AS accepted, max(p95) FILTER (kind = 'view') AS p95, max(n) FILTER (kind = 'view') AS agg_ok,
+      max(n) FILTER (kind = 'click') AS query_ok, max(n) FILTER (kind = 'error') AS failed, max(max) AS visible,
+      (SELECT CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1e6 FROM events) AS elapsed_s FROM p)
+    SELECT 'rate' AS name, accepted / elapsed_s >= 0.001 AS passed, accepted / elapsed_s AS measured FROM run
+    UNION ALL SELECT 'no_failures', failed = 0, CAST(failed AS DOUBLE) FROM run
+    UNION ALL SELECT 'aggregate_p95', p95 < 1000, p95 FROM run
+    UNION ALL SELECT 'queries_ok', query_ok > 0, CAST(0 AS DOUBLE) FROM run
+    UNION ALL SELECT 'accepted_rows', true, CAST(accepted AS DOUBLE) FROM run
+    UNION ALL SELECT 'visible', visible < 20000, visible FROM run
+    UNION ALL SELECT 'aggregate_rate', agg_ok >= greatest(1, floor(elapsed_s) - 2), CAST(agg_ok AS DOUBLE) FROM run""",
+)
+def slo_checks(spark, sf_dir):
+    return reports.slo_checks(_run(spark, sf_dir), reports.Targets(rate=0.001), F.col("accepted"))
+
+
+@query(
+    "slo_checks_failing",
+    f"""WITH p AS ({_PERCENTILES}),
+    run AS (SELECT sum(n) AS accepted, max(p95) FILTER (kind = 'view') AS p95, max(n) FILTER (kind = 'view') AS agg_ok,
+      max(n) FILTER (kind = 'click') AS query_ok, max(n) FILTER (kind = 'error') AS failed, max(max) AS visible,
+      (SELECT CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1e6 FROM events) AS elapsed_s FROM p)
+    SELECT 'rate' AS name, accepted / elapsed_s > 1e12 AS passed, accepted / elapsed_s AS measured FROM run
+    UNION ALL SELECT 'no_failures', failed = 0, CAST(failed AS DOUBLE) FROM run
+    UNION ALL SELECT 'aggregate_p95', p95 < 0.001, p95 FROM run
+    UNION ALL SELECT 'queries_ok', query_ok > 0, CAST(0 AS DOUBLE) FROM run
+    UNION ALL SELECT 'accepted_rows', false, CAST(accepted AS DOUBLE) FROM run
+    UNION ALL SELECT 'visible', visible < 0.001, visible FROM run
+    UNION ALL SELECT 'aggregate_rate', agg_ok >= greatest(1, floor(elapsed_s) - 2), CAST(agg_ok AS DOUBLE) FROM run""",
+)
+def slo_checks_failing(spark, sf_dir):
+    """Targets that the run misses."""
+    targets = reports.Targets(rate=1e12, aggregate_p95_ms=0.001, visible_ms=0.001)
+    return reports.slo_checks(_run(spark, sf_dir), targets, F.col("accepted") + 1)
 
 
 @query("accepted_vs_visible", "SELECT count(*) AS accepted, count(*) AS visible, true AS consistent FROM events")

@@ -143,6 +143,19 @@ _attr_filtered(
 )
 
 
+def _flag_filtered(name: str, value: str, kinds: str) -> None:
+    @query(name, f"SELECT event_id AS id FROM events WHERE event_id % 8 IN ({kinds})")
+    def run(spark, sf_dir):
+        return LogFilter(attrs={"flag": value}).apply(tables.logs_flags(spark, sf_dir)).select("id")
+
+
+_flag_filtered("filter_flag_true", "true", "0, 2")
+_flag_filtered("filter_flag_false", "false", "1, 3")
+_flag_filtered("filter_flag_case", "False", "6")
+_flag_filtered("filter_flag_number", "1", "4, 5")
+_flag_filtered("filter_flag_fraction", "1.50", "7")
+
+
 @query(
     "filter_attr_stored",
     over_logs("SELECT timestamp, service, message FROM logs WHERE attributes = '{\"k\": 42}'"),

@@ -17,6 +17,16 @@ from tidelog.operators.filters import CONTAINS, LogFilter
 
 ATTR_PREFIX = "attr."
 
+# Answers to parameters that cannot be used.
+BAD_TIME = "invalid {name}: must be a valid ISO 8601 timestamp"
+BAD_LEVEL = "invalid level: must be one of debug, info, warn, error"
+BAD_RANGE = "until must be later than since"
+BAD_LIMIT = "limit must be a positive integer"
+BAD_CURSOR = "invalid or malformed cursor"
+MISSING = "{name} is required"
+BAD_BUCKET = "bucket must be one of: 1m, 5m, 1h, 1d"
+BAD_GROUP = "group_by must be one of: service, level"
+
 # Fixed pattern: a date, or a date-time with an optional zone.
 ISO_TIME = re.compile(
     r"(\d{4})-(\d{2})-(\d{2})(?:T(\d{2}):(\d{2})(?::(\d{2})(?:\.(\d+))?)?(Z|[+-]\d{2}:\d{2})?)?",
@@ -30,7 +40,7 @@ class RequestError(ValueError):
 
 def parse_time(text: str, name: str) -> datetime:
     """Instant to the microsecond. Without a zone the time is UTC; 24:00 is the next midnight."""
-    problem = RequestError(f"invalid {name}: must be a valid ISO 8601 timestamp")
+    problem = RequestError(BAD_TIME.format(name=name))
     found = ISO_TIME.fullmatch(text)
     if not found:
         raise problem
@@ -64,12 +74,12 @@ def _attrs(params: Mapping[str, object]) -> dict[str, str]:
 
 def _check_level(params: Mapping[str, object]) -> None:
     if params.get("level") is not None and params["level"] not in LEVELS:
-        raise RequestError("invalid level: must be one of debug, info, warn, error")
+        raise RequestError(BAD_LEVEL)
 
 
 def _check_range(since: datetime | None, until: datetime | None) -> None:
     if since is not None and until is not None and until <= since:
-        raise RequestError("until must be later than since")
+        raise RequestError(BAD_RANGE)
 
 
 @dataclass(frozen=True)
@@ -88,7 +98,7 @@ class ListRequest:
         limit = listing.DEFAULT_LIMIT
         if params.get("limit") is not None:
             if not re.fullmatch(r"[0-9]+", params["limit"]):
-                raise RequestError("limit must be a positive integer")
+                raise RequestError(BAD_LIMIT)
             try:
                 # More digits say no more than that the limit is too large.
                 limit = listing.check_limit(int(params["limit"].lstrip("0")[:10] or 0))
@@ -98,7 +108,7 @@ class ListRequest:
         if params.get("cursor") is not None:
             cursor = Cursor.decode(params["cursor"])
             if cursor is None:
-                raise RequestError("invalid or malformed cursor")
+                raise RequestError(BAD_CURSOR)
         return cls(
             LogFilter(
                 since=since,
@@ -130,15 +140,15 @@ class AggregateRequest:
         bounds = {}
         for name in ("since", "until"):
             if not params.get(name):
-                raise RequestError(f"{name} is required")
+                raise RequestError(MISSING.format(name=name))
             bounds[name] = parse_time(params[name], name)
         _check_range(bounds["since"], bounds["until"])
         if not params.get("bucket"):
-            raise RequestError("bucket is required")
+            raise RequestError(MISSING.format(name="bucket"))
         if params["bucket"] not in BUCKETS:
-            raise RequestError("bucket must be one of: 1m, 5m, 1h, 1d")
+            raise RequestError(BAD_BUCKET)
         if params.get("group_by") is not None and params["group_by"] not in aggregate.GROUPS:
-            raise RequestError("group_by must be one of: service, level")
+            raise RequestError(BAD_GROUP)
         _check_level(params)
         return cls(
             LogFilter(

@@ -36,6 +36,14 @@ SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS timestamp, user_id,
 FROM events
 """
 
+# Attribute values of every JSON type under one key, by event_id % 8.
+LOGS_FLAGS_SQL = """
+SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS timestamp,
+ '{"flag":' || CASE CAST(event_id % 8 AS INT) WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN '"true"' WHEN 3 THEN '"false"'
+   WHEN 4 THEN '1' WHEN 5 THEN '"1"' WHEN 6 THEN '"False"' ELSE '1.5' END || ',"other":false}' AS attributes
+FROM events
+"""
+
 # One entry for every rule, chosen by ``kind`` (0..19): ``t`` is the time as text without a zone,
 # ``body`` the other fields of a valid entry, ``props`` its attributes.
 ENTRY_CASES_SQL = """
@@ -117,6 +125,10 @@ def logs_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(spark, sf_dir, LOGS_ATTR_SQL)
 
 
+def logs_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(spark, sf_dir, LOGS_FLAGS_SQL)
+
+
 def raw_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(spark, sf_dir, RAW_ENTRIES_SQL).withColumn("entry", F.try_parse_json("entry"))
 
