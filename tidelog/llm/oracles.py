@@ -160,14 +160,24 @@ FROM ranked
 
 SUFFIX_DEDUP = """
 WITH texts AS (
-  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+  SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM documents
+), each AS (
+  SELECT doc_id, unnest(l) AS b, generate_subscripts(l, 1) AS i FROM texts
+), two AS (
+  SELECT *, b || lead(b, 1) OVER (PARTITION BY doc_id ORDER BY i) AS s2 FROM each
+), four AS (
+  SELECT *, s2 || lead(s2, 2) OVER (PARTITION BY doc_id ORDER BY i) AS s4 FROM two
+), eight AS (
+  SELECT *, s4 || lead(s4, 4) OVER (PARTITION BY doc_id ORDER BY i) AS s8 FROM four
+), sixteen AS (
+  SELECT *, s8 || lead(s8, 8) OVER (PARTITION BY doc_id ORDER BY i) AS s16 FROM eight
 ), starts AS (
-  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s, i + 50 <= n AS whole, substr(h, 2 * i + 1, 2) AS b
-  FROM (SELECT doc_id, h, n, unnest(range(0, n)) AS i FROM texts)
+  SELECT doc_id, i, b, s16 || lead(s16, 16) OVER w || lead(s16, 32) OVER w || lead(s2, 48) OVER w AS s
+  FROM sixteen WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), firsts AS (
-  SELECT s, min(doc_id) AS d FROM starts WHERE whole GROUP BY s
+  SELECT s, min(doc_id) AS d FROM starts WHERE s IS NOT NULL GROUP BY s
 ), marked AS (
-  SELECT doc_id, i, b, coalesce(whole AND d < doc_id, false) AS bad FROM starts LEFT JOIN firsts USING (s)
+  SELECT doc_id, i, b, coalesce(d < doc_id, false) AS bad FROM starts LEFT JOIN firsts USING (s)
 ), covered AS (
   SELECT doc_id, i, b, max(bad) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM marked
 ), runs AS (
@@ -177,7 +187,7 @@ WITH texts AS (
          coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), '') AS kept
   FROM runs GROUP BY doc_id
 )
-SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+SELECT doc_id, len(l) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
        sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM texts LEFT JOIN told USING (doc_id)
 """
