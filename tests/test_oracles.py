@@ -43,3 +43,26 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert registry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["agg_1h_by_service", "agg_rollup_aligned", "agg_exact_edges", "agg_auto_q_attr"])
+def test_buckets_come_in_order(spark, name):
+    rows = [(r["start"], r["group"] or "") for r in QUERIES[name](spark, SF_DIR).collect()]
+    assert rows == sorted(rows) and len(set(rows)) == len(rows)
+
+
+@pytest.mark.parametrize("name", ["list_newest", "request_list", "export_newest_first"])
+def test_lists_come_newest_first(spark, name):
+    rows = [(r["timestamp"], r["id"]) for r in QUERIES[name](spark, SF_DIR).collect()]
+    assert len(rows) > 1 and rows == sorted(rows, reverse=True)
+
+
+@pytest.mark.parametrize("name", ["latency_summary", "slo_checks"])
+def test_percentiles_exchange_the_samples_once(spark, name):
+    """No exchange by position, and the samples are never the side that is broadcast."""
+    frame = QUERIES[name](spark, SF_DIR)
+    frame.collect()
+    plan = plan_of(frame)
+    assert "hashpartitioning(position" not in plan
+    for part in plan.split("BroadcastExchange")[1:]:
+        assert "Scan ExistingRDD" not in part.split("BroadcastExchange")[0][:400] or "Generate explode" in part
