@@ -1,6 +1,6 @@
 """Questions from blocks of documents to all documents, and the answers back.
 
-Documents are dealt into blocks of a few megabytes by a hash of doc_id. A block asks about its distinct keys (hashes of
+Documents are dealt into blocks of about two megabytes by a hash of doc_id. A block asks about its distinct keys (hashes of
 windows, grams or words), packed by bucket, that is by range of the hash: one row per block and bucket. The task of a
 bucket sees what all blocks ask about its keys and answers each row; the answers go back to the block, which still has its
 texts through the same exchange. A key that very many documents share arrives once per block, so hot keys
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BUCKET_KEYS = 1 << 20
 NO_DOC = np.iinfo(np.int64).max  # stands for a null doc_id: after all others
 

@@ -155,7 +155,7 @@ def find_items(
     sent = indexes(docs, items, item_id, item_text, window, gram, slice_bytes)
     slices = len(sent)
     row = F.xxhash64(doc_id, text) if slices > 1 else F.lit(0).cast("long")  # names a row in the results of all passes
-    source = docs.select(
+    source = words.in_small_batches(docs).select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), row.alias("row")
     )
 
@@ -264,5 +264,5 @@ def keep_clean(
                         dirty[found.texts()[starts]] = True
                     yield batch.slice(first, last - first).filter(pa.array(~dirty))
 
-        docs = docs.mapInArrow(scan, docs.schema)
+        docs = words.in_small_batches(docs).mapInArrow(scan, docs.schema)
     return docs

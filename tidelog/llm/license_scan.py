@@ -184,5 +184,5 @@ def scan_licenses(
                     ["doc_id", "matches"],
                 )
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = words.in_small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return source.mapInArrow(scan, RESULT)

@@ -13,9 +13,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SEGMENT = 1 << 20  # bytes hashed at a time
 CHUNK = 2 << 20  # bytes of text handled at a time
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -75,6 +78,17 @@ def gram_hashes(values: np.ndarray, size: int) -> np.ndarray:
     return grams
 
 
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """The same rows; from now on the session sends at most ``BATCH_ROWS`` of them to Python at a time.
+
+    Spark's default of 10,000 would hold tens of megabytes of text in the task and in its Python worker.
+    """
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return docs
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and their offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
