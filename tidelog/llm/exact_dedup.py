@@ -160,7 +160,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                     ["doc_id", "digest", "n_points"],
                 )
 
-    source = words.in_small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = words.ids_and_texts(docs, doc_id, text)
     return source.mapInArrow(scan, KEYED)
 
 

@@ -82,7 +82,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
                 ["lang", "slot", "times"],
             )
 
-    known = words.in_small_batches(docs).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    named = (F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    known = words.in_small_batches(docs).select(*named)
     sums = (
         known.where("text is not null and lang is not null")
         .mapInArrow(count, "lang string, slot int, times long")
@@ -197,5 +198,5 @@ def predict(
                     ["doc_id", "lang_pred", "score", "languages"],
                 )
 
-    source = words.in_small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = words.ids_and_texts(docs, doc_id, text)
     return source.mapInArrow(scan, RESULT)

@@ -17,7 +17,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidelog.llm import words
 from tidelog.llm.decontaminate import fingerprints, pairs
@@ -184,5 +183,5 @@ def scan_licenses(
                     ["doc_id", "matches"],
                 )
 
-    source = words.in_small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = words.ids_and_texts(docs, doc_id, text)
     return source.mapInArrow(scan, RESULT)

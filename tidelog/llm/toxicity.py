@@ -286,7 +286,7 @@ def fit(
     known = marks.count()
     share = min(1.0, sample / max(known, 1))
     chosen = marks.where(F.pmod(F.xxhash64(F.lit(6), "_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    texts = words.in_small_batches(docs).select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("text"))
+    texts = words.ids_and_texts(docs, doc_id, text).withColumnRenamed("doc_id", "_id")
     sampled = texts.join(F.broadcast(chosen), "_id").select("text", "toxic")  # about ``sample`` rows of two numbers
     mined = mine(one_of_each(sampled), features)
     sent = context.broadcast(tuple(mined))
@@ -353,7 +353,7 @@ def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: s
                 [rows.column("doc_id"), pa.array(scores(buffer, offsets, received(sent.value)))], ["doc_id", "score"]
             )
 
-    source = words.in_small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = words.ids_and_texts(docs, doc_id, text)
     return source.mapInArrow(scan, "doc_id long, score double")
 
 

@@ -14,6 +14,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SEGMENT = 1 << 20  # bytes hashed at a time
 CHUNK = 2 << 20  # bytes of text handled at a time
@@ -89,6 +90,12 @@ def in_small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def ids_and_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Columns doc_id and text, in small batches."""
+    named = (F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return in_small_batches(docs).select(*named)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and their offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
