@@ -97,6 +97,19 @@ def test_toxicity_edge_cases(spark, odd, empty):
         assert toxicity.score(odd, toxicity.fit(docs, marks)).count() == len(odd_rows.rows())
 
 
+def test_toxicity_counts_all_but_copies(spark):
+    """Texts that share a rare word are no copies; equal words are, whatever their case and punctuation."""
+    other = [f"a common opening and {i} of its own" for i in range(20)]
+    copies = ["One text, told twice.", "one text told TWICE", "\u00dcber uns!", "\u00fcber  uns"]
+    silent = ["!!!", "???", "", None]
+    rows = [(t, 0) for t in [*other, *copies, *silent, "!!!"]] + [(other[0], 1)]
+    kept = toxicity.one_of_each(spark.createDataFrame(rows, "text string, toxic int")).collect()
+    good = [r["text"] for r in kept if not r["toxic"]]
+    assert [r["text"] for r in kept if r["toxic"]] == [other[0]]
+    assert set(other) | set(silent) <= set(good)
+    assert len(good) == len(other) + 2 + len(silent)
+
+
 def test_label_model_recovers_voters():
     random = np.random.default_rng(6)
     truth = random.random(20_000) < 0.1

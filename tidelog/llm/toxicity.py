@@ -144,13 +144,14 @@ def text_chunks(batches, column: str = "text"):
 
 
 def one_of_each(sampled: DataFrame) -> DataFrame:
-    """One row of each group of near copies, which would lend their words a false weight.
+    """One row of each group of copies, which would lend their words a false weight.
 
-    Copies are told by the least hash among the longer words.
+    Copies have equal sequences of words and numbers, whatever stands between them and however it is capitalised; a text
+    without any is a copy of equal texts only.
     """
-    longer = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 7)
-    sketch = F.coalesce(F.array_min(F.transform(longer, lambda w: F.xxhash64(w))), F.xxhash64("text"))
-    return sampled.groupBy(sketch.alias("sketch"), "toxic").agg(F.min("text").alias("text")).drop("sketch")
+    sequence = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+", " "))
+    own = F.sha2(F.when(sequence != "", sequence).otherwise(F.concat(F.lit(" "), F.col("text"))), 256)
+    return sampled.groupBy(own.alias("own"), "toxic").agg(F.min("text").alias("text")).drop("own")
 
 
 def mine(sampled: DataFrame, limit: int) -> Mined:
