@@ -173,6 +173,41 @@ def test_license_alignment(spark):
     assert len(found[3]) == 2
 
 
+def test_license_notices_with_other_words(spark):
+    """Every short notice with a word changed, missing or inserted, or two of these, is found when enough of it is left."""
+    texts = ["released under an MIT License", "Released under MIT License"]
+    for _, template in license_scan.TEMPLATES[:5]:
+        t = odd_rows.words(template, odd_rows.ALNUM, lower=True)
+        for i in range(len(t)):
+            once = [t[:i] + ["zz"] + t[i + 1 :], t[:i] + t[i + 1 :], t[:i] + ["zz"] + t[i:]]
+            texts += [" ".join(["aa", "bb", *x, "cc"]) for x in once]
+            texts += [" ".join(x[:j] + ["yy"] + x[j:]) for x in once for j in range(1, len(x), 2)]
+    texts.append("released aa under aa the aa mit aa license")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: {(m["license"], m["matched"]) for m in r["matches"]} for r in license_scan.scan_licenses(docs).collect()}
+    expected = {i: set() for i in range(len(texts))}
+    for i, text in enumerate(texts):
+        w = odd_rows.words(text, odd_rows.ALNUM, lower=True)
+        for name, template in license_scan.TEMPLATES:
+            t = odd_rows.words(template, odd_rows.ALNUM, lower=True)
+            matched, _, _ = aligned(w, t)
+            if matched >= 0.8 * len(t):
+                expected[i].add((name, matched))
+    assert all(expected[i] for i in (0, 1, len(texts) - 1))
+    assert found == expected
+
+
+def test_license_templates_with_long_runs(spark):
+    """With a high coverage long templates are known by fingerprints; the result is that of the alignment."""
+    t = odd_rows.prose(71, 90)
+    texts = [" ".join(t), " ".join(t[:40] + ["zz"] + t[41:]), " ".join(t[:40] + ["yy", "zz"] + t[40:]), " ".join(t[:80])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = license_scan.scan_licenses(docs, [("long", " ".join(t)), ("word", "qqq")], coverage=0.98).collect()
+    assert {r["doc_id"]: [m["matched"] for m in r["matches"]] for r in rows} == {0: [90], 1: [89], 2: [90], 3: []}
+    one = license_scan.scan_licenses(docs, [("word", "zz")]).collect()
+    assert [len(r["matches"]) for r in sorted(one, key=lambda r: r["doc_id"])] == [0, 1, 1, 0]
+
+
 def test_license_scan_of_all_documents(spark, odd, empty):
     """Every document that has a notice word by word is found, with full coverage."""
     docs = table(spark, LARGER, "documents").union(odd.select("doc_id", "text", "lang", "source", "n_chars"))

@@ -1,9 +1,12 @@
-"""License scans: winnowed fingerprints of license templates, then banded alignment of the candidates.
+"""License scans: an index of each template's rarest words, or winnowed fingerprints, then banded alignment of the candidates.
 
-Fingerprints of the templates form an inverted index (hash, template, place). A document's fingerprints that occur in it give
-candidates: a template laid over the document at the place where the two agree. Runs of ``gram + span - 1`` shared words always
-agree in one. Around each candidate the template is aligned word by word, with up to ``band``
-inserted or missing words on the way; a match is an alignment that covers at least ``coverage`` of the template's words.
+A match may miss ``e`` words of a template, so of any ``e + 1`` of its words it has one. The rarest ``e + 1`` (by number of
+templates, then the longer) form an inverted index (word, template, place), and a word of a document that is in it gives a
+candidate: the template laid over the document at the place where the two agree. Of a template so long, or a coverage so
+high, that every match has a run of ``gram + span - 1`` words, fingerprints are indexed instead: such runs always agree in one.
+Candidates near which too few words of the template lie are dropped. Around each of the others the template is
+aligned word by word, at every offset up to ``band`` from it and with up to ``band`` inserted or missing words on either
+side; a match is an alignment that covers at least ``coverage`` of the template's words.
 
 Templates are a parameter, read once and sent to all tasks: at most ``LIMIT_BYTES`` of text, more is refused.
 
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame
 
 from tidelog.llm import words
 from tidelog.llm.decontaminate import fingerprints, pairs
+from tidelog.llm.toxicity import lookup
 
 LIMIT_BYTES = 8 << 20
 RESULT = "doc_id long, matches array<struct<license: string, coverage: double, matched: int, start: int, end: int>>"
@@ -108,6 +112,46 @@ def align(
     return best[0], best[1], best[2]
 
 
+def indexed(
+    known: words.Words, wanted: np.ndarray, gram: int, window: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all templates; places of the rarest words wanted of each; places and hashes of the fingerprints."""
+    vocabulary, term = np.unique(known.hashes, return_inverse=True)
+    owner = known.texts()
+    used = np.bincount(np.unique(np.stack([term, owner]), axis=1)[0], minlength=len(vocabulary))
+    order = np.lexsort((np.arange(len(term)), -(known.ends - known.starts), used[term], owner))
+    rank = np.arange(len(term)) - known.first[owner]  # the order keeps the words of a template together
+    return vocabulary, order[rank < wanted[owner]], *fingerprints(known.hashes, known.first, gram, window)
+
+
+def unique_pairs(document: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found = np.unique(np.stack([document, start]), axis=1)
+    return found[0], found[1]
+
+
+def enough(
+    terms: np.ndarray,
+    member: np.ndarray,
+    first: np.ndarray,
+    document: np.ndarray,
+    start: np.ndarray,
+    size: int,
+    slack: int,
+    need: int,
+    at_once: int = 1 << 20,
+) -> np.ndarray:
+    """Starts around which, ``slack`` words to either side included, the document has ``need`` words of the template."""
+    width = size + 2 * slack
+    step = max(1, at_once // width)
+    out = np.zeros(len(start), dtype=bool)
+    for low in range(0, len(start), step):
+        part = slice(low, low + step)
+        at = start[part, None] - slack + np.arange(width)
+        inside = (at >= first[document[part], None]) & (at < first[document[part] + 1, None])
+        out[part] = (member[terms[np.clip(at, 0, len(terms) - 1)]] & inside).sum(axis=1) >= need
+    return np.flatnonzero(out)
+
+
 def scan_licenses(
     docs: DataFrame,
     templates: list[tuple[str, str]] = TEMPLATES,
@@ -123,46 +167,57 @@ def scan_licenses(
         raise ValueError("the templates are too large to send to every task")
     names = [n for n, _ in templates]
     known = words.words_of(*words.text_bytes(pa.array([t for _, t in templates], pa.string())), words.NOT_ALNUM, lower=True)
-    at, prints = fingerprints(known.hashes, known.first, gram, gram + span - 1)
-    for n in np.flatnonzero((known.counts() >= gram) & (known.counts() < gram + span - 1)):
-        first = known.first[n]  # a short template is known by its first gram
-        at = np.append(at, first)
-        prints = np.append(prints, words.mix(words.gram_hashes(known.hashes, gram), 8)[first])
-    order = np.argsort(prints, kind="stable")
-    index = prints[order]
     sizes = known.counts()
-    owner = known.texts()[at[order]]
-    place = at[order] - known.first[owner]
-    sent = docs.sparkSession.sparkContext.broadcast((index, owner, place, known.hashes, known.first))
-    short = bool(((sizes >= gram) & (sizes < gram + span - 1)).any())
+    need = np.maximum(np.ceil(coverage * sizes).astype(np.int64), 1)
+    missing = sizes - need
+    # a gap between two runs of a match misses words or inserts some; what is inserted and not missed leaves the band in the end
+    winnowed = need > (gram + span - 2) * (2 * missing + 2 * band + 1)
+    vocabulary, at, prints_at, prints = indexed(known, np.where(winnowed, 0, missing + 1), gram, gram + span - 1)
+    kept = winnowed[known.texts()[prints_at]]
+    prints_at, prints = prints_at[kept], prints[kept]
+    lists = []
+    for keys, where in ((np.searchsorted(vocabulary, known.hashes[at]), at), (prints, prints_at)):
+        order = np.argsort(keys, kind="stable")
+        owner = known.texts()[where[order]]
+        lists.append((keys[order], owner, where[order] - known.first[owner]))
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, lists, known.hashes, known.first, need))
 
     def matches(found: words.Words) -> list[list[dict]]:
-        index, owner, place, hashes, first = sent.value
+        vocabulary, lists, hashes, first, need = sent.value
         out: list[list[dict]] = [[] for _ in found.counts()]
-        if not len(found.starts) or not len(index):
+        if not len(found.starts) or not len(vocabulary):
             return out
-        if short:  # then any gram may be one of a short template
-            grams = words.mix(words.gram_hashes(found.hashes, gram), 8)
-            ends = np.repeat(found.first[1:], found.counts())[: len(grams)]
-            here = np.flatnonzero(np.arange(len(grams)) + gram <= ends)
-            here, keys = here, grams[here]
-        else:
-            here, keys = fingerprints(found.hashes, found.first, gram, gram + span - 1)
-        some = np.isin(keys, index)
-        i, j = pairs(keys[some], index)
-        texts = found.texts()
-        document, template = texts[here[some][i]], owner[j]
-        start = here[some][i] - place[j]
-        _, unique = np.unique(np.stack([template, document, start]), axis=1, return_index=True)
-        document, template, start = document[unique], template[unique], start[unique]
+        here, ids = lookup(found.hashes, vocabulary)
+        terms = np.full(len(found.hashes), len(vocabulary))
+        terms[here] = ids
+        hits = [(here, ids)]
+        if len(lists[1][0]):
+            hits.append(fingerprints(found.hashes, found.first, gram, gram + span - 1))
+        laid = []
+        for (at, keys), (index, owner, place) in zip(hits, lists):
+            some = np.isin(keys, index)
+            i, j = pairs(keys[some], index)
+            at = at[some][i]
+            laid.append((owner[j], np.searchsorted(found.first, at, side="right") - 1, at - place[j]))
+        template, document, start = (np.concatenate(x) for x in zip(*laid))
         for t in np.unique(template):
+            own = hashes[first[t] : first[t + 1]]
             mine = template == t
-            low, high = found.first[document[mine]], found.first[document[mine] + 1]
-            matched, begin, end = align(found.hashes, low, high, start[mine], hashes[first[t] : first[t + 1]], band)
+            where, begins = unique_pairs(document[mine], start[mine])
+            member = np.zeros(len(vocabulary) + 1, dtype=bool)
+            member[np.searchsorted(vocabulary, own)] = True
+            near = enough(terms, member, found.first, where, begins, len(own), 2 * band, need[t])
+            offsets = np.arange(-band, band + 1)
+            where, begins = unique_pairs(
+                np.repeat(where[near], len(offsets)), (begins[near][:, None] + offsets).ravel()
+            )
+            near = enough(terms, member, found.first, where, begins, len(own), band, need[t])
+            where, begins = where[near], begins[near]
+            matched, begin, end = align(found.hashes, found.first[where], found.first[where + 1], begins, own, band)
             size = int(first[t + 1] - first[t])
             good = np.flatnonzero(matched >= coverage * size)
             for d, m, b, e in sorted(
-                zip(document[mine][good], matched[good], begin[good], end[good]), key=lambda x: (x[0], -x[1], x[2], x[3])
+                zip(where[good], matched[good], begin[good], end[good]), key=lambda x: (x[0], -x[1], x[2], x[3])
             ):
                 base = int(found.first[d])
                 b, e = int(b) - base, int(e) - base
