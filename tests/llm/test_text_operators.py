@@ -66,6 +66,23 @@ def test_suffix(odd, given, empty):
     assert suffix_dedup.remove_repeats(empty).collect() == []
 
 
+def test_suffix_of_long_strings(spark):
+    """Snippets of more than 255 bytes."""
+    prose = [" ".join(odd_rows.prose(80 + i, 150)) for i in range(6)]
+    given = [(i, text) for i, text in enumerate(prose)]
+    given += [(10 + i, prose[i + 1][:50] + prose[i][100 : 420 + 60 * i] + prose[i + 1][60:]) for i in range(5)]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    for length, gram in ((240, 220), (300, 280)):
+        found = suffix_dedup.remove_repeats(docs, length=length, gram=gram)
+        same(
+            found.select("doc_id", "n_bytes", "n_removed", F.size("removed"), F.sha2("kept", 256)).collect(),
+            odd_rows.byte_dedup(given, length),
+        )
+        assert found.agg(F.sum("n_removed")).first()[0] > 1000
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(docs, length=600_000, gram=599_990)
+
+
 def test_suffix_array_and_prefixes():
     random = np.random.default_rng(2)
     for trial in range(30):

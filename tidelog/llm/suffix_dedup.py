@@ -42,6 +42,8 @@ def remove_repeats(
     """
     if not 1 <= gram <= length or length - gram >= 32:
         raise ValueError("a string holds a gram, and at most 32 of them")
+    if 2 * length - gram > PIECE // 2:
+        raise ValueError("a suffix array holds two snippets at least")
     shape = blocks.layout(docs, text, 0.07)
     texts = blocks.in_blocks(docs, doc_id, text, shape)
 
@@ -182,15 +184,17 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def snippet_payload(buffer, keys, least, starts, sizes) -> bytes:
-    head = np.array([len(keys)], np.int64).tobytes()
-    parts = (least.astype(np.int64), keys.astype(np.uint32), sizes.astype(np.uint8), buffer[ranges(starts, sizes)])
+    width = 1 if int(sizes.max(initial=0)) < 256 else 4  # bytes of a size
+    head = np.array([len(keys), width], np.int64).tobytes()
+    parts = (least.astype(np.int64), keys.astype(np.uint32), sizes.astype(f"u{width}"), buffer[ranges(starts, sizes)])
     return head + b"".join(p.tobytes() for p in parts)
 
 
 def read_payload(payload) -> tuple[np.ndarray, ...]:
     raw = np.frombuffer(payload, np.uint8)
-    n = int(raw[:8].view(np.int64)[0])
-    return raw[8 : 8 + 8 * n].view(np.int64), raw[8 + 8 * n :][: 4 * n].view(np.uint32), raw[8 + 12 * n :][:n], raw[8 + 13 * n :]
+    n, width = map(int, raw[:16].view(np.int64))
+    least, keys, rest = raw[16 : 16 + 8 * n].view(np.int64), raw[16 + 8 * n :][: 4 * n].view(np.uint32), raw[16 + 12 * n :]
+    return least, keys, rest[: width * n].view(f"u{width}"), rest[width * n :]
 
 
 def earlier_strings(parts: list[tuple[np.ndarray, ...]], length: int) -> list[bytes]:
@@ -223,7 +227,7 @@ def shards(keys: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
 
 def pieces(shard: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
     """A shard in parts that one suffix array can hold."""
-    part = np.cumsum(sizes[shard]) // (PIECE - 256)
+    part = np.cumsum(sizes[shard]) // (PIECE - max(256, int(sizes[shard].max())))
     yield from np.split(shard, np.flatnonzero(np.diff(part)) + 1)
 
 
