@@ -85,6 +85,26 @@ def test_replay_changes_nothing(spark, table):
     assert sum(counts(table).values()) == 1
 
 
+def test_only_committed_numbers_are_replays(spark, table):
+    """A lower number that was never stored is an error, not a success without rows; also after compaction."""
+    for number in (1, 2, 5):
+        table.ingest(envelopes(spark, body([DAY1])), "s", number, NOW)
+    for prepared in (lambda: None, table.compact, table.vacuum):
+        prepared()
+        for number in (1, 2, 5):
+            assert table.ingest(envelopes(spark, body([DAY1, DAY2])), "s", number, NOW).accepted in (1, 3)
+        for number in (0, 3, 4):
+            with pytest.raises(ValueError):
+                table.ingest(envelopes(spark, body([DAY1])), "s", number, NOW)
+        assert table.rows().count() == 3
+    assert table.commits()[0].merged["s"] == [[1, 2], [5, 5]]
+    table.ingest(envelopes(spark, body([DAY1])), "s", 9, NOW)
+    table.compact()
+    assert table.commits()[0].merged["s"] == [[1, 2], [5, 5], [9, 9]] and table.rows().count() == 4
+    old = replace(table.commits()[0], merged={}, revision=1)  # a record of an older version
+    assert old.numbers("s") == [[0, 9]]
+
+
 def test_interrupted_batch_stays_invisible_and_is_overwritten(spark, table, monkeypatch):
     table.ingest(envelopes(spark, body([DAY1])), "s", 0, NOW)
 

@@ -6,8 +6,8 @@
 
 A batch belongs to a stream and has a number that grows within it. It is written whole, then committed by one small record.
 Readers take committed batches only, so rows and rollup become visible together; a batch that was interrupted is
-overwritten by its replay, and a number that its stream has committed before is not written again. Streams do not know of
-each other. A record lists the days that are visible: version V counts rebuilt deltas, revision R expiries. One writer at a
+overwritten by its replay, and a number that its stream has committed before is not written again; a lower number that it
+never committed is refused. Streams do not know of each other. A record lists the days that are visible: version V counts rebuilt deltas, revision R expiries. One writer at a
 time per table.
 """
 
@@ -69,6 +69,12 @@ class Commit:
     revision: int = 0
     replaces: tuple[str, ...] = ()  # batches that this one merged
     seen: dict[str, int] = field(default_factory=dict)  # highest number of each merged stream
+    merged: dict[str, list[list[int]]] = field(default_factory=dict)  # ranges of the merged numbers of each stream
+
+    def numbers(self, stream: str) -> list[list[int]]:
+        """Ranges of the numbers of a stream that this record commits; older records only know the highest merged one."""
+        own = [[self.number, self.number]] if self.stream == stream else []
+        return own + self.merged.get(stream, [[0, self.seen[stream]]] if stream in self.seen else [])
 
     @property
     def batch(self) -> str:
@@ -293,10 +299,13 @@ class LogTable:
         if number < 0:
             raise ValueError("batches of a stream are numbered from 0")
         records = self.snapshot().records
-        for commit in records:
-            own = commit.number if commit.stream == stream else -1
-            if number <= max(own, commit.seen.get(stream, -1)):
+        stored = [(low, high, commit) for commit in records for low, high in commit.numbers(stream)]
+        for low, high, commit in stored:
+            if low <= number <= high:
                 return commit
+        last = max((high for _, high, _ in stored), default=-1)
+        if number < last:
+            raise ValueError(f"batch {number} of stream {stream} was never stored and comes after batch {last}")
         id_base = max((c.id_limit for c in records), default=0)
         outcome = F.when(F.col("empty"), "empty").when(F.col("reason").isNull(), "accepted").otherwise("rejected")
         ok, refused = outcome == "accepted", outcome == "rejected"
@@ -404,6 +413,7 @@ class LogTable:
         for c in small:
             for stream, number in [(c.stream, c.number), *c.seen.items()]:
                 seen[stream] = max(number, seen.get(stream, -1))
+        merged = {stream: _ranges([r for c in small for r in c.numbers(stream)]) for stream in seen}
         number = max((c.number for c in now.records if c.stream == MERGED), default=-1) + 1
         name = f"{MERGED}-{number}"
         counted = self._write_rows(sides[0].unionByName(sides[1]).unionByName(sides[2]).drop("batch_id"), name)
@@ -417,6 +427,7 @@ class LogTable:
             **dict(zip(("days", "rejected_days", "empty_days"), self._days_of(name))),
             replaces=tuple(sorted(c.batch for c in small)),
             seen=seen,
+            merged=merged,
         )
         return self._finish(commit, rollup.total(self._deltas(now, None, small)))
 
@@ -515,6 +526,17 @@ def _parse(text: str) -> Commit:
     return Commit(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
 
 
+def _ranges(parts: list[list[int]]) -> list[list[int]]:
+    """The same numbers in as few ranges as possible."""
+    out: list[list[int]] = []
+    for low, high in sorted(parts):
+        if out and low <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], high)
+        else:
+            out.append([low, high])
+    return out
+
+
 def _record_name(commit: Commit) -> str:
     return f"{commit.batch}.{commit.version}.{commit.revision}"
 
