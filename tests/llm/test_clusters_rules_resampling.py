@@ -1,0 +1,331 @@
+"""Host rules, centroid clustering and importance resampling against plain Python."""
+
+import hashlib
+import math
+import random
+import re
+import struct
+from collections import Counter
+from fractions import Fraction
+from zlib import crc32
+
+import numpy as np
+import odd_rows
+import pytest
+from conftest import plan_of
+from pyspark.sql import functions as F
+
+from tidelog.llm import centroids, host_rules, importance
+
+TWO = "doc_id long, text string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return odd_rows.frame(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], odd_rows.SCHEMA)
+
+
+def tuples(frame, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in frame.collect()), key=repr)
+
+
+# -- rules by host ---------------------------------------------------------------
+
+
+def text_numbers(text):
+    text = text or ""
+    words = odd_rows.words(text)
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    often = Counter(grams)
+    covered = {i + k for i, g in enumerate(grams) if often[g] > 1 for k in range(3)}
+    lines = [line for line in text.split("\n") if odd_rows.words(line)]
+    return (
+        len(words),
+        sum(map(len, words)),
+        len(re.findall(r"[#*$%&|<>]", text)),
+        len(lines),
+        len(lines) - len(set(lines)),
+        len(covered),
+    )
+
+
+NUMBERS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
+def test_text_numbers(spark, odd):
+    expected = sorted(((r[0], *text_numbers(r[1])) for r in odd_rows.rows()), key=repr)
+    assert tuples(host_rules.measure(odd), "doc_id", *NUMBERS) == expected
+
+
+def test_text_numbers_of_repetitive_texts(spark):
+    chosen = random.Random(4)
+    texts = [" ".join(chosen.choice("abc"[:kinds]) for _ in range(size)) for kinds in (1, 2, 3) for size in range(0, 40, 3)]
+    texts += ["a a\nb\na a\n\n \nb\na a ", "\n".join("xy" * 50), "x y z " * 20_000, "# * $ % & | < > #*", "\n", "a\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), TWO).withColumn("source", F.lit("s"))
+    expected = sorted(((i, *text_numbers(t)) for i, t in enumerate(texts)), key=repr)
+    assert tuples(host_rules.measure(docs), "doc_id", *NUMBERS) == expected
+
+
+def base_failed(numbers):
+    return numbers[0] < 50 or 100 * numbers[5] > 50 * numbers[0]
+
+
+def host_docs():
+    """Hosts with clean prose, one where most texts are short, one where two of three are, one with symbols, and hosts of one document."""
+    rows, n = [], 0
+
+    def add(host, text, times):
+        nonlocal n
+        for _ in range(times):
+            rows.append((n, f"{text} d{n}", host))
+            n += 1
+
+    for i in range(12):
+        add(f"good{i}", " ".join(odd_rows.prose(i, 70)), 30 + i)
+    add("short", "too few", 40)
+    add("short", " ".join(odd_rows.prose(77, 90)), 5)
+    add(None, "too few", 20)
+    add(None, " ".join(odd_rows.prose(78, 90)), 10)
+    add("marks", " ".join(odd_rows.prose(79, 80)) + " ####" * 8, 25)
+    add("single", "too few", 1)
+    add("clean", " ".join(odd_rows.prose(80, 90)), 1)
+    return rows
+
+
+RULES = [
+    lambda w, c, s, n, d, r: w < 50 or 100 * r > 50 * w,
+    lambda w, c, s, n, d, r: c < 2 * w or c > 12 * w,
+    lambda w, c, s, n, d, r: 10 * s > w,
+    lambda w, c, s, n, d, r: 10 * d > 3 * n,
+]
+
+
+def refused_hosts(rows, most=Fraction(1, 2)):
+    """The shrunk rates in fractions, as the moments of the beta-binomial give them."""
+    of = {}
+    for _, text, host in rows:
+        of.setdefault(host, []).append(text_numbers(text))
+    out = set()
+    for rule in RULES:
+        hosts = {h: (len(x), sum(rule(*n) for n in x)) for h, x in of.items()}
+        total = sum(n for n, _ in hosts.values())
+        rate = Fraction(sum(x for _, x in hosts.values()), total)
+        within, spare = rate * (1 - rate), len(hosts) - 1
+        between = sum(n * (Fraction(x, n) - rate) ** 2 for n, x in hosts.values())
+        scale = within * (total - Fraction(sum(n * n for n, _ in hosts.values()), total) - spare)
+        c = min(Fraction(1), max(Fraction(0), (between - within * spare) / scale)) if scale > 0 else Fraction(0)
+        for h, (n, x) in hosts.items():
+            if rate + (Fraction(x, n) - rate) * (n * c) / (n * c + 1 - c) > most:
+                out.add(h)
+    return out
+
+
+@pytest.mark.parametrize("most_broadcast", [host_rules.MOST_BROADCAST, 0])
+def test_hosts(spark, most_broadcast):
+    rows = host_docs()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    refused = refused_hosts(rows)
+    assert {"short", None, "marks"} <= refused and not refused & {f"good{i}" for i in range(12)} and "clean" not in refused
+    found = host_rules.judge(docs, most_broadcast=most_broadcast)
+    expected = []
+    for i, text, host in rows:
+        failed = base_failed(text_numbers(text))
+        expected.append((i, failed, host in refused, not failed and host not in refused))
+    assert tuples(found, "doc_id", "base_failed", "host_refused", "kept") == sorted(expected, key=repr)
+
+
+def test_one_document_says_little(spark):
+    """Hosts fail at a tenth to a third; the only document of another host fails, and the host is not refused for it."""
+    rows = [(i, "too few" if i % (3 + i % 8) == 0 else " ".join(odd_rows.prose(i, 60)), f"host{i % 8}") for i in range(600)]
+    rows += [(600, "too few", "single"), (601, " ".join(odd_rows.prose(601, 60)), "clean")]
+    assert refused_hosts(rows) == set()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    judged = {r["host"]: r["base"] for r in host_rules.judge_hosts(host_rules.measure(docs)).collect()}
+    assert judged["clean"] < judged["single"] < 0.5
+
+
+def test_host_rules_edge_cases(spark, odd, empty):
+    found = host_rules.judge(odd)
+    assert found.count() == len(odd_rows.rows())
+    assert host_rules.judge(empty).collect() == []
+    same = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (None, None, None)], "doc_id long, text string, source string")
+    assert [r["kept"] for r in host_rules.judge(same).collect()] == [False] * 3
+    raw = spark.sql("SELECT 1L doc_id, CAST(X'61FF6220C328' AS STRING) text, 's' source")
+    assert tuples(host_rules.measure(raw), "n_words", "word_chars") == [(2, 5)]
+
+
+def test_host_rules_stay_native(spark, odd):
+    plan = plan_of(host_rules.judge(odd)) + plan_of(host_rules.measure(odd)) + plan_of(host_rules.judge_hosts(host_rules.measure(odd)))
+    assert not any(node in plan for node in ("EvalPython", "InPandas", "InArrow", "CartesianProduct"))
+
+
+# -- centroids ---------------------------------------------------------------------
+
+
+def lloyd(rows, k=40, rounds=5, size=64, scale=256, limit=1 << 27):
+    kept = []
+    for vec_id, v in rows:
+        if v is None or len(v) != size or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        kept.append((vec_id, [max(-limit, min(limit, math.floor(x * scale))) for x in v]))
+    digest = lambda i: hashlib.sha256(f"2:{'null' if i is None else i}".encode()).hexdigest()
+    order = sorted(kept, key=lambda r: (digest(r[0]), r[0] is not None, r[0] or 0, struct.pack(f"<{size}i", *r[1])))
+    centres = [list(v) for _, v in order[:k]]
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c)), n) for n, c in enumerate(centres))
+
+    for _ in range(rounds):
+        own = {}
+        for _, v in kept:
+            own.setdefault(nearest(v)[1], []).append(v)
+        for n, members in own.items():
+            centres[n] = [sum(x) // len(members) for x in zip(*members)]
+    out = [(i, *nearest(v)) for i, v in kept]
+    inertia = Counter()
+    for _, d, n in out:
+        inertia[n] += d
+    sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centres]
+    return sorted(((i, n, d, inertia[n], sum(inertia.values()), sha[n]) for i, d, n in out), key=repr)
+
+
+CLUSTERED = ("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, curve int, ids string").repartition(3)
+
+
+def with_rest(rows):
+    return [(i, v, 1, 2, "x") for i, v in rows]
+
+
+def test_clusters(spark):
+    r = np.random.default_rng(5)
+    middles = r.normal(size=(7, 64))
+    rows = [(i, (middles[i % 7] + 0.1 * r.normal(size=64)).tolist()) for i in range(240)]
+    rows += [(1000 + i, rows[3][1]) for i in range(120)]  # one vector in a third of the rows
+    found = centroids.cluster(vectors(spark, with_rest(rows)), k=9, block=16)
+    assert tuples(found, *CLUSTERED) == lloyd(rows, k=9)
+
+
+def test_clusters_of_odd_vectors(spark):
+    r = np.random.default_rng(6)
+    good = [(i, r.normal(size=64).tolist()) for i in range(30)]
+    wide = [(50 + i, (r.normal(size=64) * 10.0 ** (i + 2)).tolist()) for i in range(12)]  # integers beyond 2^26, some beyond 2^27
+    nan, inf = float("nan"), float("inf")
+    bad = [None, [], [1.0] * 63, [1.0] * 65, [None] + [1.0] * 63, [nan] + [1.0] * 63, [1.0] * 63 + [-inf]]
+    rows = good + wide + [(100 + i, v) for i, v in enumerate(bad)] + [good[0], (None, good[1][1]), (None, [0.0] * 64), (3, [-0.001] * 64)]
+    rows += [(200 + i, [1e300 if i else -1e300] * 64) for i in range(2)]
+    assert tuples(centroids.cluster(vectors(spark, with_rest(rows)), block=8), *CLUSTERED) == lloyd(rows)
+    few = rows[:5]
+    assert tuples(centroids.cluster(vectors(spark, with_rest(few))), *CLUSTERED) == lloyd(few)
+    assert centroids.cluster(vectors(spark, with_rest([(1, None)]))).collect() == []
+    assert centroids.cluster(vectors(spark, [])).collect() == []
+
+
+def test_clusters_of_short_vectors(spark):
+    rows = [(i, [float(i % 5), float(i % 3)]) for i in range(60)]
+    found = centroids.cluster(vectors(spark, with_rest(rows)), k=6, rounds=3, size=2, scale=1)
+    assert tuples(found, *CLUSTERED) == lloyd(rows, k=6, rounds=3, size=2, scale=1)
+
+
+def test_boxes_leave_few_candidates():
+    """Neighbours on the curve lie close together, and no nearest centroid is left out."""
+    r = np.random.default_rng(7)
+    middles = r.integers(-4000, 4000, size=(30, 6))
+    v = (middles[r.integers(0, 30, 4000)] + r.integers(-100, 100, size=(4000, 6))).astype(np.int64)
+    cells = np.clip((v + 5000) * 16 // 10000, 0, 15)
+    ordered = v[np.argsort(centroids.hilbert(cells, 4), kind="stable")]
+    left = 0
+    for i in range(0, len(ordered), 32):
+        block = ordered[i : i + 32]
+        low, high = block.min(axis=0), block.max(axis=0)
+        some = centroids.candidates(low, high, middles)
+        left += len(some) * len(block)
+        exact = ((block[:, None, :] - middles[None]) ** 2).sum(axis=2)
+        number, distance = centroids.nearest(block, low, high, middles)
+        assert (number == exact.argmin(axis=1)).all() and (distance == exact.min(axis=1)).all()
+    assert left < 0.25 * len(v) * len(middles)
+
+
+@pytest.mark.parametrize("dims,bits", [(2, 4), (3, 3), (4, 2)])
+def test_hilbert_curve(dims, bits):
+    """Every cell once, and each next one beside the last."""
+    cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), axis=-1).reshape(-1, dims)
+    place = centroids.hilbert(cells, bits)
+    assert sorted(place) == list(range(len(cells)))
+    path = cells[np.argsort(place)]
+    assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+# -- importance resampling -----------------------------------------------------------
+
+
+def grams(text):
+    w = [x.encode() for x in odd_rows.words(text, odd_rows.ALNUM, lower=True)]
+    return len(w), [b" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+
+
+def resampled(rows, target, buckets=10_000):
+    count = lambda texts: Counter(crc32(g) % buckets for t in texts for g in grams(t)[1])
+    s, t = count(x for _, x in rows), count(target)
+    whole, wanted = sum(s.values()), sum(t.values())
+    gain = [
+        math.floor(1000 * math.log(float((t[b] + 1) * (whole + buckets)) / float((s[b] + 1) * (wanted + buckets))))
+        for b in range(buckets)
+    ]
+    out = []
+    for doc_id, text in rows:
+        n_words, found = grams(text)
+        h = int(hashlib.sha256(f"42:{'null' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[crc32(g) % buckets] for g in found)
+        out.append([doc_id, n_words, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+    fit = sorted((r for r in out if r[1] >= 20), key=lambda r: (-r[4], r[0] is None, r[0] or 0, r[3], r[2]))
+    for place, row in enumerate(fit[: 5 * len(fit) // 100]):
+        row[5] = place + 1
+    return sorted(map(tuple, out), key=repr)
+
+
+DRAWN = ("doc_id", "n_words", "n_features", "weight", "score", "rank")
+
+
+def test_resampling(spark):
+    rows = [(i, " ".join(odd_rows.prose(i % 90, i % 70, 60))) for i in range(700)]
+    target = [" ".join(odd_rows.prose(1000 + i, 40, 20)) for i in range(20)] + [None, ""]
+    docs = spark.createDataFrame(rows, TWO).repartition(4)
+    wanted = spark.createDataFrame([(t,) for t in target], "text string")
+    expected = resampled(rows, target)
+    assert tuples(importance.resample(docs, wanted), *DRAWN) == expected
+    assert sum(r[5] is not None for r in expected) == 5 * sum(r[1] >= 20 for r in expected) // 100 > 10
+
+
+def test_resampling_edge_cases(spark, odd, empty):
+    rows = [r[:2] for r in odd_rows.rows()] + [(7, " ".join(odd_rows.prose(31, 40)))] * 60 + [(None, " ".join(odd_rows.prose(32, 40)))] * 60
+    docs = spark.createDataFrame(rows, TWO).repartition(3)
+    target = [rows[10][1], rows[18][1]]
+    wanted = spark.createDataFrame([(t,) for t in target], "text string")
+    assert tuples(importance.resample(docs, wanted), *DRAWN) == resampled(rows, target)
+    assert tuples(importance.resample(docs, empty), *DRAWN) == resampled(rows, [])
+    assert importance.resample(empty, docs).collect() == []
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64, 1 << 18])
+def test_pieces_change_nothing(monkeypatch, piece):
+    monkeypatch.setattr(importance, "PIECE", piece)
+    for text in [*odd_rows.texts(), "a", "a b", "a b c d", "  a  ", "é" * 50 + " A1-b"]:
+        n_words, expected = grams(text)
+        found = list(importance.features((text or "").encode()))
+        assert sum(n for n, _ in found) == n_words
+        assert Counter(h for _, run in found for h in run) == Counter(map(crc32, expected))
+
+
+def test_bytes_that_are_not_utf8(spark):
+    docs = spark.sql("SELECT 1L doc_id, CAST(X'61FF20C328' AS STRING) text UNION ALL SELECT 2L, CAST(X'FFFE' AS STRING)")
+    found = {r["doc_id"]: r["n_features"] for r in importance.resample(docs, docs).collect()}
+    assert found == {1: 3, 2: 1}

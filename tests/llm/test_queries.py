@@ -18,8 +18,8 @@ def duck():
     return connection
 
 
-def test_ten_operators_and_the_pipeline():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+def test_operators_and_the_pipeline():
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert {*QUERIES, "pipeline"} <= set(registry.queries())
 
 
@@ -35,6 +35,7 @@ def test_query(spark, duck, name):
     assert sorted(got, key=key) == sorted(expected, key=key)
 
 
-def test_native_plan(spark):
-    plan = plan_of(QUERIES["op8_source_mixture"](spark, SF_DIR))
+@pytest.mark.parametrize("name", ["op8_source_mixture", "op11_host_rules"])
+def test_native_plan(spark, name):
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
     assert not any(node in plan for node in ("EvalPython", "InPandas", "InArrow", "CartesianProduct", "NestedLoop"))

@@ -191,3 +191,124 @@ SELECT doc_id, len(l) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(
        sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM texts LEFT JOIN told USING (doc_id)
 """
+
+HOST_RULES = rf"""
+WITH texts AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l
+  FROM documents
+), each AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts
+), starts AS (
+  SELECT doc_id, i, word || ' ' || lead(word, 1) OVER ordered || ' ' || lead(word, 2) OVER ordered AS g
+  FROM each WINDOW ordered AS (PARTITION BY doc_id ORDER BY i)
+), grams AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM starts WHERE g IS NOT NULL
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + o) AS n FROM grams, range(3) AS r(o) WHERE n > 1 GROUP BY doc_id
+), measured AS (
+  SELECT doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines,
+         len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM texts LEFT JOIN covered c USING (doc_id)
+), ruled AS (
+  SELECT *, unnest(['base', 'word_length', 'symbols', 'lines']) AS rule, unnest([
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words, word_chars < 2 * n_words OR word_chars > 12 * n_words,
+    10 * n_symbols > n_words, 10 * n_dup_lines > 3 * n_lines]) AS failed
+  FROM measured
+), hosts AS (
+  SELECT source, rule, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (failed) AS DOUBLE) AS x FROM ruled GROUP BY source, rule
+), sums AS (
+  SELECT rule, sum(n) AS rows, sum(x) / sum(n) AS rate, count(*) - 1 AS spare, sum(n * n) AS squares,
+         sum(x * x / n) - sum(n) * (sum(x) / sum(n)) * (sum(x) / sum(n)) AS between_hosts
+  FROM hosts GROUP BY rule
+), scaled AS (
+  SELECT *, rate * (1 - rate) * (rows - squares / rows - spare) AS scale FROM sums
+), known AS (
+  SELECT rule, rate, CASE WHEN scale > 0 THEN least(1, greatest(0, (between_hosts - rate * (1 - rate) * spare) / scale)) ELSE 0 END AS c
+  FROM scaled
+), refused AS (
+  SELECT source, max(rate + (x / n - rate) * (n * c / (n * c + 1 - c))) > 0.5 AS refused
+  FROM hosts JOIN known USING (rule) GROUP BY source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND NOT refused AS kept
+FROM ruled JOIN refused ON ruled.source IS NOT DISTINCT FROM refused.source WHERE rule = 'base'
+"""
+
+
+def _centroid_rounds(rounds: int) -> str:
+    """Assignment a0 with the first centroids c0, then c1, a1 and so on."""
+    steps = []
+    for n in range(rounds + 1):
+        if n:
+            steps.append(f"""c{n} AS MATERIALIZED (
+  SELECT b.cluster, coalesce(m.c, b.c) AS c FROM c{n - 1} b LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY p) AS c
+    FROM (SELECT cluster, p, sum(CAST(v[p] AS BIGINT)) AS s, count(*) AS n FROM a{n - 1} JOIN kept USING (vec_id), range(1, 65) r(p) GROUP BY ALL)
+    GROUP BY cluster) m USING (cluster)
+)""")
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT vec_id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (
+    SELECT vec_id, cluster, CAST(list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS BIGINT) AS d
+    FROM kept, c{n}) GROUP BY vec_id
+)""")
+    return ", ".join(steps)
+
+
+CENTROIDS = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INTEGER) AS cluster, v AS c
+  FROM kept ORDER BY sha256('2:' || vec_id) LIMIT 40
+), {_centroid_rounds(5)}
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a5 JOIN c5 USING (cluster)
+"""
+
+# CRC-32 of the UTF-8 bytes, by the usual table of 256 remainders of the reflected polynomial 0xEDB88320.
+IMPORTANCE = f"""
+WITH RECURSIVE remainders(b, step, r) AS (
+  SELECT b, 0, CAST(b AS BIGINT) FROM range(256) t(b)
+  UNION ALL
+  SELECT b, step + 1, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END FROM remainders WHERE step < 8
+), crc AS MATERIALIZED (
+  SELECT list(r ORDER BY b) AS tab FROM remainders WHERE step = 8
+), texts AS MATERIALIZED (
+  SELECT true AS own, CAST(doc_id AS VARCHAR) AS id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM}') AS w FROM documents
+  UNION ALL
+  SELECT false, CAST(item_id AS VARCHAR), regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM}')
+  FROM benchmark
+), runs AS (
+  SELECT own, id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM texts, range(1, 4) r(n) WHERE len(w) >= n
+), features AS MATERIALIZED (
+  SELECT own, id, array_to_string(w[i:i + n - 1], ' ') AS f, count(*) AS n FROM runs GROUP BY ALL
+), buckets AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(f)), '..'),
+         lambda x: CAST('0x' || x AS BIGINT))), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM features), crc
+), counts AS (
+  SELECT b AS bucket, coalesce(sum(n) FILTER (own), 0) AS s, coalesce(sum(n) FILTER (NOT own), 0) AS t
+  FROM range(10000) r(b) LEFT JOIN (features JOIN buckets USING (f)) ON bucket = b GROUP BY b
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE))
+         / (CAST(s + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM counts
+), weights AS (
+  SELECT id, sum(n) AS n_features, sum(n * gain) AS weight
+  FROM features JOIN buckets USING (f) JOIN gains USING (bucket) WHERE own GROUP BY id
+), scored AS (
+  SELECT doc_id, len(w) >= 20 AS long_enough, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features,
+         CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln(
+           (CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM documents JOIN texts ON own AND id = CAST(doc_id AS VARCHAR) LEFT JOIN weights USING (id)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY long_enough ORDER BY score DESC, doc_id) AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN long_enough AND place <= (SELECT 5 * count(*) FILTER (long_enough) // 100 FROM scored) THEN place END AS rank
+FROM placed
+"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, exact_dedup, jaccard, langid, license_scan, mixing, oracles, substring, suffix_dedup
+from tidelog.llm import centroids, decontaminate, exact_dedup, host_rules, importance, jaccard, langid, license_scan, mixing, oracles
+from tidelog.llm import substring, suffix_dedup
 from tidelog.llm import toxicity as toxic
 from tidelog.llm import url_filter
 
@@ -125,3 +126,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         hex_sha256("kept").alias("kept_sha256"),
     )
+
+
+@query(oracles.HOST_RULES)
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@query(oracles.CENTROIDS)
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query(oracles.IMPORTANCE)
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
