@@ -1,4 +1,4 @@
-"""Opaque page cursors: base64url, without padding, of ``{"timestamp":…,"id":…}``."""
+"""Opaque page cursors: base64url, without padding, of ``{"timestamp":…,"id":…}``, and of walks, which add ``"seen":…``."""
 
 from __future__ import annotations
 
@@ -40,14 +40,8 @@ class Cursor:
     @classmethod
     def decode(cls, token: str) -> Cursor | None:
         """None for anything that is not a cursor."""
-        if not re.search(TOKEN.replace(r"\z", r"\Z"), token):
-            return None
-        try:
-            raw = base64.urlsafe_b64decode(token.rstrip("=") + "=" * (-len(token.rstrip("=")) % 4))
-            doc = json.loads(raw.decode())
-        except (binascii.Error, ValueError, RecursionError):
-            return None
-        if not isinstance(doc, dict):
+        doc = _document(token)
+        if doc is None:
             return None
         stamp, row_id = doc.get("timestamp"), doc.get("id")
         if not isinstance(stamp, str) or not isinstance(row_id, str) or not ID_TEXT.fullmatch(row_id):
@@ -62,6 +56,39 @@ class Cursor:
             return None
 
 
+@dataclass(frozen=True)
+class Walk:
+    """A place in a walk over a table that goes on growing: the last row handed out, and per stream the last batch that the
+    walk saw when it began."""
+
+    cursor: Cursor
+    seen: dict[str, int]
+
+    def encode(self) -> str:
+        doc = {**_document(self.cursor.encode()), "seen": self.seen}
+        return base64.urlsafe_b64encode(json.dumps(doc, separators=(",", ":")).encode()).decode().rstrip("=")
+
+    @classmethod
+    def decode(cls, token: str) -> Walk | None:
+        """None for anything that is not a place in a walk, plain cursors included."""
+        cursor, doc = Cursor.decode(token), _document(token)
+        seen = doc.get("seen") if cursor is not None else None
+        if not isinstance(seen, dict) or not all(type(n) is int and n >= 0 for n in seen.values()):
+            return None
+        return cls(cursor, seen)
+
+
+def _document(token: str) -> dict | None:
+    if not re.search(TOKEN.replace(r"\z", r"\Z"), token):
+        return None
+    try:
+        raw = base64.urlsafe_b64decode(token.rstrip("=") + "=" * (-len(token.rstrip("=")) % 4))
+        doc = json.loads(raw.decode())
+    except (binascii.Error, ValueError, RecursionError):
+        return None
+    return doc if isinstance(doc, dict) else None
+
+
 def cursor_token(ts: Column, row_id: Column) -> Column:
     doc = F.concat(
         F.lit('{"timestamp":"'), iso_micros(ts), F.lit('","id":"'), row_id.cast("string"), F.lit('"}')

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators import aggregate, rollup
+from tidelog.operators import aggregate, hierarchy, rollup
 from tidelog.operators.filters import LogFilter
-from tidelog.plans.registry import at, over_logs, query, stored_logs
+from tidelog.plans.registry import ORACLES, at, over_logs, query, stored_logs
 from tidelog.session import fresh_path
 from tidelog.sources import sample_tables as tables
 from tidelog.sources.log_table import LogTable
@@ -202,6 +205,55 @@ def agg_exact_edges(spark, sf_dir):
     return stored_logs(spark, sf_dir).counts(RANGE, "1h", "service", exact=True)
 
 
+@query("agg_hierarchy_edges", _count_sql("1d", "service", _EXACT))
+def agg_hierarchy_edges(spark, sf_dir):
+    """Whole days from the day sums, then hours, then minutes; parts of a minute from the rows."""
+    return stored_logs(spark, sf_dir).counts(RANGE, "1d", "service", exact=True)
+
+
+@query("agg_hierarchy_hours", _count_sql("1h", "level", f"{_WHOLE} AND service = 'ledger'"))
+def agg_hierarchy_hours(spark, sf_dir):
+    """Hours of a service from the hour sums, the minutes of both bounds whole."""
+    where = LogFilter(since=SINCE, until=UNTIL, service="ledger")
+    return stored_logs(spark, sf_dir).counts(where, "1h", "level")
+
+
+@query(
+    "rollup_levels",
+    over_logs(
+        " UNION ALL ".join(
+            f"SELECT '{g}' AS grain, {_START[g]} AS time_bucket, service, level, count(*) AS log_count FROM logs GROUP BY ALL"
+            for g in hierarchy.GRAINS
+        )
+    ),
+)
+def rollup_levels(spark, sf_dir):
+    """Minutes, hours and days in one pass."""
+    return hierarchy.levels(rollup.build(tables.logs(spark, sf_dir)))
+
+
+@query("rollup_levels_late", ORACLES["rollup_levels"])
+def rollup_levels_late(spark, sf_dir):
+    """Every batch brings rows of the whole month again; each adds the hours and days that it touched."""
+    table = _three_batches(spark, sf_dir, "levels")
+    parts = [rollup.total(table.rollup_deltas(grain=g)).withColumn("grain", F.lit(g)) for g in hierarchy.GRAINS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "audit_altered_messages",
+    over_logs(
+        """SELECT date_trunc('minute', timestamp) AS time_bucket, service, level, count(*) AS raw_count, count(*) AS rollup_count
+        FROM logs GROUP BY ALL HAVING count(*) FILTER (date_part('second', timestamp) = 7) > 0"""
+    ),
+)
+def audit_altered_messages(spark, sf_dir):
+    """Some stored messages are changed afterwards; the counts agree, the sums of hashes do not."""
+    table = stored_logs(spark, sf_dir)
+    changed = F.when(F.second("timestamp") == 7, F.concat("message", F.lit("."))).otherwise(F.col("message"))
+    return rollup.audit_content(table.rows().withColumn("message", changed), table.rollup_deltas())
+
+
 @query(
     "rollup_audit",
     over_logs(

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelog.functions import validation as V
-from tidelog.operators import ingest, reports, retention
+from tidelog.operators import ingest, reports, retention, sketches
 from tidelog.plans.registry import at, over_logs, query, stored_logs
 from tidelog.session import fresh_path
+from tidelog.sources import id_space
 from tidelog.sources import sample_tables as tables
 from tidelog.sources.envelopes import stream_envelopes
 from tidelog.sources.log_table import LogTable
@@ -245,6 +246,28 @@ def ids_unique(spark, sf_dir):
     )
 
 
+@query(
+    "ids_unique_two_streams",
+    _STORED_ENVELOPES
+    + "SELECT count(*) AS rows, count(DISTINCT (batch_key, index)) AS ids, true AS apart FROM judged WHERE reason IS NULL",
+)
+def ids_unique_two_streams(spark, sf_dir):
+    """Two streams that run at the same time feed one table; each has a part of the id space of its own."""
+    base = fresh_path(spark, "together", sf_dir)
+    running = []
+    for name, part in (("a", F.col("event_id") % 2 == 0), ("b", F.col("event_id") % 2 == 1)):
+        files = _write_bodies(tables.envelopes(spark, sf_dir).filter(part), f"{base}/{name}")
+        bodies = stream_envelopes(spark, f"{base}/{name}", whole_files=False, max_files=-(-files // 2))
+        running.append((bodies, f"{base}/progress-{name}"))
+    started = [start_ingest(b, f"{base}/table", progress, clock=lambda: NOW, stream=progress[-1]) for b, progress in running]
+    for one in started:
+        one.awaitTermination()
+    rows = LogTable(spark, f"{base}/table").rows().withColumn("part", F.shiftright("id", id_space.PART_BITS))
+    return rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("id").alias("ids"), (F.countDistinct("part") == 2).alias("apart")
+    )
+
+
 @query(
     "stored_batch_status",
     _STORED_ENVELOPES
@@ -332,6 +355,29 @@ def latency_summary(spark, sf_dir):
     return reports.latency_summary(_samples(spark, sf_dir))
 
 
+@query(
+    "latency_sketch",
+    "SELECT event_type AS kind, count(*) AS n, p, true AS within FROM events, (VALUES (50), (95), (99)) v(p) GROUP BY event_type, p",
+)
+def latency_sketch(spark, sf_dir):
+    """Sketches per minute and kind, merged per kind: every percentile lies within the stated rank error."""
+    samples = _samples(spark, sf_dir)
+    merged = sketches.merge(sketches.merge(sketches.build(samples), "1d"))
+    return sketches.within_error(sketches.summary(merged), samples)
+
+
+@query(
+    "latency_sketch_days",
+    """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS time_bucket, event_type AS kind, count(*) AS n, max(value) AS max,
+    true AS in_order FROM events GROUP BY ALL""",
+)
+def latency_sketch_days(spark, sf_dir):
+    """Percentiles per day and kind from the sketches of the minutes."""
+    days = sketches.summary(sketches.merge(sketches.build(_samples(spark, sf_dir)), "1d"))
+    in_order = (F.col("p50") <= F.col("p95")) & (F.col("p95") <= F.col("p99")) & (F.col("p99") <= F.col("max"))
+    return days.select("time_bucket", "kind", "n", "max", in_order.alias("in_order"))
+
+
 @query(
     "status_tally",
     """SELECT event_type AS kind, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS code, count(*) AS n

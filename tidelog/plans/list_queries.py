@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.cursors import Cursor, cursor_fields, cursor_token
@@ -12,7 +14,9 @@ from tidelog.operators import listing
 from tidelog.operators.filters import PATTERN, LogFilter
 from tidelog.plans.registry import at, over_logs, over_ties, query, stored_logs
 from tidelog.plans.requests import AggregateRequest, ListRequest
+from tidelog.session import fresh_path
 from tidelog.sources import sample_tables as tables
+from tidelog.sources.log_table import LogTable
 
 SINCE, UNTIL = at("2024-01-08 06:30:00"), at("2024-01-20 18:00:00.5")
 _SINCE, _UNTIL = "TIMESTAMP '2024-01-08 06:30:00'", "TIMESTAMP '2024-01-20 18:00:00.5'"
@@ -130,15 +134,15 @@ def _attr_filtered(name: str, attrs: dict[str, str], condition: str) -> None:
         return LogFilter(attrs=attrs).apply(tables.logs_attr(spark, sf_dir)).select("id", "timestamp")
 
 
-_attr_filtered("filter_attr_string", {"user_id": "42"}, "user_id = 42")
+_attr_filtered("filter_attr_string", {"account": "42"}, "user_id = 42")
 _attr_filtered("filter_attr_bool", {"canary": "true"}, "true")
 _attr_filtered("filter_attr_bool_false", {"canary": "false"}, "false")
-_attr_filtered("filter_attr_number", {"retries": "3"}, "event_id % 5 = 3")
+_attr_filtered("filter_attr_number", {"attempts": "3"}, "event_id % 5 = 3")
 _attr_filtered("filter_attr_number_scale", {"mixed": "3.0"}, "event_id % 3 <> 1")
 _attr_filtered("filter_attr_number_or_string", {"mixed": "3"}, "true")
 _attr_filtered(
     "filter_attr_multi",
-    {"region": "eu-west", "retries": "002", "canary": "true"},
+    {"dock": "harbour", "attempts": "002", "canary": "true"},
     "event_id % 3 = 0 AND event_id % 5 = 2",
 )
 
@@ -323,6 +327,35 @@ def page_index(spark, sf_dir):
     return listing.page_index(tables.logs_ties(spark, sf_dir), 100)
 
 
+_WALKED = LogFilter(service="ledger", level="warn")
+
+
+@query(
+    "walk_under_ingest",
+    over_logs("SELECT timestamp, message, 1 AS times FROM logs WHERE service = 'ledger' AND level = 'warn'"),
+)
+def walk_under_ingest(spark, sf_dir):
+    """A walk to the end of the log, page by page, while more rows of the same times arrive and batches are merged:
+    every row that was there when it began comes once, and no other."""
+    table = LogTable(spark, fresh_path(spark, "walk", sf_dir))
+    logs = tables.logs(spark, sf_dir).withColumn("attributes", F.try_parse_json("attributes"))
+    for part in range(2):
+        table.append(logs.filter(F.col("id") % 2 == part), f"s{part}", 0)
+    late = _WALKED.apply(logs)
+    place, pages = None, []
+    while place is not None or not pages:
+        page = table.walk(_WALKED, 1000, place)
+        pages.append(spark.createDataFrame([(e["id"],) for e in page.logs], "id string"))
+        place = page.next_cursor
+        if len(pages) <= 3:
+            table.append(late, "s0", len(pages))
+        if len(pages) == 2:
+            table.compact()
+    walked = reduce(DataFrame.unionByName, pages).groupBy(F.col("id").cast("bigint").alias("id"))
+    times = walked.agg(F.count(F.lit(1)).cast("int").alias("times"))
+    return table.rows().join(times, "id").select("timestamp", "message", "times")
+
+
 @query(
     "page_positions",
     over_ties(f"SELECT id, timestamp, row_number() OVER ({_NEWEST}) - 1 AS position FROM logs"),

@@ -18,7 +18,7 @@ LOG_SCHEMA = T.StructType(
 LOG_COLUMNS = LOG_SCHEMA.names
 
 # One row per received entry, and one for each refused or empty envelope. Accepted rows fill the log columns, rejected
-# rows the last two. ``origin`` is the batch that brought the row, also after compaction.
+# rows ``reason`` and ``entry``. ``content`` is the hash of an accepted row as it was received. ``origin`` is the batch that brought the row, also after compaction.
 ENTRY_SCHEMA = T.StructType(
     LOG_SCHEMA.fields
     + [
@@ -27,6 +27,7 @@ ENTRY_SCHEMA = T.StructType(
         T.StructField("index", T.IntegerType()),
         T.StructField("reason", T.StringType()),
         T.StructField("entry", T.StringType()),
+        T.StructField("content", T.LongType()),
         T.StructField("batch_id", T.StringType()),
         T.StructField("outcome", T.StringType()),
         T.StructField("log_date", T.DateType()),
@@ -40,8 +41,11 @@ ROLLUP_SCHEMA = T.StructType(
         T.StructField("service", T.StringType()),
         T.StructField("level", T.StringType()),
         T.StructField("log_count", T.LongType()),
+        T.StructField("content_low", T.LongType()),
+        T.StructField("content_high", T.LongType()),
         T.StructField("batch_id", T.StringType()),
         T.StructField("version", T.IntegerType()),
+        T.StructField("grain", T.StringType()),
         T.StructField("bucket_date", T.DateType()),
     ]
 )

@@ -1,14 +1,18 @@
 """The stored log: Parquet rows by batch and UTC day, rollup deltas, commit records.
 
     rows/batch_id=STREAM-N/outcome=accepted|rejected|empty/log_date=D/
-    rollup/batch_id=STREAM-N/version=V/bucket_date=D/
+    rollup/batch_id=STREAM-N/version=V/grain=1m|1h|1d/bucket_date=D/
     commits/STREAM-N.V.R
+    ids/PART.STREAM.claim|own
 
 A batch belongs to a stream and has a number that grows within it. It is written whole, then committed by one small record.
 Readers take committed batches only, so rows and rollup become visible together; a batch that was interrupted is
 overwritten by its replay, and a number that its stream has committed before is not written again; a lower number that it
-never committed is refused. Streams do not know of each other. A record lists the days that are visible: version V counts rebuilt deltas, revision R expiries. One writer at a
-time per table.
+never committed is refused. Any number of streams write at once, each by one writer; they have parts of the id space of
+their own. A record lists the days that are visible: version V counts rebuilt deltas, revision R expiries. Maintenance
+(compaction, rebuild, expiry) runs one at a time, beside the streams.
+
+A batch's delta holds the sums of its minutes, hours and days, and of the hashes of its rows, as the audit compares them.
 """
 
 from __future__ import annotations
@@ -19,19 +23,20 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
 from datetime import date, datetime, time, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.functions.times import bucket_start, utc
-from tidelog.operators import aggregate, ingest, listing, retention, rollup
+from tidelog.functions.cursors import Cursor, Walk
+from tidelog.functions.times import utc
+from tidelog.operators import aggregate, hierarchy, ingest, listing, retention, rollup
 from tidelog.operators.filters import LogFilter, last_day_before
-from tidelog.schema import ENTRY_SCHEMA, LOG_COLUMNS, ROLLUP_KEYS, ROLLUP_SCHEMA
+from tidelog.schema import ENTRY_SCHEMA, LOG_COLUMNS, ROLLUP_SCHEMA
 from tidelog.session import prepare, settings
-from tidelog.sources import paths
+from tidelog.sources import id_space, paths
 
-# Ids: every scan task of a batch has a range of 2^26 numbers. A task with more rows goes on in further ranges.
-ID_ROW_BITS = 26
+# Ids: every scan task of a batch has a range of 2^22 numbers. A task with more rows goes on in further ranges.
+ID_ROW_BITS = 22
 _SLOT_ROW_BITS = 33
 _MOST_TASKS = 1 << 20
 
@@ -70,12 +75,27 @@ class Commit:
     replaces: tuple[str, ...] = ()  # batches that this one merged
     seen: dict[str, int] = field(default_factory=dict)  # highest number of each merged stream
     merged: dict[str, list[list[int]]] = field(default_factory=dict)  # ranges of the merged numbers of each stream
+    limits: dict[str, int] = field(default_factory=dict)  # end of the ids of each merged stream
 
     def numbers(self, stream: str) -> list[list[int]]:
         """Ranges of the numbers of a stream that this record commits; older records only know the highest merged one."""
         own = [[self.number, self.number]] if self.stream == stream else []
         return own + self.merged.get(stream, [[0, self.seen[stream]]] if stream in self.seen else [])
 
+    @property
+    def streams(self) -> set[str]:
+        return {*self.merged, *self.seen} if self.stream == MERGED else {self.stream}
+
+    def begins(self, seen: dict[str, int]) -> bool:
+        """Does it hold a batch that is among those seen?"""
+        return any(low <= seen.get(s, -1) for s in self.streams for low, _ in self.numbers(s))
+
+    def ends_after(self, seen: dict[str, int]) -> bool:
+        return any(high > seen.get(s, -1) for s in self.streams for _, high in self.numbers(s))
+
+    def end_of_ids(self, stream: str) -> int:
+        return self.id_limit if self.stream == stream else self.limits.get(stream, 0)
+
     @property
     def batch(self) -> str:
         return f"{self.stream}-{self.number}"
@@ -100,6 +120,10 @@ class Snapshot:
         gone = {b for c in self.records for b in c.replaces}
         return [c for c in self.records if c.batch not in gone]
 
+    @property
+    def streams(self) -> set[str]:
+        return {s for c in self.records for s in c.streams}
+
 
 class LogTable:
     def __init__(self, spark: SparkSession, path: str, file_bytes: str = FILE_BYTES):
@@ -168,8 +192,9 @@ class LogTable:
         )
         return counted.select("batch", "batch_key", status.alias("status"), "error", "accepted")
 
-    def rollup_deltas(self, where: LogFilter | None = None) -> DataFrame:
-        return self._deltas(self.snapshot(), where)
+    def rollup_deltas(self, where: LogFilter | None = None, grain: str = "1m") -> DataFrame:
+        """Sums per minute (or hour, day) of every batch."""
+        return self._deltas(self.snapshot(), where, grain=grain)
 
     def rollup(self) -> DataFrame:
         return rollup.total(self.rollup_deltas())
@@ -177,8 +202,16 @@ class LogTable:
     def audit(self) -> DataFrame:
         """Minutes in which the stored deltas differ from the stored rows; days without rows by retention are left out."""
         now = self.snapshot()
-        kept = [_with_deltas(c, [d for d in c.delta_days if d in set(c.days)]) for c in now.live]
-        return rollup.audit(self._accepted(now), rollup.total(self._deltas(Snapshot(kept), None)))
+        return rollup.audit(self._accepted(now), rollup.total(self._kept_deltas(now)))
+
+    def audit_content(self) -> DataFrame:
+        """Minutes in which the stored rows are not those that were counted, also where their number is the same."""
+        now = self.snapshot()
+        return rollup.audit_content(self._accepted(now), self._kept_deltas(now))
+
+    def _kept_deltas(self, now: Snapshot) -> DataFrame:
+        """The deltas of the days that have rows."""
+        return self._deltas(Snapshot([_with_deltas(c, [d for d in c.delta_days if d in set(c.days)]) for c in now.live]), None)
 
     def _spans(self, now: Snapshot, where: LogFilter) -> Iterator[LogFilter]:
         """The filter on growing spans of the newest days, the whole range last."""
@@ -204,13 +237,35 @@ class LogTable:
 
     def page(self, where: LogFilter, limit: int = listing.DEFAULT_LIMIT) -> listing.Page:
         """A page of the stored log on the driver; its cursor goes into the filter of the next."""
-        now, page = self.snapshot(), None
+        return self._page(self.snapshot(), where, limit)
+
+    def _page(self, now: Snapshot, where: LogFilter, limit: int, seen: dict[str, int] | None = None) -> listing.Page:
+        page = None
         for part in self._spans(now, where):
-            page = listing.fetch_page(part.apply(self._accepted(now, part)), limit)
+            page = listing.fetch_page(part.apply(self._accepted(now, part, seen)), limit)
             if page.next_cursor is not None:  # full, and more rows follow
                 break
         return page
 
+    def walk(self, where: LogFilter, limit: int = listing.DEFAULT_LIMIT, place: str | None = None) -> listing.Page:
+        """A page of a walk that shows the table as it was at the first page, whatever is stored or merged meanwhile.
+
+        ``place`` is the ``next_cursor`` of the page before. It names the last batch of every stream that the walk began with;
+        rows of later batches, also those with older times, are left for another walk.
+        """
+        now = self.snapshot()
+        if place is None:
+            seen = {s: max(high for c in now.live for _, high in c.numbers(s)) for s in now.streams}
+        else:
+            found = Walk.decode(place)
+            if found is None:
+                raise ValueError("not a place in a walk")
+            seen, where = found.seen, replace(where, cursor=found.cursor)
+        page = self._page(Snapshot([c for c in now.live if c.begins(seen)]), where, limit, seen)
+        if page.next_cursor is None:
+            return page
+        return listing.Page(page.logs, Walk(Cursor.decode(page.next_cursor), seen).encode())
+
     def counts(
         self, where: LogFilter, bucket: str, group_by: str | None = None, exact: bool = False
     ) -> DataFrame:
@@ -219,37 +274,47 @@ class LogTable:
         if not aggregate.rollup_answers(where):
             counted = aggregate.from_logs(where.apply(self._accepted(now, where)), LogFilter(), bucket, group_by)
             return aggregate.in_order(counted)
-        deltas = self._deltas(now, where)
-        if not exact:
-            return aggregate.in_order(aggregate.from_rollup(deltas, where, bucket, group_by))
-        edges = {utc(t).date().isoformat() for t in (where.since, where.until) if t is not None}
-        logs = self._accepted(now, where, edges)
-        return aggregate.aggregate(logs, deltas, where, bucket, group_by, exact)
+        if exact and (where.since is None or where.until is None):
+            raise ValueError("exact counts need since and until")
+        counted = hierarchy.counts(
+            lambda grain, span: self._deltas(now, span, grain=grain),
+            where,
+            bucket,
+            group_by,
+            (lambda span: self._accepted(now, span)) if exact else None,
+        )
+        return aggregate.in_order(counted)
 
-    def _accepted(self, now: Snapshot, where: LogFilter | None = None, only: set[str] | None = None) -> DataFrame:
-        return self._entries(now, "accepted", where, only).select(*LOG_COLUMNS, "log_date")
+    def _accepted(self, now: Snapshot, where: LogFilter | None = None, seen: dict[str, int] | None = None) -> DataFrame:
+        """Accepted rows; with ``seen``, those of no later batch of any stream."""
+        rows = self._entries(now, "accepted", where)
+        if seen is not None and any(c.ends_after(seen) for c in now.live):  # merged with later ones
+            stream, number = F.substring_index("origin", "-", 1), F.substring_index("origin", "-", -1).cast("bigint")
+            rows = rows.filter(F.coalesce(number <= F.element_at(_as_map(seen), stream), F.lit(False)))
+        return rows.select(*LOG_COLUMNS, "log_date")
 
     def _entries(
         self,
         now: Snapshot,
         outcome: str,
         where: LogFilter | None = None,
-        only: set[str] | None = None,
         commits: list[Commit] | None = None,
     ) -> DataFrame:
         """Rows of the batches, from the folders of the days in range."""
         folders = []
         for c in now.live if commits is None else commits:
             days = {"accepted": c.days, "rejected": c.rejected_days, "empty": c.empty_days}[outcome]
-            wanted = [d for d in _in_range(days, where) if only is None or d in only]
-            folders += _folders(c, f"batch_id={c.batch}/outcome={outcome}", "log_date", wanted, days)
+            folders += _folders(c, f"batch_id={c.batch}/outcome={outcome}", "log_date", _in_range(days, where), days)
         return self._read("rows", folders, ENTRY_SCHEMA)
 
-    def _deltas(self, now: Snapshot, where: LogFilter | None, commits: list[Commit] | None = None) -> DataFrame:
+    def _deltas(
+        self, now: Snapshot, where: LogFilter | None, commits: list[Commit] | None = None, grain: str = "1m"
+    ) -> DataFrame:
         folders = []
         for c in now.live if commits is None else commits:
-            folders += _folders(c, _delta_folder(c), "bucket_date", _in_range(c.delta_days, where), c.delta_days)
-        return self._read("rollup", folders, ROLLUP_SCHEMA)
+            wanted = _in_range(c.delta_days, where)
+            folders += _folders(c, _delta_folder(c), f"grain={grain}/bucket_date", wanted, c.delta_days)
+        return self._read("rollup", folders, ROLLUP_SCHEMA).filter(F.col("grain") == grain)
 
     def _read(self, area: str, folders: list[str], schema: T.StructType) -> DataFrame:
         base = f"{self.path}/{area}"
@@ -306,7 +371,8 @@ class LogTable:
         last = max((high for _, high, _ in stored), default=-1)
         if number < last:
             raise ValueError(f"batch {number} of stream {stream} was never stored and comes after batch {last}")
-        id_base = max((c.id_limit for c in records), default=0)
+        limit = max((c.end_of_ids(stream) for c in records), default=0)
+        id_base = id_space.next_base(self.spark, f"{self.path}/ids", stream, limit)
         outcome = F.when(F.col("empty"), "empty").when(F.col("reason").isNull(), "accepted").otherwise("rejected")
         ok, refused = outcome == "accepted", outcome == "rejected"
 
@@ -315,9 +381,10 @@ class LogTable:
         ranges = F.shiftright("_slot", _SLOT_ROW_BITS) + F.shiftright(row, ID_ROW_BITS) * F.lit(_MOST_TASKS)
         within = row.bitwiseAND(F.lit((1 << ID_ROW_BITS) - 1))
         row_id = F.shiftleft(ranges, ID_ROW_BITS) + within + F.lit(id_base)
-        numbered = validated.withColumn("_slot", F.monotonically_increasing_id()).select(
-            row_id.cast("bigint").alias("id"),
+        numbered = validated.withColumn("_slot", F.monotonically_increasing_id()).withColumn("id", row_id.cast("bigint")).select(
+            "id",
             *[F.when(ok, F.col(c)).alias(c) for c in LOG_COLUMNS if c != "id"],
+            F.when(ok, rollup.content_hash()).alias("content"),
             F.lit(f"{stream}-{number}").alias("origin"),
             "batch_key",
             "index",
@@ -334,7 +401,7 @@ class LogTable:
             stream, number, 0, seen["accepted"], seen["rejected"], limit, *self._days_of(f"{stream}-{number}")
         )
         written = self._entries(Snapshot([commit]), "accepted")
-        return self._finish(commit, rollup.build(written))
+        return self._finish(commit, rollup.row_measures(written, F.col("content")))
 
     def _write_rows(self, entries: DataFrame, batch: str) -> dict[str, int]:
         """All rows of a batch in one pass over the input; their numbers by outcome, and the highest id.
@@ -375,9 +442,9 @@ class LogTable:
         return tuple(sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{column}=")))
 
     def _finish(self, commit: Commit, delta: DataFrame) -> Commit:
-        """Write the rollup delta, then the commit record."""
+        """Write the rollup delta in all its grains, then the commit record."""
         self._write_delta(commit, delta)
-        commit = replace(commit, delta_days=self._days_in(f"rollup/{_delta_folder(commit)}", "bucket_date"))
+        commit = replace(commit, delta_days=self._days_in(f"rollup/{_delta_folder(commit, '1m')}", "bucket_date"))
         self._write_record(commit)
         return commit
 
@@ -386,10 +453,11 @@ class LogTable:
         gathered = {**self._writing(), "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
         with settings(self.spark, gathered):
             (
-                delta.withColumn("bucket_date", F.to_date("time_bucket"))
-                .sortWithinPartitions("bucket_date", "service", "level", "time_bucket")
+                hierarchy.levels(delta, measures=rollup.MEASURES)
+                .withColumn("bucket_date", F.to_date("time_bucket"))
+                .sortWithinPartitions("grain", "bucket_date", "service", "level", "time_bucket")
                 .write.mode("overwrite")
-                .partitionBy("bucket_date")
+                .partitionBy("grain", "bucket_date")
                 .parquet(f"{self.path}/rollup/{_delta_folder(commit)}")
             )
 
@@ -414,6 +482,7 @@ class LogTable:
             for stream, number in [(c.stream, c.number), *c.seen.items()]:
                 seen[stream] = max(number, seen.get(stream, -1))
         merged = {stream: _ranges([r for c in small for r in c.numbers(stream)]) for stream in seen}
+        limits = {stream: max(c.end_of_ids(stream) for c in small) for stream in seen}
         number = max((c.number for c in now.records if c.stream == MERGED), default=-1) + 1
         name = f"{MERGED}-{number}"
         counted = self._write_rows(sides[0].unionByName(sides[1]).unionByName(sides[2]).drop("batch_id"), name)
@@ -423,13 +492,14 @@ class LogTable:
             version=0,
             accepted=counted["accepted"],
             rejected=counted["rejected"],
-            id_limit=max(c.id_limit for c in small),
+            id_limit=0,
             **dict(zip(("days", "rejected_days", "empty_days"), self._days_of(name))),
             replaces=tuple(sorted(c.batch for c in small)),
             seen=seen,
             merged=merged,
+            limits=limits,
         )
-        return self._finish(commit, rollup.total(self._deltas(now, None, small)))
+        return self._finish(commit, rollup.total(self._deltas(now, None, small), measures=rollup.MEASURES))
 
     def rebuild_rollup(self) -> None:
         """Derive all deltas anew from the stored rows, in one job; each takes effect with its new commit record.
@@ -442,29 +512,24 @@ class LogTable:
         version = max(c.version for c in now.records) + 1
         for folder in paths.matching(self.spark, f"{self.path}/rollup/batch_id=*/version={version}"):
             paths.remove(self.spark, folder)  # of an attempt that did not end
-        rows = self._entries(now, "accepted")
-        keys = ["batch_id", *ROLLUP_KEYS]
-        built = (
-            rows.select("batch_id", bucket_start(F.col("timestamp"), "1m").alias("time_bucket"), "service", "level")
-            .groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("log_count"))
-        )
+        built = rollup.row_measures(self._entries(now, "accepted"), F.col("content"), "batch_id")
         kept = [_with_deltas(c, [d for d in c.delta_days if d not in set(c.days)]) for c in now.live]
         if any(c.delta_days for c in kept):
-            built = built.unionByName(self._deltas(Snapshot(kept), None).select(*keys, "log_count"))
+            built = built.unionByName(self._deltas(Snapshot(kept), None).select(*built.columns))
+        built = hierarchy.levels(built, "batch_id", measures=rollup.MEASURES)
         with settings(self.spark, self._writing()):
             (
                 built.withColumn("version", F.lit(version))
                 .withColumn("bucket_date", F.to_date("time_bucket"))
                 .hint("rebalance", "batch_id", "bucket_date")
-                .sortWithinPartitions("batch_id", "bucket_date", "service", "level", "time_bucket")
+                .sortWithinPartitions("batch_id", "grain", "bucket_date", "service", "level", "time_bucket")
                 .write.mode("append")
-                .partitionBy("batch_id", "version", "bucket_date")
+                .partitionBy("batch_id", "version", "grain", "bucket_date")
                 .parquet(f"{self.path}/rollup")
             )
         for commit in now.live:
             renewed = replace(commit, version=version)
-            days = self._days_in(f"rollup/{_delta_folder(renewed)}", "bucket_date")
+            days = self._days_in(f"rollup/{_delta_folder(renewed, '1m')}", "bucket_date")
             self._write_record(replace(renewed, delta_days=days))
 
     def expire(
@@ -489,8 +554,8 @@ class LogTable:
                 continue
             self._write_record(replace(c, **kept, revision=c.revision + 1))
             for name, expired in gone.items():
-                for day in expired:
-                    paths.remove(self.spark, f"{self.path}/{_day_folder(c, name, day)}")
+                for folder in (f for day in expired for f in _day_folders(c, name, day)):
+                    paths.remove(self.spark, f"{self.path}/{folder}")
             dropped |= {*gone["days"], *gone.get("delta_days", ())}
         return sorted(map(date.fromisoformat, dropped))
 
@@ -510,10 +575,11 @@ class LogTable:
                 if name.startswith("version=") and name != f"version={commit.version}":
                     paths.remove(self.spark, f"{self.path}/rollup/batch_id={batch}/{name}")
             present = dict(zip(("days", "rejected_days", "empty_days"), self._days_of(batch)))
-            present["delta_days"] = self._days_in(f"rollup/{_delta_folder(commit)}", "bucket_date")
+            deltas = [self._days_in(f"rollup/{_delta_folder(commit, g)}", "bucket_date") for g in hierarchy.GRAINS]
+            present["delta_days"] = tuple({d for days in deltas for d in days})
             for name, days in present.items():
-                for day in set(days) - set(getattr(commit, name)):
-                    paths.remove(self.spark, f"{self.path}/{_day_folder(commit, name, day)}")
+                for folder in (f for day in set(days) - set(getattr(commit, name)) for f in _day_folders(commit, name, day)):
+                    paths.remove(self.spark, f"{self.path}/{folder}")
         kept = {_record_name(c) for c in live.values()}
         for name in paths.names(self.spark, f"{self.path}/commits"):
             if name not in kept and name[0] not in "._":
@@ -521,6 +587,10 @@ class LogTable:
         return gone
 
 
+def _as_map(seen: dict[str, int]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in seen.items() for x in pair])
+
+
 def _parse(text: str) -> Commit:
     values = json.loads(text)
     return Commit(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
@@ -541,16 +611,16 @@ def _record_name(commit: Commit) -> str:
     return f"{commit.batch}.{commit.version}.{commit.revision}"
 
 
-def _delta_folder(commit: Commit) -> str:
-    return f"batch_id={commit.batch}/version={commit.version}"
+def _delta_folder(commit: Commit, grain: str | None = None) -> str:
+    return f"batch_id={commit.batch}/version={commit.version}" + (f"/grain={grain}" if grain else "")
 
 
-def _day_folder(commit: Commit, days: str, day: str) -> str:
-    """The folder of a day in one of the lists of days of a record."""
+def _day_folders(commit: Commit, days: str, day: str) -> list[str]:
+    """The folders of a day in one of the lists of days of a record."""
     if days == "delta_days":
-        return f"rollup/{_delta_folder(commit)}/bucket_date={day}"
+        return [f"rollup/{_delta_folder(commit, g)}/bucket_date={day}" for g in hierarchy.GRAINS]
     outcome = {"days": "accepted", "rejected_days": "rejected", "empty_days": "empty"}[days]
-    return f"rows/batch_id={commit.batch}/outcome={outcome}/log_date={day}"
+    return [f"rows/batch_id={commit.batch}/outcome={outcome}/log_date={day}"]
 
 
 def _with_deltas(commit: Commit, days: list[str]) -> Commit:

@@ -28,9 +28,9 @@ LOGS_TIES_SQL = LOGS_SQL.replace(
 
 LOGS_ATTR_SQL = """
 SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS timestamp, user_id,
- '{"user_id":"' || CAST(user_id AS VARCHAR(20)) || '","region":"'
- || CASE CAST(event_id % 3 AS INT) WHEN 0 THEN 'eu-west' WHEN 1 THEN 'us-east' ELSE 'ap-south' END
- || '","retries":' || CAST(event_id % 5 AS VARCHAR(20))
+ '{"account":"' || CAST(user_id AS VARCHAR(20)) || '","dock":"'
+ || CASE CAST(event_id % 3 AS INT) WHEN 0 THEN 'harbour' WHEN 1 THEN 'lagoon' ELSE 'estuary' END
+ || '","attempts":' || CAST(event_id % 5 AS VARCHAR(20))
  || ',"canary":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '"true"' END
  || ',"mixed":' || CASE CAST(event_id % 3 AS INT) WHEN 0 THEN '3' WHEN 1 THEN '"3"' ELSE '3.0' END || '}' AS attributes
 FROM events
