@@ -9,7 +9,8 @@ is nearly full, it is rebuilt at twice the size from the stored keys.
 many copies reaches its bucket once per batch, then every bucket inserts what arrives and merges verified hits.
 ``update`` and ``lookup`` keep an index from one load to the next.
 
-Defined results: null text counts as empty. Of equal texts the row with the most code points stays, then the one with
+Defined results: null text counts as empty. Texts are compared by their bytes, so those that are not UTF-8 are as good as others.
+Of equal texts the row with the most code points stays, then the one with
 the smallest doc_id; a null doc_id comes last. Rows that agree in doc_id, text length and normalised text are one document:
 ``duplicates`` marks all of them alike, ``deduplicate`` returns one. Other columns pass through unread.
 """
@@ -20,14 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import blocks, words
+from tidelog.session import shared_dir
 
-KEYED = "doc_id long, digest binary, n_points long"
-PARTIAL = "bucket int, digest binary, members long, n_points long, doc_id long"
-CLASSES = "digest binary, keep_id long, keep_points long, group_size long"
+MEMBERS = ["digest", "members", "n_points", "doc_id", "twins"]
+PARTIAL = "bucket int, digest binary, members long, n_points long, doc_id long, twins long"
+CLASSES = "digest binary, keep_id long, keep_points long, group_size long, twins long"
+BUCKET_ROWS = 250_000
+MOST_BROADCAST = 250_000  # classes of some 100 bytes
+
+Members = tuple[int, int, int, int]  # members, n_points and doc_id of the row that stays, rows equal to it
 INDEX = "bucket int, filter binary, digests binary"
 SLOTS = 4
 MOST_KICKS = 200
@@ -141,89 +147,78 @@ def as_numbers(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 4)
 
 
+def text_digest(text: str) -> Column:
+    """SHA-256 of the bytes of a text without whitespace, the same wherever it is computed.
+
+    The bytes are read as Latin-1, one character each, so a text that is not UTF-8 keeps them all.
+    """
+    characters = F.decode(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), "ISO-8859-1")
+    return F.unhex(F.sha2(F.encode(F.regexp_replace(characters, "[\\x20\\x09-\\x0D]+", ""), "ISO-8859-1"), 256))
+
+
+def code_points(text: str) -> Column:
+    return F.char_length(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("long")
+
+
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, SHA-256 of the text without its whitespace, code points of the text."""
+    return docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), text_digest(text).alias("digest"), code_points(text).alias("n_points")
+    )
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buffer, offsets = words.text_bytes(batch.column("text"))
-            for first, last in words.chunks(offsets):
-                at = offsets[first : last + 1]
-                part, at = buffer[at[0] : at[-1]], at - at[0]
-                points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(first, last - first),
-                        pa.array(words.sha256_of(words.cut(part, at, ~words.SPACES[part])), pa.binary()),
-                        pa.array(np.diff(points[at]), pa.int64()),
-                    ],
-                    ["doc_id", "digest", "n_points"],
-                )
-
-    source = words.ids_and_texts(docs, doc_id, text)
-    return source.mapInArrow(scan, KEYED)
-
-
-def better(points: int, doc_id: int, than: tuple[int, int, int]) -> bool:
+
+def better(points: int, doc_id: int, than: Members) -> bool:
     return (-points, doc_id) < (-than[1], than[2])
 
 
-def merge(found: dict[bytes, tuple[int, int, int]], rows) -> None:
-    """Merge (digest, members, points, doc_id) into members and best row per digest."""
-    for digest, members, points, doc_id in rows:
+def merge(found: dict[bytes, Members], rows) -> None:
+    """Merge (digest, members, points, doc_id, twins) into members, best row and number of rows equal to it, per digest."""
+    for digest, members, points, doc_id, twins in rows:
         known = found.get(digest)
-        if known is None:
-            found[digest] = (members, points, doc_id)
-        elif better(points, doc_id, known):
-            found[digest] = (known[0] + members, points, doc_id)
+        if known is None or better(points, doc_id, known):
+            found[digest] = (members + (known[0] if known else 0), points, doc_id, twins)
         else:
-            found[digest] = (known[0] + members, known[1], known[2])
+            again = twins if (points, doc_id) == known[1:3] else 0
+            found[digest] = (known[0] + members, *known[1:3], known[3] + again)
 
 
 def duplicates(keyed: DataFrame, digest_buckets: int | None = None) -> DataFrame:
-    """Per distinct digest: the row that stays, its code points, and the number of rows."""
-    count = digest_buckets or 4 * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Per distinct digest: the row that stays, its code points, the number of rows, and of rows with its id and code points.
+
+    The buckets grow with the rows, so that the index of one stays as large.
+    """
+    least = 4 * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = digest_buckets or max(least, keyed.count() // BUCKET_ROWS + 1)
 
     def within_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").fill_null(blocks.NO_DOC).to_pylist()
-            own: dict[bytes, tuple[int, int, int]] = {}
+            own: dict[bytes, Members] = {}
             rows = zip(batch.column("digest").to_pylist(), batch.column("n_points").to_pylist(), ids)
-            merge(own, ((d, 1, points, i) for d, points, i in rows))
+            merge(own, ((d, 1, points, i, 1) for d, points, i in rows))
             if own:
-                values = list(own.values())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int.from_bytes(d[:4], "big") % count for d in own], pa.int32()),
-                        pa.array(list(own), pa.binary()),
-                        *(pa.array([v[k] for v in values], pa.int64()) for k in range(3)),
-                    ],
-                    ["bucket", "digest", "members", "n_points", "doc_id"],
-                )
+                columns = [pa.array(column, pa.int64()) for column in zip(*own.values())]
+                buckets = pa.array([int.from_bytes(d[:4], "big") % count for d in own], pa.int32())
+                yield pa.RecordBatch.from_arrays([buckets, pa.array(list(own), pa.binary()), *columns], ["bucket", *MEMBERS])
 
     def in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, best = DigestIndex(), []
         for batch in batches:
-            arrived: dict[bytes, tuple[int, int, int]] = {}
-            merge(arrived, zip(*(batch.column(c).to_pylist() for c in ("digest", "members", "n_points", "doc_id"))))
+            arrived: dict[bytes, Members] = {}
+            merge(arrived, zip(*(batch.column(c).to_pylist() for c in MEMBERS)))
             numbers = index.find(list(arrived))
             new = [d for d, n in zip(arrived, numbers) if n is None]
             index.insert(new)
             best.extend(arrived[d] for d in new)
-            for (members, points, doc_id), n in zip(arrived.values(), numbers):
+            for (digest, row), n in zip(arrived.items(), numbers):
                 if n is not None:
-                    winner = (points, doc_id) if better(points, doc_id, best[n]) else best[n][1:]
-                    best[n] = (best[n][0] + members, *winner)
-        keep = np.array([b[2] for b in best], dtype=np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(list(index.keys), pa.binary()),
-                pa.array(keep, mask=keep == blocks.NO_DOC),
-                pa.array([b[1] for b in best], pa.int64()),
-                pa.array([b[0] for b in best], pa.int64()),
-            ],
-            ["digest", "keep_id", "keep_points", "group_size"],
-        )
+                    both = {digest: best[n]}
+                    merge(both, [(digest, *row)])
+                    best[n] = both[digest]
+        members, points, keep, twins = (np.array([b[k] for b in best], dtype=np.int64) for k in range(4))
+        kept = pa.array(keep, mask=keep == blocks.NO_DOC)
+        columns = [pa.array(list(index.keys), pa.binary()), kept, *map(pa.array, (points, members, twins))]
+        yield pa.RecordBatch.from_arrays(columns, ["digest", "keep_id", "keep_points", "group_size", "twins"])
 
     return keyed.mapInArrow(within_batches, PARTIAL).groupBy("bucket").applyInArrow(in_bucket, CLASSES)
 
@@ -235,21 +230,31 @@ def mark_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return keyed.join(duplicates(keyed), "digest").select("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with the columns of the documents."""
-    marks = mark_duplicates(docs, doc_id, text).where("kept")
-    slot = F.coalesce(F.col("doc_id"), F.lit(blocks.NO_DOC))
-    winners = marks.select(slot.alias("_slot"), F.col("digest").alias("_key")).distinct()
-    bare = F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", "")
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """The rows that stay, with the columns of the documents.
+
+    Only classes of several rows are joined to the documents, which therefore stay where they are as long as the classes can be
+    broadcast; beyond ``most_broadcast`` of them both sides are exchanged by digest. Rows that agree with the winner in all that
+    decides are reduced to one by an aggregation that combines before its exchange.
+    """
+    shared_dir(docs.sparkSession)  # names the checkpoint folder of a local session
+    classes = duplicates(digests(docs, doc_id, text)).where("group_size > 1").withColumnRenamed("digest", "class")
+    classes = classes.checkpoint()
+    several = classes.agg(F.count(F.lit(1)).alias("n"), F.max("twins").alias("twins")).first()
     named = docs.select(
         F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(blocks.NO_DOC)).alias("_slot"),
-        F.unhex(F.sha2(bare, 256)).alias("_key"),
-        F.char_length(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_points"),
+        F.col(doc_id).cast("long").alias("id"),
+        text_digest(text).alias("digest"),
+        code_points(text).alias("n_points"),
     )
-    order = Window.partitionBy("_slot", "_key").orderBy(F.col("_points").desc(), F.xxhash64("row"))
-    kept = named.join(winners, ["_slot", "_key"]).withColumn("_turn", F.row_number().over(order))
-    return kept.where("_turn = 1").select("row.*")
+    side = F.broadcast(classes) if several["n"] <= most_broadcast else classes
+    joined = named.join(side, F.col("digest") == F.col("class"), "left")
+    wins = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
+    alone = joined.where(F.col("class").isNull() | (wins & (F.col("twins") == 1))).select("row.*")
+    if (several["twins"] or 1) == 1:
+        return alone
+    equal = joined.where(wins & (F.col("twins") > 1)).groupBy("digest")
+    return alone.unionByName(equal.agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*"))
 
 
 # An index that lasts: a DataFrame of buckets, to be written wherever the caller keeps it.
