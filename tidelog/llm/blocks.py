@@ -1,6 +1,7 @@
 """Questions from blocks of documents to all documents, and the answers back.
 
-Documents are dealt into blocks of about two megabytes by a hash of doc_id. A block asks about its distinct keys (hashes of
+Documents are dealt into blocks of about two megabytes by a hash of doc_id (of the text, without one: such rows come after all
+others and remove nothing from each other, so they need no common block). A block asks about its distinct keys (hashes of
 windows, grams or words), packed by bucket, that is by range of the hash: one row per block and bucket. The task of a
 bucket sees what all blocks ask about its keys and answers each row; the answers go back to the block, which still has its
 texts through the same exchange. A key that very many documents share arrives once per block, so hot keys
@@ -14,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
@@ -40,15 +41,22 @@ def layout(docs: DataFrame, text: str, keys_per_byte: float) -> Layout:
 
 
 def in_blocks(docs: DataFrame, doc_id: str, text: str, shape: Layout) -> DataFrame:
-    """Columns block, doc_id and text; rows of one doc_id share a block."""
+    """Columns block, doc_id and text; rows of one doc_id share a block, those without one are dealt by their text."""
     key = F.col(doc_id).cast("long")
+    digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
     return docs.select(
-        F.pmod(F.xxhash64(key), F.lit(shape.blocks)).cast("int").alias("block"),
+        block_of(key, F.unhex(digest), shape).alias("block"),
         key.alias("doc_id"),
         F.col(text).cast("string").alias("text"),
     )
 
 
+def block_of(doc_id: Column, digest: Column, shape: Layout) -> Column:
+    """The block of a row, by its doc_id or else by the MD5 digest of its text."""
+    key = F.when(doc_id.isNull(), F.xxhash64(digest)).otherwise(F.xxhash64(doc_id))
+    return F.pmod(key, F.lit(shape.blocks)).cast("int")
+
+
 def in_order(table: pa.Table) -> pa.Table:
     """Rows of a block in one order whatever way they arrived: by doc_id, nulls last, then text."""
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])

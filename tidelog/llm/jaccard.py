@@ -6,6 +6,11 @@ verifies only pairs that pass all of them. Every order puts rare shingles first
 the number of documents) and differs in how it arranges equally rare ones. A shingle that one document holds alone
 joins nothing: a set with at least a prefix of such shingles has no partner, and only shared shingles are listed and compared.
 
+What is known of a set beyond its shingles travels with its postings, so that most pairs end in the list where they meet: the
+place of the shingle in the prefix bounds what can be common from there on; 64 bits for the prefix of each further order tell that two
+prefixes share nothing; and the parities of the shingles in ``PARITIES`` classes tell at least how many shingles only one of two sets
+has. All three only bound, so no linked pair is lost. Sets are joined for what is left.
+
 Equal texts are one node from the start. In a long list, such as that of a large group of near copies, comparing all pairs
 would be quadratic. So first each node is compared with one pivot, the most central of the nodes that share its
 prefixes, and components are formed. Then only pairs of different components are compared, and only those that could be similar
@@ -27,7 +32,8 @@ from pyspark.sql import functions as F
 from tidelog.llm import blocks, words
 from tidelog.session import shared_dir
 
-SETS = "node binary, n long, shared long, tokens array<long>, prefixes array<array<long>>"
+SETS = "node binary, n long, shared long, tokens array<long>, prefixes array<array<long>>, parity array<long>, masks array<long>"
+PARITIES = 256
 MOST = 255
 
 
@@ -81,7 +87,7 @@ def shingle_sets(
     )
     members = docs.select(F.col(doc_id).cast("long").alias("doc_id"), node.alias("node"))
     chosen = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    chosen = chosen.select(F.pmod(F.xxhash64("doc_id"), F.lit(shape.blocks)).cast("int").alias("block"), "node")
+    chosen = chosen.select(blocks.block_of(F.col("doc_id"), F.col("node"), shape).alias("block"), "node")
 
     def read(table: pa.Table, nodes: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         wanted = set(nodes["node"].to_pylist()) if len(nodes) else set()
@@ -110,11 +116,11 @@ def shingle_sets(
         alone = np.bincount(owner[classes == 0], minlength=len(names))
         prefix = total - (-(-percent * total // 100)) + 1 - alone  # listed shingles of each prefix
         open_ = (prefix > 0) & (total > alone)
-        tokens, prefixes = [], []
+        tokens, prefixes, parity, masks = [], [], [], []
         for i in range(len(names)):
             if not open_[i]:
-                tokens.append(None)
-                prefixes.append(None)
+                for column in (tokens, prefixes, parity, masks):
+                    column.append(None)
                 continue
             here = slice(bounds[i], bounds[i + 1])
             shared = classes[here] > 0
@@ -122,6 +128,10 @@ def shingle_sets(
             tokens.append(own.view(np.int64))
             heads = [own[np.lexsort((words.mix(own, 40 + o), rare))[: prefix[i]]] for o in range(orders)]
             prefixes.append([h.view(np.int64) for h in heads])
+            odd = np.bincount((keys[here] % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+            parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            places = [np.unique(h >> np.uint64(58)) for h in heads[1:]]
+            masks.append(np.array([np.bitwise_or.reduce(np.uint64(1) << p) for p in places], np.uint64).view(np.int64))
         return pa.table(
             {
                 "node": pa.array(names, pa.binary()),
@@ -129,6 +139,8 @@ def shingle_sets(
                 "shared": pa.array(total - alone, pa.int64()),
                 "tokens": pa.array(tokens, pa.list_(pa.int64())),
                 "prefixes": pa.array(prefixes, pa.list_(pa.list_(pa.int64()))),
+                "parity": pa.array(parity, pa.list_(pa.int64())),
+                "masks": pa.array(masks, pa.list_(pa.int64())),
             }
         )
 
@@ -221,8 +233,11 @@ def linked(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, ord
 
     # What a node shares with the pivot it was compared with (inside) bounds what two nodes of one pivot share. Where the
     # inside alone is too small, the two must also share a shingle outside the pivot, and are found by those.
+    kept = [F.col("parity")[i].alias(f"parity{i}") for i in range(PARITIES // 64)]
+    kept += [F.col("masks")[i].alias(f"mask{i}") for i in range(orders - 1)]
+    bits = [c for c in (f"parity{i}" for i in range(PARITIES // 64))] + [f"mask{i}" for i in range(orders - 1)]
     placed = (
-        listed.select("node", "n", "shared", F.col("prefixes")[0].alias("prefix"))
+        listed.select("node", "n", "shared", F.col("prefixes")[0].alias("prefix"), *kept)
         .join(labels, "node", "left")
         .join(star.select(F.col("a").alias("node"), "b", "common", "outside"), "node", "left")
         .select(
@@ -230,13 +245,18 @@ def linked(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, ord
             "n",
             "shared",
             "prefix",
+            *bits,
             F.coalesce("label", "node").alias("label"),
             F.coalesce("b", "node").alias("pivot"),
             F.coalesce("common", "shared").alias("inside"),
             "outside",
         )
     ).checkpoint()
-    columns = ("node", "n", "shared", "label", "pivot", "inside")
+    columns = ("node", "n", "shared", "label", "pivot", "inside", *bits)
+    apart = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in bits if b[0] == "p"), F.lit(0))
+    alike = fits((F.col("n_a") + F.col("n_b") - apart) / 2, "n_a", "n_b", percent)
+    for b in bits[PARITIES // 64 :]:
+        alike = alike & (F.col(f"{b}_a").bitwiseAND(F.col(f"{b}_b")) != 0)
 
     def meeting(rows: DataFrame, keys: list[str], possible: Column) -> DataFrame:
         """Pairs of nodes of different components that meet in a list and could be linked."""
@@ -250,17 +270,19 @@ def linked(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, ord
 
         near = several(rows).where(fits("shared", "n", "least", percent)).drop("least")
         near = several(near).drop("least").checkpoint()
-        names = [c for c in columns if c not in keys]
+        names = [c for c in rows.columns if c not in keys]
         left, right = (near.select(*keys, *(F.col(c).alias(f"{c}_{x}") for c in names)) for x in "ab")
         return (
             left.join(right, keys)
-            .where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & possible)
+            .where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & alike & possible)
             .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         )
 
-    by_prefix = placed.select(*columns, F.explode("prefix").alias("token"))
+    by_prefix = placed.select(*columns, F.posexplode("prefix").alias("at", "token"))
     inside = F.least("inside_a", "inside_b")
-    most = F.when(F.col("pivot_a") == F.col("pivot_b"), inside).otherwise(F.least("shared_a", "shared_b"))
+    # at the first shingle that two prefixes share, nothing before it is common
+    onwards = F.least(F.col("shared_a") - F.col("at_a"), F.col("shared_b") - F.col("at_b"))
+    most = F.when(F.col("pivot_a") == F.col("pivot_b"), F.least(inside, onwards)).otherwise(onwards)
     done = (F.col("pivot_a") == F.col("node_b")) | (F.col("pivot_b") == F.col("node_a"))  # compared already
     met = meeting(by_prefix, ["token"], ~done & fits(most, "n_a", "n_b", percent))
     by_outside = placed.select(*columns, F.explode("outside").alias("token"))
