@@ -1,9 +1,12 @@
-"""License scans: an index of each template's rarest words, or winnowed fingerprints, then banded alignment of the candidates.
+"""License scans: an inverted index of winnowed fingerprints of the templates, then banded alignment of the candidates.
 
-A match may miss ``e`` words of a template, so of any ``e + 1`` of its words it has one. The rarest ``e + 1`` (by number of
-templates, then the longer) form an inverted index (word, template, place), and a word of a document that is in it gives a
-candidate: the template laid over the document at the place where the two agree. Of a template so long, or a coverage so
-high, that every match has a run of ``gram + span - 1`` words, fingerprints are indexed instead: such runs always agree in one.
+Templates and documents are winnowed alike (grams of ``gram`` words, the least hash of ``span`` neighbours), so a common run of
+``gram + span - 1`` words agrees in a fingerprint. An entry of the index is (fingerprint, template, place), and one that occurs in a
+document gives a candidate: the template laid over the document at the place where the two agree. Where no words are
+inserted, n words of which e are missing share a run of at least (n - e) / (e + 1). For templates so short, or
+matches with so many gaps, that no such run is sure, candidates come from rare words as well: of any ``e + 1`` words of the
+template a match has one, so the rarest ``e + 1`` (by number of templates, then the longer) are indexed besides. ``by`` tells how a match
+was found: ``fingerprint``, or ``word`` where no fingerprint led to it.
 Candidates near which too few words of the template lie are dropped. Around each of the others the template is
 aligned word by word, at every offset up to ``band`` from it and with up to ``band`` inserted or missing words on either
 side; a match is an alignment that covers at least ``coverage`` of the template's words.
@@ -26,7 +29,7 @@ from tidelog.llm.decontaminate import fingerprints, pairs
 from tidelog.llm.toxicity import lookup
 
 LIMIT_BYTES = 8 << 20
-RESULT = "doc_id long, matches array<struct<license: string, coverage: double, matched: int, start: int, end: int>>"
+RESULT = "doc_id long, matches array<struct<license: string, coverage: double, matched: int, start: int, end: int, by: string>>"
 MATCH = pa.struct(
     [
         ("license", pa.string()),
@@ -34,6 +37,7 @@ MATCH = pa.struct(
         ("matched", pa.int32()),
         ("start", pa.int32()),
         ("end", pa.int32()),
+        ("by", pa.string()),
     ]
 )
 
@@ -173,8 +177,6 @@ def scan_licenses(
     # a gap between two runs of a match misses words or inserts some; what is inserted and not missed leaves the band in the end
     winnowed = need > (gram + span - 2) * (2 * missing + 2 * band + 1)
     vocabulary, at, prints_at, prints = indexed(known, np.where(winnowed, 0, missing + 1), gram, gram + span - 1)
-    kept = winnowed[known.texts()[prints_at]]
-    prints_at, prints = prints_at[kept], prints[kept]
     lists = []
     for keys, where in ((np.searchsorted(vocabulary, known.hashes[at]), at), (prints, prints_at)):
         order = np.argsort(keys, kind="stable")
@@ -200,10 +202,12 @@ def scan_licenses(
             at = at[some][i]
             laid.append((owner[j], np.searchsorted(found.first, at, side="right") - 1, at - place[j]))
         template, document, start = (np.concatenate(x) for x in zip(*laid))
+        printed = np.repeat([i == 1 for i in range(len(laid))], [len(x[0]) for x in laid])
         for t in np.unique(template):
             own = hashes[first[t] : first[t + 1]]
             mine = template == t
             where, begins = unique_pairs(document[mine], start[mine])
+            by_print = set(zip(document[mine & printed].tolist(), start[mine & printed].tolist()))
             member = np.zeros(len(vocabulary) + 1, dtype=bool)
             member[np.searchsorted(vocabulary, own)] = True
             near = enough(terms, member, found.first, where, begins, len(own), 2 * band, need[t])
@@ -223,7 +227,18 @@ def scan_licenses(
                 b, e = int(b) - base, int(e) - base
                 if any(x["license"] == names[t] and b < x["end"] and x["start"] < e for x in out[d]):
                     continue
-                out[d].append({"license": names[t], "coverage": int(m) / size, "matched": int(m), "start": b, "end": e})
+                # a start of the alignment lies at most ``band`` from that of the candidate, and its first word as far again
+                led = any((d, base + b + o) in by_print for o in range(-2 * band - size + int(m), 2 * band + 1))
+                out[d].append(
+                    {
+                        "license": names[t],
+                        "coverage": int(m) / size,
+                        "matched": int(m),
+                        "start": b,
+                        "end": e,
+                        "by": "fingerprint" if led else "word",
+                    }
+                )
         return out
 
     def scan(batches):
