@@ -12,6 +12,7 @@ from tidelog.sources import id_space
 from tidelog.sources import sample_tables as tables
 from tidelog.sources.envelopes import stream_envelopes
 from tidelog.sources.log_table import LogTable
+from tidelog.streaming import progress
 from tidelog.streaming.ingest_stream import start_ingest
 
 NOW = at("2024-01-30 12:00:00")
@@ -317,6 +318,27 @@ def stream_two_sources(spark, sf_dir):
     return _log_columns(LogTable(spark, f"{base}/table").rows())
 
 
+@query("stream_progress_rate", _STORED_ENVELOPES + "SELECT count(*) AS rows, true AS within, true AS measured FROM judged WHERE reason IS NULL")
+def stream_progress_rate(spark, sf_dir):
+    """A stream whose limit follows its own measured progress: all rows come in, no batch exceeds the limit it ran under, and the
+    reported rates have the form of those of a run."""
+    base = fresh_path(spark, "paced", sf_dir)
+    _write_bodies(tables.envelopes(spark, sf_dir), f"{base}/in")
+    largest = spark.read.text(f"{base}/in").groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    paced = progress.ingest_paced(
+        spark,
+        lambda files: stream_envelopes(spark, f"{base}/in", whole_files=False, max_files=files),
+        f"{base}/table",
+        f"{base}/checkpoint",
+        seconds=8.0,
+        clock=lambda: NOW,
+    )
+    batches = progress.batch_rates(spark, paced)
+    told = batches.agg(F.min(F.col("rows") <= F.col("files") * largest).alias("within"), F.min(F.col("rate") > 0).alias("measured"))
+    stored = LogTable(spark, f"{base}/table").rows().agg(F.count(F.lit(1)).alias("rows"))
+    return stored.select("rows", *[F.lit(x).alias(c) for c, x in told.first().asDict().items()])
+
+
 @query(
     "stream_rollup_late",
     _STORED_ENVELOPES
