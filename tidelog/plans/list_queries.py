@@ -344,7 +344,7 @@ def walk_under_ingest(spark, sf_dir):
     late = _WALKED.apply(logs)
     place, pages = None, []
     while place is not None or not pages:
-        page = table.walk(_WALKED, 1000, place)
+        page = table.walk(_WALKED, 200, place)
         pages.append(spark.createDataFrame([(e["id"],) for e in page.logs], "id string"))
         place = page.next_cursor
         if len(pages) <= 3:
