@@ -81,10 +81,32 @@ def test_toxicity_of_held_out_documents(spark):
     bad = [r["predicted"] for r in found if r["toxic"]]
     good = [r["predicted"] for r in found if not r["toxic"]]
     assert len(bad) >= 100
-    assert sum(bad) >= 0.8 * len(bad) and sum(good) <= 0.01 * len(good)
+    assert sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.01 * len(good)
     assert all(r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in found)
 
 
+def test_toxicity_marks_vote():
+    """A mark moves the posterior as far as marks agree with the voters; useless marks move nothing."""
+    chosen = np.random.default_rng(3)
+    truth = chosen.random(4000) < 0.1
+    belief = np.where(truth, 0.9, 0.02)
+    belief[:200] = 0.1  # the voters know little of these
+    marks = (truth ^ (chosen.random(4000) < 0.02)).astype(float)
+    after = toxicity.with_marks(belief, marks)
+    assert ((after[:200] > 0.3) == truth[:200]).mean() > 0.95 and ((after > 0.3) == truth).mean() > 0.97
+    assert np.abs(toxicity.with_marks(belief, chosen.permutation(marks)) - belief).max() < 0.1
+    assert np.isfinite(toxicity.with_marks(np.array([0.0, 1.0]), np.array([1, 0]))).all()
+
+
+def test_toxicity_learns_one_text_of_each_id(spark):
+    """Rows that share a labelled doc_id count as one."""
+    rows = [(1, f"vile{i} text") for i in range(300)] + [(i, f"plain text {i}") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 40)], "doc_id long, toxic int")
+    assert len(toxicity.fit(docs, labels).mined.keys) == 0  # one toxic text is no evidence for a word
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == len(rows)
+
+
 def test_toxicity_edge_cases(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, None), (None, 1), (27, 1), (12, 0)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)

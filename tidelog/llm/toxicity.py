@@ -5,15 +5,16 @@
    document or abstains.
 2. Label model. The documents are counted by the pattern of voters that fire. From these counts alone expectation-maximisation
    estimates how often each voter fires on toxic and on other texts. What remains correlated between two voters
-   given the label is estimated next, and a voter's evidence is shared among those it is correlated with.
+   given the label is estimated next, and a voter's evidence is shared among those it is correlated with. A given mark is
+   one more voter, which abstains on all texts without one; its rates are estimated likewise, from the texts that have it.
 3. Classifier. A logistic regression over the mined features and the voters, trained on the posterior labels.
 
-Labels serve twice: for mining and for the share of toxic texts. Both use at most about ``sample`` labelled
-rows, chosen by a hash of doc_id; the label model counts every document. The driver sees one row per voting pattern, at most
+Labels serve three times: for mining, for the share of toxic texts, and as the voter of marks. All use at most about ``sample``
+labelled rows, chosen by a hash of doc_id, one text of each; the label model counts every document. The driver sees one row per voting pattern, at most
 ``features`` mined features, and the hits of the sampled rows.
 
 Defined results: null and empty texts have no hits and get the score of a text without any. Labels with a null doc_id or a
-null mark are passed over; of several labels of one doc_id the highest counts. Without toxic labels only the fixed voters
+null mark are passed over; of several labels of one doc_id the highest counts, of several texts the smallest. Without toxic labels only the fixed voters
 work. Rows are scored independently, so repeated ones get equal scores. Other columns are not read.
 """
 
@@ -30,6 +31,7 @@ from tidelog.llm import words
 
 SAMPLE = 12_000
 FEATURES = 2_000
+HASHES = 1 << 48  # fine enough for any number of labels
 NOT_LETTER = words.byte_set((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 HEADS = (4, 5, 6, 7, 8)  # bytes of a word's beginning
 LEXICONS = (
@@ -250,6 +252,17 @@ def posterior(votes: np.ndarray, model: LabelModel) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
+def with_marks(belief: np.ndarray, marks: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """The posterior once the marks vote too, at the rates that agree with it."""
+    odds = np.log(np.clip(belief, 1e-12, 1 - 1e-12)) - np.log(np.clip(1 - belief, 1e-12, 1 - 1e-12))
+    for _ in range(rounds):
+        rate_bad = (belief @ marks + 0.5) / (belief.sum() + 1)
+        rate_good = ((1 - belief) @ marks + 0.5) / ((1 - belief).sum() + 1)
+        evidence = np.where(marks > 0, np.log(rate_bad / rate_good), np.log((1 - rate_bad) / (1 - rate_good)))
+        belief = 1 / (1 + np.exp(-np.clip(odds + evidence, -30, 30)))
+    return belief
+
+
 def regression(hits: Hits, count: int, labels: np.ndarray, ridge: float = 0.5, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression on features and voters, by gradient steps scaled per weight."""
     rows = np.concatenate([hits.rows, np.nonzero(hits.votes)[0]])
@@ -286,9 +299,14 @@ def fit(
     )
     known = marks.count()
     share = min(1.0, sample / max(known, 1))
-    chosen = marks.where(F.pmod(F.xxhash64(F.lit(6), "_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = marks.where(F.pmod(F.xxhash64(F.lit(6), "_id"), F.lit(HASHES)) < int(share * HASHES))
     texts = words.ids_and_texts(docs, doc_id, text).withColumnRenamed("doc_id", "_id")
-    sampled = texts.join(F.broadcast(chosen), "_id").select("text", "toxic")  # about ``sample`` rows of two numbers
+    sampled = (
+        texts.join(F.broadcast(chosen), "_id")  # about ``sample`` rows of two numbers
+        .groupBy("_id")
+        .agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+        .select("text", "toxic")
+    )
     mined = mine(one_of_each(sampled), features)
     sent = context.broadcast(tuple(mined))
     powers = 1 << np.arange(VOTERS, dtype=np.int64)
@@ -314,11 +332,15 @@ def fit(
     counts = (
         texts.select("text").mapInArrow(vote, "pattern long, times long").groupBy("pattern").agg(F.sum("times").alias("times"))
     ).toArrow()
-    observed = sampled.mapInArrow(observe, "pattern long, features array<int>, toxic int").orderBy("pattern", "features").toArrow()
+    observed = sampled.mapInArrow(observe, "pattern long, features array<int>, toxic int").toArrow()
     bits = lambda column: (column.to_numpy()[:, None] >> np.arange(VOTERS)) & 1 == 1
     if not counts.num_rows:
         return ToxicityModel(mined, np.zeros(len(mined.voters) + VOTERS), -3.0)
     order = np.argsort(counts["pattern"].to_numpy())
+    seen = sorted(zip(*(observed[name].to_pylist() for name in ("pattern", "features", "toxic"))))  # reruns sum alike
+    observed = pa.Table.from_pylist(
+        [dict(zip(("pattern", "features", "toxic"), row)) for row in seen], observed.schema
+    )
     toxic = observed["toxic"].to_numpy()
     prior = float(toxic.mean()) if len(toxic) else 0.05
     model = label_model(bits(counts["pattern"])[order], counts["times"].to_numpy()[order], prior)
@@ -329,7 +351,7 @@ def fit(
     lists = observed["features"].combine_chunks()
     rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
     hits = Hits(votes, rows, lists.flatten().to_numpy().astype(np.int64))
-    return ToxicityModel(mined, *regression(hits, len(mined.voters), posterior(votes, model)))
+    return ToxicityModel(mined, *regression(hits, len(mined.voters), with_marks(posterior(votes, model), toxic)))
 
 
 def received(sent: tuple) -> ToxicityModel:
