@@ -142,6 +142,52 @@ def test_mixture_by_preference(spark):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 20
 
 
+def test_mixture_prefers_longer_texts(spark):
+    """Chances grow with the size, none exceeds the cap, and the words lost to the cap go to the other documents."""
+    docs = spark.createDataFrame(
+        [(i, "w " * (1 if i % 2 else 1 + i % 300), "ab"[i % 5 == 0]) for i in range(6000)], "doc_id long, text string, source string"
+    )
+    rows = mixing.mix(docs, weights=(1, 1), preference=mixing.longer_first).collect()
+    mean = lambda x: sum(r["copies"] for r in x) / max(1, len(x))
+    for source in "ab":
+        own = [r for r in rows if r["source"] == source]
+        classes = [[r for r in own if r["size"].bit_length() == n] for n in (1, 5, 7, 9)]
+        means = [mean(c) for c in classes]
+        assert means == sorted(means) and means[-1] > means[0]
+        assert max(r["copies"] for r in own) <= 3
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 10
+        exact = [2 ** ((n - 1) / 4) for n in (1, 5, 7, 9)]
+        if means[-1] < 2.9:  # nothing capped: expected copies stand in the ratio of the preferences
+            assert all(abs(m / means[-1] - e / exact[-1]) < 0.12 for m, e in zip(means, exact))
+
+
+def test_mixture_refuses_unwanted(spark):
+    wishes = [None, 0.0, -1.0, float("nan"), float("inf"), 1e-9, 5.0]
+    docs = spark.createDataFrame(
+        [(i, "w " * 10, "s", wishes[i % 7]) for i in range(700)], "doc_id long, text string, source string, liked double"
+    )
+    rows = mixing.mix(docs, preference="liked").collect()
+    assert len(rows) == 700 and all(r["copies"] == 0 for r in rows if r["doc_id"] % 7 < 4)
+    assert abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= 10 and max(r["copies"] for r in rows) == 3
+
+
+def test_mixture_of_a_crowd(spark):
+    """One doc_id on most rows, one source with nearly all: no row is lost, and salted joins say the same as broadcast ones."""
+    rows = [(5 if i % 3 else i, "w " * (1 + i % 23), "s" if i % 50 else f"r{i % 7}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7).cache()
+    found = mixing.mix(docs, weights=(1, 2, 3)).collect()
+    assert len(found) == len(rows)
+    for source in {r["source"] for r in found}:
+        own = [r for r in found if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 12
+    before, mixing.SMALL_ROWS = mixing.SMALL_ROWS, 0
+    try:
+        again = mixing.mix(docs, weights=(1, 2, 3)).collect()
+    finally:
+        mixing.SMALL_ROWS = before
+    assert sorted(map(tuple, found)) == sorted(map(tuple, again))
+
+
 def test_mixture_edge_cases(spark, odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(odd_rows.rows())

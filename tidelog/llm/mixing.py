@@ -1,22 +1,31 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
 
 Sources share the words of the corpus by weight; no source gets more than ``most`` times its own words, and what a capped
-source leaves is shared again among the others. Within a source each document is expected target / source words times
-(scaled by ``preference``, if given). The whole part of that number is taken for certain. For the rest p of it documents are
+source leaves is shared again among the others. Within a source a document is expected in proportion to its preference, at
+most ``most`` times, so that the expected words of the source add up to its target. The preference is a column, or a function
+of the size such as ``longer_first``; without one all are alike. It is rounded to sixteenths between 1/16 and 256; where it
+is null, NaN or not above 0 the document is never taken.
+
+The whole part of the expected number is taken for certain. For the rest p of it, the inclusion chance, documents are
 ranked by their random odds u / (1 - u) divided by their inclusion odds p / (1 - p), and taken in this order
 while the words still fit what is left of the target; one closing document, the one that fits the remaining gap best,
 completes the sample. So the sample has a fixed size in words, up to half of the closest document.
 
-Running sums over a source would need its rows in one task. They are taken over at most ``bins`` sums per source
-instead, and over single rows only within the one bin in which the target falls.
+Running sums over a source would need its rows in one task. They are taken over bins of the rank instead, then over finer
+bins within the bin in which the target falls, and so on to single rows (``refine``). Tables of one row per source are
+broadcast after a count of rows and bytes; beyond it rows join them with a salt. Sources are ranked and their totals summed in
+one task, which sees one short row per source.
 
 Defined results: null text and texts without words have size 0; they take no part in the sampling and nothing of them is taken.
 Null source is a source of its own, the last one. The random number depends on ``seed`` and doc_id, so reruns agree;
-rows of one doc_id have equal odds and are told apart by their place in the input. Other columns are not read.
+rows of one doc_id have equal odds for equal chances and are told apart by a hash of their place in the input. Other columns
+are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +33,13 @@ from tidelog.session import shared_dir
 
 WEIGHTS = (5, 2, 1)
 BINS = 4096
+UNIT = 16  # preferences are whole sixteenths
+MOST_LIKED = 256.0
+SMALL_ROWS, SMALL_BYTES = 200_000, 16 << 20  # of a table that is broadcast
+SALTS = 64
+
+# Order of the rows of a source in steps: each step sums up the groups within the group that the step before has found.
+STEPS = (("bin",), ("fine",), ("rank", "doc_id", "part"), ("tie", "row"))
 
 
 def word_count(text: str) -> Column:
@@ -74,10 +90,73 @@ def targets(sources: DataFrame, most: float) -> DataFrame:
     )
 
 
-def with_source(rows: DataFrame, by_source: DataFrame) -> DataFrame:
-    """Join columns of the sources to the rows; the null source is one as well."""
-    named = by_source.withColumnRenamed("source", "_source")
-    return rows.join(named, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+def longer_first(size: Column) -> Column:
+    """A preference for longer documents: the fourth root of the size, cut to a power of two."""
+    return F.pow(F.lit(2.0), (F.length(F.bin(size)) - 1) / F.lit(4.0))
+
+
+def is_small(table: DataFrame) -> bool:
+    """May a table with one row per source, or a few, be sent to every executor?"""
+    row = table.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("source")).alias("bytes")).first()
+    return row["rows"] <= SMALL_ROWS and (row["bytes"] or 0) <= SMALL_BYTES
+
+
+def attach(rows: DataFrame, table: DataFrame, small: bool | None, *keys: str) -> DataFrame:
+    """Add the columns of a table keyed by source (null is one as well) and further keys.
+
+    A table that is not ``small`` is joined with a salt, or without where the rows are one per source as well (None).
+    """
+    keys = ("source", *keys)
+    named = table.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    if small:
+        return rows.join(F.broadcast(named), same, "left").drop(*[f"_{k}" for k in keys])
+    if small is None:
+        return rows.join(named, same, "left").drop(*[f"_{k}" for k in keys])
+    spread = rows.withColumn("salt", F.pmod("row", F.lit(SALTS)))  # a hot source meets SALTS copies of its row
+    copied = named.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = spread.join(copied, [*same, F.col("salt") == F.col("_salt")], "left")
+    return joined.drop("salt", "_salt", *[f"_{k}" for k in keys])
+
+
+def expectations(levels: DataFrame, most: float) -> DataFrame:
+    """Expected copies of the documents of each source and preference (columns words, target).
+
+    As for sources: the more preferred levels are capped first, and the first level below the cap fixes the rate of the rest.
+    A source has at most 4096 levels.
+    """
+    liked_first = Window.partitionBy("source").orderBy(F.col("liking").desc())
+    before = liked_first.rowsBetween(Window.unboundedPreceding, -1)
+    after = liked_first.rowsBetween(0, Window.unboundedFollowing)
+    left = F.col("target") - most * F.coalesce(F.sum("words").over(before), F.lit(0))
+    rated = levels.withColumn("rate", left / F.sum(F.col("words") * F.col("liking")).over(after)).withColumn(
+        "free", F.col("rate") * F.col("liking") <= most * (1 - 1e-9)
+    )
+    first_free = F.max(F.when(F.col("free"), F.struct("liking", "rate"))).over(Window.partitionBy("source"))
+    return rated.withColumn("first_free", first_free).select(
+        "source",
+        "liking",
+        F.when(F.col("liking") <= F.col("first_free.liking"), F.col("first_free.rate") * F.col("liking"))
+        .otherwise(float(most))
+        .alias("expected"),
+    )
+
+
+def refine(rows: DataFrame, step: tuple[str, ...]) -> DataFrame:
+    """Per source: the first group (columns of the step) at which the running sum of sizes exceeds ``left``, and the sum before.
+
+    ``rows`` carry ``left`` and ``before``, the sum of all that precedes them. Sizes are added up per group first.
+    """
+    sums = rows.groupBy("source", *step).agg(
+        F.sum("size").alias("words"), F.first("left").alias("left"), F.first("before").alias("before")
+    )
+    running = Window.partitionBy("source").orderBy(*step).rowsBetween(Window.unboundedPreceding, 0)
+    upto = sums.withColumn("upto", F.col("before") + F.sum("words").over(running))
+    over = F.col("upto") > F.col("left")
+    return upto.groupBy("source").agg(
+        F.min(F.when(over, F.struct(*step))).alias("last"),
+        F.coalesce(F.max(F.when(~over, F.col("upto"))), F.first("before")).alias("before"),
+    )
 
 
 def mix(
@@ -88,28 +167,40 @@ def mix(
     weights: tuple[float, ...] = WEIGHTS,
     most: int = 3,
     seed: int = 20,
-    preference: str | None = None,
+    preference: str | Callable[[Column], Column] | None = None,
     bins: int = BINS,
 ) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target of its source, copies in the mix, words taken."""
     shared_dir(docs.sparkSession)  # names the checkpoint folder of a local session
-    sized = docs.select(
+    counted = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         word_count(text).alias("size"),
         uniform(doc_id, seed).alias("u"),
-        (F.col(preference) if preference else F.lit(1.0)).cast("double").alias("preference"),
+        (F.col(preference) if isinstance(preference, str) else F.lit(1.0)).cast("double").alias("wish"),
         F.monotonically_increasing_id().alias("row"),
+    )
+    wish = preference(F.col("size")).cast("double") if callable(preference) else F.col("wish")
+    liking = F.greatest(F.round(F.least(wish, F.lit(MOST_LIKED)) * UNIT).cast("long"), F.lit(1).cast("long"))
+    sized = counted.select(
+        "doc_id",
+        "source",
+        "size",
+        "u",
+        "row",
+        F.when((F.col("size") > 0) & (wish > 0) & ~F.isnan(wish), liking).otherwise(0).alias("liking"),
     ).checkpoint()  # the texts are read once, and a row keeps its number
-    liked = sized.groupBy("source").agg(
-        F.try_divide(F.sum(F.col("size") * F.col("preference")), F.sum("size")).alias("mean_preference")
+    sources = targets(weighted_sources(sized, weights), most).checkpoint()
+    few_sources = is_small(sources)
+    words = sized.where("liking > 0").groupBy("source", "liking").agg(F.sum("size").alias("words"))
+    levels = words.withColumnRenamed("source", "_source").join(
+        sources.select("source", "target"), F.col("_source").eqNullSafe(F.col("source"))
     )
-    sources = with_source(targets(weighted_sources(sized, weights), most), liked)
-    liking = F.try_divide("preference", "mean_preference")
-    expected = F.least(F.try_divide("target", "source_size") * liking, F.lit(float(most)))
+    wanted = expectations(levels.drop("_source"), most).checkpoint()
+    expected = attach(attach(sized, sources, few_sources), wanted, is_small(wanted), "liking")
+    relative = F.col("rank") / (1 + F.col("rank"))
     planned = (
-        with_source(sized, sources)
-        .withColumn("expected", F.when(F.col("size") > 0, F.coalesce(expected, F.lit(0.0))).otherwise(0.0))
+        expected.withColumn("expected", F.coalesce("expected", F.lit(0.0)))
         .withColumn("certain", F.floor("expected"))
         .withColumn("chance", F.col("expected") - F.col("certain"))
         .withColumn("eligible", (F.col("chance") > 0) & (F.col("certain") + 1 <= most))
@@ -120,51 +211,46 @@ def mix(
                 (F.col("u") / (1 - F.col("u"))) / (F.col("chance") / (1 - F.col("chance"))),
             ),
         )
-        .withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * bins))
+        .withColumn("bin", F.floor(relative * bins))
+        .withColumn("fine", F.floor(relative * bins * bins))
+        .withColumn("tie", F.xxhash64("row"))
+        .withColumn("part", F.shiftright("tie", 52))
     )
-    # what is left of the target, and the bin in which the running sum of the ranked sizes passes it
-    left = planned.groupBy("source").agg(
-        (F.max("target") - F.sum(F.col("certain") * F.col("size"))).alias("left"),
-    )
-    sums = planned.where("eligible").groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    running = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    passed = with_source(sums.withColumn("upto", F.sum("words").over(running)), left)
-    limits = passed.groupBy("source").agg(
-        F.max("left").alias("left"),
-        F.coalesce(F.min(F.when(F.col("upto") > F.col("left"), F.col("bin"))), F.lit(bins + 1)).alias("last_bin"),
-        F.coalesce(F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))), F.lit(0)).alias("before"),
-    )
-    ranked = with_source(planned, limits)
-    in_order = Window.partitionBy("source").orderBy("rank", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    edge = (
-        ranked.where(F.col("eligible") & (F.col("bin") == F.col("last_bin")))
-        .withColumn("upto", F.col("before") + F.sum("size").over(in_order))
-        .where(F.col("upto") <= F.col("left"))
-        .groupBy("source")
-        .agg(F.max("upto").alias("edge_words"), F.max(F.struct("rank", "doc_id", "row")).alias("edge"))
-    )
-    here = F.struct("rank", "doc_id", "row")
-    sampled = (
-        with_source(ranked, edge)
-        .withColumn(
-            "sampled",
-            F.col("eligible")
-            & (
-                (F.col("bin") < F.col("last_bin"))
-                | F.coalesce((F.col("bin") == F.col("last_bin")) & (here <= F.col("edge")), F.lit(False))
-            ),
-        )
-        .withColumn("gap", F.col("left") - F.coalesce("edge_words", "before"))
+    # what is left of the target, and where the running sum of the ranked sizes passes it
+    gap = (
+        planned.groupBy("source")
+        .agg((F.max("target") - F.sum(F.col("certain") * F.col("size"))).alias("left"))
+        .withColumn("before", F.lit(0).cast("long"))
+        .checkpoint()
     )
+    narrow = planned.where("eligible").select("source", "size", *[c for step in STEPS for c in step])
+    fits = attach(narrow, gap, few_sources)
+    found = []
+    for step in STEPS:
+        limit = refine(fits, step).checkpoint()
+        found.append(limit)
+        group = attach(fits.drop("before"), limit, few_sources)
+        fits = group.where(F.struct(*step) == F.col("last")).drop("last")
+    edges = gap.drop("before")
+    for i, limit in enumerate(found):
+        edges = attach(edges, limit.withColumnsRenamed({"last": f"last_{i}", "before": f"before_{i}"}), None)
+    done = F.coalesce(f"before_{len(STEPS) - 1}", "before_0", F.lit(0))
+    edges = edges.select("source", *[f"last_{i}" for i in range(len(STEPS))], (F.col("left") - done).alias("gap")).checkpoint()
+    order = [c for step in STEPS for c in step]
+    edge = F.struct(*[F.col(f"last_{i}.{c}").alias(c) for i, step in enumerate(STEPS) for c in step])
+    below = F.col("last_0").isNull() | (F.struct(*order) < edge)
+    sampled = attach(planned, edges, few_sources).withColumn("sampled", F.col("eligible") & below)
     closing = (
         sampled.where(F.col("eligible") & ~F.col("sampled") & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
         .groupBy("source")
         .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank", "doc_id", "row")).alias("closing"))
+        .select("source", F.col("closing.row").alias("closing_row"))
+        .checkpoint()
     )
-    chosen = F.col("sampled") | F.coalesce(F.col("row") == F.col("closing.row"), F.lit(False))
+    chosen = F.col("sampled") | F.coalesce(F.col("row") == F.col("closing_row"), F.lit(False))
     copies = F.col("certain") + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
     return (
-        with_source(sampled, closing)
+        attach(sampled, closing, few_sources)
         .withColumn("copies", copies.cast("long"))
         .select(
             "doc_id",

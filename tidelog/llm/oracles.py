@@ -129,10 +129,24 @@ WITH sized AS (
   SELECT r.source, source_size,
          CAST(CASE WHEN f.place IS NULL OR r.place < f.place THEN 3 * source_size ELSE f.rate * weight END AS DOUBLE) AS target
   FROM rated r, free f
+), liked AS (
+  SELECT *, CASE WHEN size > 0 THEN CAST(least(round(16 * pow(2, (length(bin(size)) - 1) / 4.0)), 4096) AS BIGINT) ELSE 0 END AS liking
+  FROM sized
+), levels AS (
+  SELECT l.source, l.liking, CAST(sum(l.size) AS BIGINT) AS words, any_value(a.target) AS target
+  FROM liked l JOIN aims a ON l.source IS NOT DISTINCT FROM a.source WHERE l.liking > 0 GROUP BY l.source, l.liking
+), level_rates AS (
+  SELECT *, (target - 3 * coalesce(sum(words) OVER (down ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / CAST(sum(words * liking) OVER (down ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS rate
+  FROM levels WINDOW down AS (PARTITION BY source ORDER BY liking DESC)
+), first_free AS (
+  SELECT source, max(liking) AS liking, max_by(rate, liking) AS rate
+  FROM level_rates WHERE rate * liking <= 3 * (1 - 1e-9) GROUP BY source
 ), planned AS (
   SELECT s.doc_id, s.source, s.size, s.u, a.source_size, a.target,
-         CASE WHEN s.size > 0 THEN least(a.target / a.source_size, 3.0) ELSE 0.0 END AS expected
-  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source
+         CASE WHEN s.liking = 0 THEN 0.0 WHEN s.liking <= f.liking THEN f.rate * s.liking ELSE 3.0 END AS expected
+  FROM liked s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source
+  LEFT JOIN first_free f ON s.source IS NOT DISTINCT FROM f.source
 ), ranked AS (
   SELECT *, floor(expected) AS certain, expected - floor(expected) AS chance,
          expected - floor(expected) > 0 AND floor(expected) + 1 <= 3 AS eligible,

@@ -108,7 +108,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracles.MIXTURE)
 def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), preference=mixing.longer_first)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query()
