@@ -39,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mixture: size, target of the source, copies, words taken."""
-    return mixing.mix(docs).where(F.col("copies") > 0)
+    return mixing.mix(docs, preference=mixing.longer_first).where(F.col("copies") > 0)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
