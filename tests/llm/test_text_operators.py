@@ -236,3 +236,34 @@ def test_index_over_loads(spark):
     wanted = spark.createDataFrame([(k,) for k in keys + keys[:5]], "digest binary")
     found = {bytes(r[0]): r[1] for r in exact_dedup.lookup(index, wanted, 4).collect()}
     assert found == {k: i >= 50 for i, k in enumerate(keys)}
+
+
+def test_equal_snippets_collapse(monkeypatch):
+    """Equal snippets enter once, whatever the hash says, and masks stay those of all pairs of strings."""
+    random = np.random.default_rng(4)
+    for trial in range(30):
+        base = [bytes(random.integers(97, 99, random.integers(12, 20)).astype(np.uint8)) for _ in range(6)]
+        snippets = [base[i] for i in random.integers(0, 6, 40)]
+        keys, least = random.integers(0, 3, 6).astype(np.uint32), random.integers(0, 30, 40)
+        keys = np.array([keys[base.index(s)] for s in snippets], np.uint32)
+        sizes, text = np.array([len(s) for s in snippets], np.uint8), np.frombuffer(b"".join(snippets), np.uint8)
+        if trial % 2:  # every hash hits by chance
+            monkeypatch.setattr(words, "run_hashes", lambda values, starts, ends: np.zeros(len(starts), np.uint64))
+        found = suffix_dedup.earlier_strings([(least, keys, sizes, text)], 12)
+        monkeypatch.undo()
+        first = {}
+        for key, s, own in zip(keys, snippets, least):
+            for t in range(len(s) - 11):
+                first[key, s[t : t + 12]] = min(own, first.get((key, s[t : t + 12]), 99))
+        expected = [
+            sum((first[key, s[t : t + 12]] < own) << t for t in range(len(s) - 11))
+            for key, s, own in zip(keys, snippets, least)
+        ]
+        # a shard holds several anchors: a string may also be met under another key, never missed under its own
+        together = {}
+        for s, own in zip(snippets, least):
+            for t in range(len(s) - 11):
+                together[s[t : t + 12]] = min(own, together.get(s[t : t + 12], 99))
+        most = [sum((together[s[t : t + 12]] < own) << t for t in range(len(s) - 11)) for s, own in zip(snippets, least)]
+        masks = np.frombuffer(b"".join(found), np.uint32)
+        assert all(int(e) & ~int(m) == 0 and int(m) & ~int(a) == 0 for e, m, a in zip(expected, masks, most))

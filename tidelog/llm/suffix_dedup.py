@@ -5,10 +5,10 @@ Strings of ``length`` bytes are compared through suffix arrays, in three steps o
 1. Each string has an anchor: its ``gram`` bytes with the least hash, which depend on the string alone. Blocks ask which
    anchors two documents hold; text whose anchors are held once cannot repeat and goes no further.
 2. The strings that one anchor serves lie in one snippet of the text. Snippets go to the shard of their anchor, once per
-   block, with the smallest doc_id that holds them there. A shard builds its suffix array by prefix doubling
-   (Larsson-Sadakane: only groups that are still equal are sorted again), takes the common prefixes of neighbours from Kasai's walk,
-   and so finds the classes of equal strings and the smallest doc_id of each. A hot shard is cut into pieces of
-   bounded size, whose sorted classes are merged by binary search.
+   block, with the smallest doc_id that holds them there. Equal snippets become one. Where an anchor has several, a shard
+   builds their suffix array by prefix doubling (Larsson-Sadakane: only groups that are still equal are sorted again), takes
+   the common prefixes of neighbours from Kasai's walk, and so finds the classes of equal strings and the smallest doc_id of
+   each. A hot shard is cut into pieces of bounded size, whose sorted classes are merged by binary search.
 3. Each block learns, by one bit per string, which strings an earlier document of another block holds, and cuts the texts.
 
 Defined results: null text is empty. Rows with one doc_id count as one document: they do not remove from each other,
@@ -198,25 +198,78 @@ def read_payload(payload) -> tuple[np.ndarray, ...]:
 
 
 def earlier_strings(parts: list[tuple[np.ndarray, ...]], length: int) -> list[bytes]:
-    """For each snippet a mask: bit t is set if an earlier document than its own holds the string at t."""
+    """For each snippet a mask: bit t is set if an earlier document than its own holds the string at t.
+
+    Equal snippets of many blocks enter the suffix arrays once, and not at all if their anchor has no other snippet: equal
+    strings have one anchor.
+    """
     least, keys, sizes, text = (np.concatenate(x) for x in zip(*parts))
     sizes = sizes.astype(np.int64)
     starts = np.cumsum(sizes) - sizes
-    masks = np.zeros(len(sizes), dtype=np.uint32)
-    for shard in shards(keys, sizes):
-        classes = []
-        for piece in pieces(shard, sizes):
-            shape = sizes[piece]
-            content = text[ranges(starts[piece], shape)]
-            classes.append((piece, *equal_strings(content, shape, least[piece], length)))
-        if len(classes) > 1:
-            classes = merged(classes)
-        for piece, owner, offset, _, minimum in classes:
-            earlier = minimum < least[piece][owner]
-            np.bitwise_or.at(masks, piece[owner[earlier]], np.uint32(1) << offset[earlier].astype(np.uint32))
+    heads, place = equal_snippets(keys, sizes, starts, text)
+    owners = np.full(len(heads), blocks.NO_DOC)
+    np.minimum.at(owners, place, least)
+    strings = sizes - length + 1
+    masks = np.where(owners[place] < least, (np.uint64(1) << strings.astype(np.uint64)) - np.uint64(1), np.uint64(0))
+    masks = masks.astype(np.uint32)
+    members = np.argsort(place, kind="stable")
+    bounds = np.searchsorted(place[members], np.arange(len(heads) + 1))
+    crowd = heads_in_company(keys[heads])
+    for shard in shards(keys[heads[crowd]], sizes[heads[crowd]]):
+        shard = crowd[shard]
+        first = first_owners(shard, heads, starts, sizes, text, owners, length)
+        copies = np.diff(bounds)[shard]
+        mine = members[ranges(bounds[shard], copies)]
+        for t in range(first.shape[1]):
+            earlier = np.repeat(first[:, t], copies) < least[mine]
+            masks[mine] |= earlier.astype(np.uint32) << np.uint32(t)
     return [m.tobytes() for m in np.split(masks, np.cumsum([len(p[0]) for p in parts])[:-1])]
 
 
+def first_owners(shard, heads, starts, sizes, text, owners, length: int) -> np.ndarray:
+    """Per distinct snippet of the shard and offset: the first document that holds the string there."""
+    shape = sizes[heads[shard]]
+    first = np.full((len(shard), int(shape.max()) - length + 1), blocks.NO_DOC)
+    classes = []
+    for piece in pieces(np.arange(len(shard)), shape):
+        content = text[ranges(starts[heads[shard[piece]]], shape[piece])]
+        classes.append((piece, *equal_strings(content, shape[piece], owners[shard[piece]], length)))
+    if len(classes) > 1:
+        classes = merged(classes)
+    for piece, owner, offset, _, minimum in classes:
+        first[piece[owner], offset] = minimum
+    return first
+
+
+def equal_snippets(keys: np.ndarray, sizes: np.ndarray, starts: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An example of each distinct snippet, in the order of the keys, and the place of every snippet among them."""
+    everything = np.arange(len(sizes))
+    hashes = np.zeros(len(sizes), dtype=np.uint64)
+    for piece in pieces(everything, sizes):
+        ends = np.cumsum(sizes[piece])
+        content = words.BYTE_VALUES[text[ranges(starts[piece], sizes[piece])]]
+        hashes[piece] = words.run_hashes(content, ends - sizes[piece], ends)
+    order = np.lexsort((sizes, hashes, keys))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(keys[order]) != 0) | (np.diff(hashes[order]) != 0) | (np.diff(sizes[order]) != 0)
+    head = np.maximum.accumulate(np.where(new, everything, 0))
+    for piece in pieces(np.flatnonzero(~new), sizes[order]):  # by content: a chance hit of the hash stands alone
+        mine, other = order[piece], order[head[piece]]
+        shape = sizes[mine]
+        same = text[ranges(starts[mine], shape)] == text[ranges(starts[other], shape)]
+        new[piece] = ~np.logical_and.reduceat(same, np.cumsum(shape) - shape)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.searchsorted(np.flatnonzero(new), np.where(new, everything, head))
+    return order[new], place
+
+
+def heads_in_company(keys: np.ndarray) -> np.ndarray:
+    """Places of the ascending keys that occur more than once."""
+    same = np.zeros(len(keys) + 1, dtype=bool)
+    same[1:-1] = keys[1:] == keys[:-1]
+    return np.flatnonzero(same[1:] | same[:-1])
+
+
 def shards(keys: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
     """Snippets by ranges of the anchor's hash, so that equal strings share a shard."""
     count = 2 * int(sizes.sum()) // PIECE + 1
@@ -227,7 +280,9 @@ def shards(keys: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
 
 def pieces(shard: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
     """A shard in parts that one suffix array can hold."""
-    part = np.cumsum(sizes[shard]) // (PIECE - max(256, int(sizes[shard].max())))
+    if not len(shard):
+        return
+    part = np.cumsum(sizes[shard]) // (PIECE - max(256, int(sizes[shard].max(initial=0))))
     yield from np.split(shard, np.flatnonzero(np.diff(part)) + 1)
 
 
