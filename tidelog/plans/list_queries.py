@@ -170,6 +170,20 @@ def filter_attr_stored(spark, sf_dir):
     return rows.select("timestamp", "service", "message")
 
 
+@query(
+    "filter_attr_lookup",
+    over_logs("SELECT timestamp, service, message FROM logs WHERE attributes = '{\"k\": 42}'"),
+)
+def filter_attr_lookup(spark, sf_dir):
+    """The same filter on a table whose later batches keep hashes of the attribute, which their scan looks up."""
+    path = fresh_path(spark, "lookup", sf_dir)
+    logs = tables.logs(spark, sf_dir).withColumn("attributes", F.try_parse_json("attributes"))
+    early = F.col("timestamp") < F.lit(SINCE)
+    LogTable(spark, path).append(logs.filter(early), "sample", 0)
+    LogTable(spark, path, lookups=["k"]).append(logs.filter(~early), "sample", 1)
+    return LogTable(spark, path).rows(LogFilter(attrs={"k": "42.0"})).select("timestamp", "service", "message")
+
+
 # -- listing and paging --------------------------------------------------------
 
 

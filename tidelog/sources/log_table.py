@@ -19,14 +19,16 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 from datetime import date, datetime, time, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.functions import lookups as L
 from tidelog.functions.cursors import Cursor, Walk
 from tidelog.functions.times import utc
 from tidelog.operators import aggregate, hierarchy, ingest, listing, retention, rollup
@@ -76,6 +78,7 @@ class Commit:
     seen: dict[str, int] = field(default_factory=dict)  # highest number of each merged stream
     merged: dict[str, list[list[int]]] = field(default_factory=dict)  # ranges of the merged numbers of each stream
     limits: dict[str, int] = field(default_factory=dict)  # end of the ids of each merged stream
+    lookups: tuple[str, ...] = ()  # attributes whose hashes lie beside the rows
 
     def numbers(self, stream: str) -> list[list[int]]:
         """Ranges of the numbers of a stream that this record commits; older records only know the highest merged one."""
@@ -126,10 +129,12 @@ class Snapshot:
 
 
 class LogTable:
-    def __init__(self, spark: SparkSession, path: str, file_bytes: str = FILE_BYTES):
+    def __init__(self, spark: SparkSession, path: str, file_bytes: str = FILE_BYTES, lookups: Iterable[str] = ()):
+        """``lookups`` names attributes whose values scans of later batches can look up; readers need not name them."""
         self.spark = prepare(spark)
         self.path = path.rstrip("/")
         self.file_bytes = file_bytes
+        self.lookups = tuple(dict.fromkeys(lookups))
 
     # -- reading ---------------------------------------------------------------
 
@@ -286,8 +291,21 @@ class LogTable:
         return aggregate.in_order(counted)
 
     def _accepted(self, now: Snapshot, where: LogFilter | None = None, seen: dict[str, int] | None = None) -> DataFrame:
-        """Accepted rows; with ``seen``, those of no later batch of any stream."""
-        rows = self._entries(now, "accepted", where)
+        """Accepted rows; with ``seen``, those of no later batch of any stream.
+
+        Batches that keep hashes of wanted attributes are scanned for these. The filter itself is left to the caller.
+        """
+        wanted = dict(where.attrs) if where is not None else {}
+        groups: dict[tuple[str, ...], list[Commit]] = {}
+        for c in now.live:
+            groups.setdefault(tuple(k for k in wanted if k in c.lookups), []).append(c)
+        parts = []
+        for keys, commits in groups.items():
+            part = self._entries(now, "accepted", where, commits, keys)
+            for k in keys:
+                part = part.filter(L.could_equal(k, wanted[k]))
+            parts.append(part.select(*ENTRY_SCHEMA.names))
+        rows = reduce(DataFrame.unionByName, parts) if parts else self._entries(now, "accepted")
         if seen is not None and any(c.ends_after(seen) for c in now.live):  # merged with later ones
             stream, number = F.substring_index("origin", "-", 1), F.substring_index("origin", "-", -1).cast("bigint")
             rows = rows.filter(F.coalesce(number <= F.element_at(_as_map(seen), stream), F.lit(False)))
@@ -299,13 +317,14 @@ class LogTable:
         outcome: str,
         where: LogFilter | None = None,
         commits: list[Commit] | None = None,
+        keys: tuple[str, ...] = (),
     ) -> DataFrame:
-        """Rows of the batches, from the folders of the days in range."""
+        """Rows of the batches, from the folders of the days in range, with the hashes of some attributes."""
         folders = []
         for c in now.live if commits is None else commits:
             days = {"accepted": c.days, "rejected": c.rejected_days, "empty": c.empty_days}[outcome]
             folders += _folders(c, f"batch_id={c.batch}/outcome={outcome}", "log_date", _in_range(days, where), days)
-        return self._read("rows", folders, ENTRY_SCHEMA)
+        return self._read("rows", folders, L.extended(ENTRY_SCHEMA, keys))
 
     def _deltas(
         self, now: Snapshot, where: LogFilter | None, commits: list[Commit] | None = None, grain: str = "1m"
@@ -398,7 +417,8 @@ class LogTable:
         if seen["accepted"]:
             limit = max(id_base, ((seen["max_id"] >> ID_ROW_BITS) + 1) << ID_ROW_BITS)
         commit = Commit(
-            stream, number, 0, seen["accepted"], seen["rejected"], limit, *self._days_of(f"{stream}-{number}")
+            stream, number, 0, seen["accepted"], seen["rejected"], limit, *self._days_of(f"{stream}-{number}"),
+            lookups=self.lookups,
         )
         written = self._entries(Snapshot([commit]), "accepted")
         return self._finish(commit, rollup.row_measures(written, F.col("content")))
@@ -410,8 +430,10 @@ class LogTable:
         a hot day is split. Within a file rows are sorted for min/max pruning.
         """
         counted = Observation()
+        hashes = {L.column_name(k): L.stored_hash(F.col("attributes"), k) for k in self.lookups}
         laid_out = (
-            entries.hint("rebalance", "outcome", "log_date")
+            entries.withColumns(hashes)
+            .hint("rebalance", "outcome", "log_date")
             .sortWithinPartitions("outcome", "log_date", "service", "level", "timestamp")
             .observe(
                 counted,
@@ -421,8 +443,11 @@ class LogTable:
             )
         )
         with settings(self.spark, self._writing()):
-            laid_out.write.mode("overwrite").partitionBy("outcome", "log_date").parquet(
-                f"{self.path}/rows/batch_id={batch}"
+            (
+                laid_out.write.mode("overwrite")
+                .options(**L.writer_options(["service", *hashes]))
+                .partitionBy("outcome", "log_date")
+                .parquet(f"{self.path}/rows/batch_id={batch}")
             )
         return counted.get
 
@@ -498,6 +523,7 @@ class LogTable:
             seen=seen,
             merged=merged,
             limits=limits,
+            lookups=self.lookups,
         )
         return self._finish(commit, rollup.total(self._deltas(now, None, small), measures=rollup.MEASURES))
 

@@ -7,7 +7,7 @@ their old minute, and equal entries are stored as often as they come.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +40,7 @@ def start_ingest(
     interval: str | None = None,
     max_service_len: int | None = None,
     stream: str | None = None,
+    lookups: Iterable[str] = (),
 ) -> StreamingQuery:
     """Write a stream of envelopes ``(batch_key, body)`` to a log table.
 
@@ -48,12 +49,14 @@ def start_ingest(
     The stream's progress is recorded after the commit, so a batch that was
     interrupted comes again under its number. Numbers count within ``stream``, whose
     name is made once and kept beside the progress: another stream, or this one with
-    a new checkpoint, adds its rows whatever numbers the table has seen.
+    a new checkpoint, adds its rows whatever numbers the table has seen. ``lookups``
+    names the attributes whose hashes are kept beside the rows.
     """
+    named = tuple(lookups)
     own = stream or _stream_name(envelopes.sparkSession, checkpoint)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        table = LogTable(batch.sparkSession, table_path, FILE_BYTES)
+        table = LogTable(batch.sparkSession, table_path, FILE_BYTES, named)
         table.ingest(batch, own, batch_id, clock(), max_service_len)
 
     writer = envelopes.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
