@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidelog.session import shared_dir
@@ -11,6 +11,23 @@ from tidelog.session import shared_dir
 _ROW_BITS = 33
 
 
+def in_ranges(rows: DataFrame, *order: str | tuple[str, bool], seen: Observation | None = None, **measures: Column) -> DataFrame:
+    """The rows in ranges of a total order, with their partition ``_part`` and a number ``_slot`` that grows with the order.
+
+    ``seen`` is told the ``measures`` of all rows by the job that ranges them.
+    """
+    keys = []
+    for item in order:
+        name, ascending = item if isinstance(item, tuple) else (item, True)
+        keys.append(F.col(name).asc() if ascending else F.col(name).desc())
+    shared_dir(rows.sparkSession)
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    if seen is not None:
+        ranged = ranged.observe(seen, *[measure.alias(name) for name, measure in measures.items()])
+    placed = ranged.checkpoint().withColumn("_slot", F.monotonically_increasing_id())
+    return placed.withColumn("_part", F.shiftright("_slot", _ROW_BITS))
+
+
 def with_positions(rows: DataFrame, *order: str | tuple[str, bool]) -> DataFrame:
     """Add 0-based ``position`` and the ``total`` row count.
 
@@ -21,16 +38,7 @@ def with_positions(rows: DataFrame, *order: str | tuple[str, bool]) -> DataFrame
     checkpointed, because range bounds are sampled anew by each evaluation and
     positions must be read off the same partitions that were counted.
     """
-    keys = []
-    for item in order:
-        name, ascending = item if isinstance(item, tuple) else (item, True)
-        keys.append(F.col(name).asc() if ascending else F.col(name).desc())
-    shared_dir(rows.sparkSession)
-    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).checkpoint()
-    slot = F.monotonically_increasing_id()
-    placed = ranged.withColumn("_slot", slot).withColumn(
-        "_part", F.shiftright("_slot", _ROW_BITS)
-    )
+    placed = in_ranges(rows, *order)
     # One row per partition from here on, whatever the number of rows.
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

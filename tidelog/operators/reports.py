@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.positions import with_positions
+from tidelog.operators.positions import in_ranges
 
 # Reported percentiles.
 PERCENTILES = (50, 95, 99)
 
-# Up to this many kinds the wanted ranks (a few numbers each) are sent to every task.
+# Up to about this many kinds the wanted ranks (a few numbers each) are sent to every task.
 MOST_KINDS = 100_000
 
 
@@ -28,32 +28,33 @@ def latency_summary(samples: DataFrame, kind: str = "kind", value: str = "ms") -
         F.col(value).alias("value"),
         F.monotonically_increasing_id().alias("salt"),
     ).filter(F.col("value").isNotNull())
-    placed = with_positions(salted, "kind", "value", "salt")
-    stats = (
-        placed.groupBy("kind")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("start"), F.max("value").alias("max"))
-        .checkpoint()
+    seen = Observation()
+    placed = in_ranges(salted, "kind", "value", "salt", seen=seen, kinds=F.approx_count_distinct("kind"))
+    # One row per kind and partition that holds it: how many samples of the kind lie before and in it.
+    runs = placed.groupBy("kind", "_part").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("_slot").alias("first"), F.max("value").alias("most")
     )
-    wanted = stats.select(
+    of_kind = Window.partitionBy("kind")
+    before = of_kind.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(
         "kind",
-        "n",
-        "max",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(p).alias("p"),
-                        (F.col("start") + F.ceil(F.lit(p / 100) * F.col("n")) - 1).alias("position"),
-                    )
-                    for p in PERCENTILES
-                ]
-            )
-        ).alias("rank"),
-    ).select("kind", "n", "max", "rank.p", "rank.position")
+        "rows",
+        "first",
+        F.sum("rows").over(of_kind).alias("n"),
+        F.max("most").over(of_kind).alias("max"),
+        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"),
+    )
+    ranks = [F.struct(F.lit(p).alias("p"), (F.ceil(F.lit(p / 100) * F.col("n")) - 1).alias("rank")) for p in PERCENTILES]
+    within = F.col("rank.rank") - F.col("before")
+    wanted = (
+        runs.withColumn("rank", F.explode(F.array(*ranks)))
+        .filter((within >= 0) & (within < F.col("rows")))
+        .select("kind", "n", "max", "rank.p", (F.col("first") + within).alias("_slot"))
+    )
     # The wanted ranks go to the samples: a second exchange of all samples is left to more kinds than are ever reported.
-    if stats.count() <= MOST_KINDS:
+    if seen.get["kinds"] <= MOST_KINDS:
         wanted = F.broadcast(wanted)
-    picked = placed.select("position", "value").join(wanted, "position")
+    picked = placed.select("_slot", "value").join(wanted, "_slot")
     return picked.groupBy("kind", "n", "max").agg(
         *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{p}") for p in PERCENTILES]
     ).select("kind", "n", *[f"p{p}" for p in PERCENTILES], "max")
