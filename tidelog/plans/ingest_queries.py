@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import validation as V
@@ -283,6 +286,30 @@ def stored_batch_status(spark, sf_dir):
     return table.envelopes().drop("batch")
 
 
+@query(
+    "visible_after_each_batch",
+    _STORED_ENVELOPES
+    + """SELECT CAST(b AS INT) AS batch, count(*) AS visible, count(*) AS counted, true AS audited
+    FROM judged JOIN range(3) r(b) ON event_id % 3 <= b WHERE reason IS NULL GROUP BY b""",
+)
+def visible_after_each_batch(spark, sf_dir):
+    """Rows and rollup as they stand after each of three batches, every one of them sent twice: both show a batch at once and once."""
+    table = LogTable(spark, fresh_path(spark, "visible", sf_dir))
+    states = []
+    for number in range(3):
+        sent = tables.envelopes(spark, sf_dir).filter(F.col("event_id") % 3 == number)
+        for _ in ("sent", "sent again"):
+            table.ingest(sent, "sample", number, NOW)
+        rows = table.rows().select(F.lit(1).alias("visible"), F.lit(0).cast("bigint").alias("counted"))
+        counts = table.rollup().select(F.lit(0).alias("visible"), F.col("log_count").alias("counted"))
+        states.append(
+            rows.unionByName(counts)
+            .agg(F.sum("visible").alias("visible"), F.sum("counted").alias("counted"))
+            .select(F.lit(number).alias("batch"), "visible", "counted", F.lit(table.audit_content().isEmpty()).alias("audited"))
+        )
+    return reduce(DataFrame.unionByName, states)
+
+
 # -- streaming -----------------------------------------------------------------
 
 
