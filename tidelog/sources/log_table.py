@@ -536,8 +536,8 @@ class LogTable:
         if not now.live:
             return
         version = max(c.version for c in now.records) + 1
-        for folder in paths.matching(self.spark, f"{self.path}/rollup/batch_id=*/version={version}"):
-            paths.remove(self.spark, folder)  # of an attempt that did not end
+        unfinished = paths.matching(self.spark, f"{self.path}/rollup/batch_id=*/version={version}")
+        paths.each(lambda folder: paths.remove(self.spark, folder), unfinished)
         built = rollup.row_measures(self._entries(now, "accepted"), F.col("content"), "batch_id")
         kept = [_with_deltas(c, [d for d in c.delta_days if d not in set(c.days)]) for c in now.live]
         if any(c.delta_days for c in kept):
@@ -553,22 +553,25 @@ class LogTable:
                 .partitionBy("batch_id", "version", "grain", "bucket_date")
                 .parquet(f"{self.path}/rollup")
             )
-        for commit in now.live:
+
+        def renew(commit: Commit) -> None:
             renewed = replace(commit, version=version)
             days = self._days_in(f"rollup/{_delta_folder(renewed, '1m')}", "bucket_date")
             self._write_record(replace(renewed, delta_days=days))
 
+        paths.each(renew, now.live)
+
     def expire(
         self, now: datetime, days: int = retention.DEFAULT_DAYS, keep_rollups: bool = False
     ) -> list[date]:
         """Drop whole expired days of accepted, rejected and empty rows; no row is rewritten.
 
-        A new record of each batch leaves the days out, rows and rollup together; then their folders go. What an
-        interrupted call has left over is removed by ``vacuum``. Queries that opened the table before and still read
+        A new record of each batch leaves the days out, rows and rollup together; then the folders of all batches go. What
+        an interrupted call has left over is removed by ``vacuum``. Queries that opened the table before and still read
         those days will fail. Rows that arrive later for an expired day stay until the next call.
         """
         last = retention.last_expired_date(now, days).isoformat()
-        dropped = set()
+        dropped, records, folders = set(), [], []
         for c in self.snapshot().live:
             kept = {
                 name: tuple(d for d in getattr(c, name) if d > last) for name in ("days", "rejected_days", "empty_days")
@@ -578,11 +581,11 @@ class LogTable:
             gone = {name: [d for d in getattr(c, name) if d <= last] for name in kept}
             if not any(gone.values()):
                 continue
-            self._write_record(replace(c, **kept, revision=c.revision + 1))
-            for name, expired in gone.items():
-                for folder in (f for day in expired for f in _day_folders(c, name, day)):
-                    paths.remove(self.spark, f"{self.path}/{folder}")
+            records.append(replace(c, **kept, revision=c.revision + 1))
+            folders += [f for name, expired in gone.items() for day in expired for f in _day_folders(c, name, day)]
             dropped |= {*gone["days"], *gone.get("delta_days", ())}
+        paths.each(self._write_record, records)
+        paths.each(lambda folder: paths.remove(self.spark, f"{self.path}/{folder}"), folders)
         return sorted(map(date.fromisoformat, dropped))
 
     def vacuum(self) -> list[str]:

@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
+
 from pyspark.sql import SparkSession
 
+AT_ONCE = 16  # requests to a file system side by side
+Item, Result = TypeVar("Item"), TypeVar("Result")
+
+
+def each(act: Callable[[Item], Result], items: Iterable[Item]) -> list[Result]:
+    """Act on every item, several at once: a store answers many small requests in the time of a few."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(act, items))
+
 
 def _open(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
