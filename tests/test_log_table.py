@@ -282,6 +282,15 @@ def test_a_hot_day_is_written_by_several_tasks(spark, tmp_path):
     assert table.rows().select("id").distinct().count() == 40_000
 
 
+def test_rows_of_one_scan_task_are_written_by_several(spark, tmp_path):
+    """Refused envelopes are all of one day: a task with many of them must not hand them to a single other one."""
+    table = LogTable(spark, str(tmp_path / "refused"), file_bytes="1MB")
+    sent = spark.range(0, 600_000, 1, 1).select(F.sha2(F.col("id").cast("string"), 256).alias("batch_key"), F.lit("").alias("body"))
+    assert table.ingest(sent, "s", 0, NOW).rejected == 600_000
+    assert len(table.rejects().inputFiles()) > 1
+    assert table.rejects().select("batch_key").distinct().count() == 600_000
+
+
 def test_streams_add_up(spark, table):
     logs = spark.range(3).select(
         F.lit("2026-07-18 10:00:00").cast("timestamp").alias("timestamp"),

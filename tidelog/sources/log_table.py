@@ -42,9 +42,13 @@ ID_ROW_BITS = 22
 _SLOT_ROW_BITS = 33
 _MOST_TASKS = 1 << 20
 
-# Shuffled bytes that make one file of rows. Rows shrink about tenfold in Parquet, so
-# Spark's 64 MB would leave small files. With little data Spark still uses all cores.
-FILE_BYTES = "512MB"
+# Shuffled bytes that one task sorts and writes. Rows take some ten times as much in the memory of the
+# sort, so this decides what a task needs, whatever the size of the batch. With little data Spark still uses all cores.
+FILE_BYTES = "32MB"
+
+# Only what several scan tasks send to a partition can be split there, so after this many rows a scan task sends further rows
+# of the same day elsewhere. Rejected and empty rows are those of a single day, the day of arrival, in any batch.
+_ACCEPTED_RUN_BITS, _OTHER_RUN_BITS = 20, 18
 
 # Batches below this many rows are merged by compaction; larger ones are left alone.
 COMPACT_BELOW = 50_000_000
@@ -430,10 +434,14 @@ class LogTable:
         a hot day is split. Within a file rows are sorted for min/max pruning.
         """
         counted = Observation()
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _SLOT_ROW_BITS) - 1))
+        run = F.when(F.col("outcome") == "accepted", F.shiftright(row, _ACCEPTED_RUN_BITS)).otherwise(F.shiftright(row, _OTHER_RUN_BITS))
         hashes = {L.column_name(k): L.stored_hash(F.col("attributes"), k) for k in self.lookups}
         laid_out = (
             entries.withColumns(hashes)
-            .hint("rebalance", "outcome", "log_date")
+            .withColumn("_run", run)
+            .hint("rebalance", "outcome", "log_date", "_run")
+            .drop("_run")
             .sortWithinPartitions("outcome", "log_date", "service", "level", "timestamp")
             .observe(
                 counted,
