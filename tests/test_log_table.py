@@ -14,7 +14,9 @@ from tidelog.operators import rollup
 from tidelog.operators.filters import LogFilter
 from tidelog.operators.listing import fetch_page
 from tidelog.operators.retention import parse_retention_days
+from tidelog.sources.envelopes import stream_envelopes
 from tidelog.sources.log_table import ID_ROW_BITS, LogTable
+from tidelog.streaming.ingest_stream import start_ingest
 
 
 def body(times, level="info", service="auth"):
@@ -291,6 +293,25 @@ def test_rows_of_one_scan_task_are_written_by_several(spark, tmp_path):
     assert table.rejects().select("batch_key").distinct().count() == 600_000
 
 
+def test_a_writing_task_sorts_a_bounded_share(spark, tmp_path):
+    """Rows take some fourteen times their shuffled bytes in a sort; tables and streams write alike."""
+    bytes_a_task = []
+
+    def writing(self, *args):
+        bytes_a_task.append(int(self._writing()["spark.sql.adaptive.advisoryPartitionSizeInBytes"].removesuffix("MB")))
+        return ingest(self, *args)
+
+    ingest, LogTable.ingest = LogTable.ingest, writing
+    try:
+        (tmp_path / "in").mkdir()
+        (tmp_path / "in" / "a.json").write_text(body([DAY1]))
+        start_ingest(stream_envelopes(spark, str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c"), clock=lambda: NOW).awaitTermination()
+        LogTable(spark, str(tmp_path / "t")).ingest(envelopes(spark, body([DAY2])), "s", 0, NOW)
+    finally:
+        LogTable.ingest = ingest
+    assert len(bytes_a_task) == 2 and max(bytes_a_task) <= 64
+
+
 def test_streams_add_up(spark, table):
     logs = spark.range(3).select(
         F.lit("2026-07-18 10:00:00").cast("timestamp").alias("timestamp"),

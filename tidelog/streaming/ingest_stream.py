@@ -16,10 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 from tidelog.sources import paths
 from tidelog.sources.log_table import LogTable
 
-# Smaller than in the table's own jobs: a micro-batch mostly falls on one day, and this
-# size decides how many tasks write it. Compaction makes large files of it later.
-FILE_BYTES = "128MB"
-
 
 def _clock() -> datetime:
     return datetime.now(timezone.utc)
@@ -56,7 +52,7 @@ def start_ingest(
     own = stream or _stream_name(envelopes.sparkSession, checkpoint)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        table = LogTable(batch.sparkSession, table_path, FILE_BYTES, named)
+        table = LogTable(batch.sparkSession, table_path, lookups=named)
         table.ingest(batch, own, batch_id, clock(), max_service_len)
 
     writer = envelopes.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
