@@ -4,9 +4,11 @@ import json
 import threading
 
 import pytest
-from conftest import NOW
+from conftest import NOW, SF_DIR, plan_of
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registry
+from tidelog.plans import ingest_queries
 from tidelog.sources import id_space
 from tidelog.sources.envelopes import stream_envelopes
 from tidelog.sources.log_table import LogTable
@@ -117,3 +119,21 @@ def test_ids_go_on_after_compaction(spark, tmp_path):
     table.append(rows(spark, 10), "a", 3)
     assert table.rows().count() == 70 == table.rows().select("id").distinct().count()
     assert len(parts(table)) == 2
+
+
+def test_ids_are_counted_in_shares(spark, tmp_path, monkeypatch):
+    """No task combines the ids of whole files, nor sees its rows twice; shares grow in number with the rows."""
+    monkeypatch.setattr(ingest_queries, "_IDS_A_TASK", 100)
+    table = LogTable(spark, str(tmp_path / "logs"))
+    table.append(rows(spark, 950), "a", 0)
+    assert ingest_queries._by_id(table).count() == 950
+    assert "hashpartitioning(id" in plan_of(ingest_queries._by_id(table)) and ", 10)" in plan_of(ingest_queries._by_id(table))
+    for name in ("ids_unique", "ids_unique_two_streams"):
+        found = registry.queries()[name](spark, SF_DIR)
+        plan = plan_of(found)
+        assert "Expand" not in plan and plan.rindex("REPARTITION_BY_NUM") > plan.rindex("Aggregate")
+        assert found.first()["rows"] == found.first()["ids"] > 0
+
+
+def test_no_ids(spark, tmp_path):
+    assert ingest_queries._by_id(LogTable(spark, str(tmp_path / "none"))).count() == 0
