@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import NOW
+from conftest import NOW, utc
 from pyspark.sql import functions as F
 
 from tidelog.functions.cursors import Cursor, Walk
@@ -101,3 +101,52 @@ def test_a_paced_stream_brings_everything_in(spark, tmp_path):
     assert len({r["batch"] for r in told}) == len(told)
     rates = throughput(batch_rates(spark, paced), F.col("rows")).first()
     assert 0 < rates["accepted"] <= 12
+
+
+def test_a_walk_reads_ahead(spark, tmp_path):
+    """Far fewer jobs than pages, and every page as if it were the first to be read."""
+    table = LogTable(spark, str(tmp_path / "logs"))
+    table.append(rows(spark, "a", 900, 300), "a", 0)
+    table.append(rows(spark, "b", 300, 7), "b", 0)
+    expected = [r["message"] for r in table.rows().orderBy(F.col("timestamp").desc(), F.col("id").desc()).collect()]
+    spark.sparkContext.setJobGroup("ahead", "a walk")
+    found = walked(table, 10)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("ahead"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == expected and jobs < 60  # 120 pages
+
+
+def test_pages_read_ahead_hold_no_expired_days(spark, tmp_path):
+    table = LogTable(spark, str(tmp_path / "logs"))
+    table.append(rows(spark, "a", 60, 21_600), "a", 0)
+    place, got = None, []
+    for _ in range(4):  # three more pages are read with the fourth
+        page = table.walk(LogFilter(), 4, place)
+        got += page.logs
+        place = page.next_cursor
+    held = table._ahead.pages
+    assert place in held and len(held) >= 2
+    last = utc(got[-1]["timestamp"][:19].replace("T", " "))
+    table.expire(last, 1)  # days that the next pages reach
+    fresh = LogTable(spark, table.path)
+    while place is not None:
+        page, same = table.walk(LogFilter(), 4, place), fresh.walk(LogFilter(), 4, place)
+        assert page == same
+        got += page.logs
+        place = page.next_cursor
+    assert len(got) < 60 and len({e["id"] for e in got}) == len(got)
+
+
+def test_walks_side_by_side_and_other_limits(spark, tmp_path):
+    table = LogTable(spark, str(tmp_path / "logs"))
+    table.append(rows(spark, "a", 80), "a", 0)
+    expected = [r["message"] for r in table.rows().orderBy(F.col("timestamp").desc(), F.col("id").desc()).collect()]
+    places, out = [None, None], [[], []]
+    for _ in range(4):
+        for i, limit in enumerate((5, 20)):
+            page = table.walk(LogFilter(), limit, places[i])
+            out[i] += [e["message"] for e in page.logs]
+            places[i] = page.next_cursor
+    assert out == [expected[:20], expected] and places[1] is None
+    page = table.walk(LogFilter(), 60, places[0])
+    assert [e["message"] for e in page.logs] == expected[20:] and page.next_cursor is None

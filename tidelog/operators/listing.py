@@ -83,23 +83,29 @@ class Page:
     next_cursor: str | None
 
 
-def fetch_page(logs: DataFrame, limit: int = DEFAULT_LIMIT) -> Page:
-    """A page on the driver (at most 1001 rows)."""
+def fetch_pages(logs: DataFrame, limit: int = DEFAULT_LIMIT, most: int = 1) -> list[Page]:
+    """The first pages on the driver, found together: at most ``most`` of them, with one row more. The first may be empty."""
     check_limit(limit)
     rows = (
         newest_first(logs)
-        .limit(limit + 1)
+        .limit(limit * most + 1)
         .select(
             cursor_token(F.col("timestamp"), F.col("id")).alias("token"),
             F.struct(*entry_columns(logs)).alias("entry"),
         )
         .collect()
     )
-    kept = rows[:limit]
-    return Page(
-        [row["entry"].asDict() for row in kept],
-        kept[-1]["token"] if len(rows) > limit else None,
-    )
+    pages = []
+    for start in range(0, max(1, min(len(rows), limit * most)), limit):
+        kept = rows[start : start + limit]
+        more = len(rows) > start + limit
+        pages.append(Page([row["entry"].asDict() for row in kept], kept[-1]["token"] if more else None))
+    return pages
+
+
+def fetch_page(logs: DataFrame, limit: int = DEFAULT_LIMIT) -> Page:
+    """A page on the driver (at most 1001 rows)."""
+    return fetch_pages(logs, limit)[0]
 
 
 def positioned(logs: DataFrame) -> DataFrame:

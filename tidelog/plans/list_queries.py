@@ -342,6 +342,7 @@ def page_index(spark, sf_dir):
 
 
 _WALKED = LogFilter(service="ledger", level="warn")
+_KEPT_IDS = 50_000  # ids of a walk that the driver holds
 
 
 @query(
@@ -355,17 +356,21 @@ def walk_under_ingest(spark, sf_dir):
     logs = tables.logs(spark, sf_dir).withColumn("attributes", F.try_parse_json("attributes"))
     for part in range(2):
         table.append(logs.filter(F.col("id") % 2 == part), f"s{part}", 0)
-    late = _WALKED.apply(logs)
-    place, pages = None, []
+    late, kept = _WALKED.apply(logs), fresh_path(spark, "walked", sf_dir)
+    place, pages, ids = None, 0, []
     while place is not None or not pages:
         page = table.walk(_WALKED, 200, place)
-        pages.append(spark.createDataFrame([(e["id"],) for e in page.logs], "id string"))
+        pages += 1
+        ids += [(int(e["id"]),) for e in page.logs]
         place = page.next_cursor
-        if len(pages) <= 3:
-            table.append(late, "s0", len(pages))
-        if len(pages) == 2:
+        if pages <= 3:
+            table.append(late, "s0", pages)
+        if pages == 2:
             table.compact()
-    walked = reduce(DataFrame.unionByName, pages).groupBy(F.col("id").cast("bigint").alias("id"))
+        if place is None or len(ids) >= _KEPT_IDS:
+            spark.createDataFrame(ids, "id bigint").coalesce(1).write.mode("append").parquet(kept)
+            ids = []
+    walked = spark.read.schema("id bigint").parquet(kept).groupBy("id")
     times = walked.agg(F.count(F.lit(1)).cast("int").alias("times"))
     return table.rows().join(times, "id").select("timestamp", "message", "times")
 

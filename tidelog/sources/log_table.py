@@ -59,6 +59,10 @@ MERGED = "merged"  # the stream of compaction
 # More commit records than this are read by a Spark job instead of one by one.
 _READ_SINGLY = 32
 
+# A walk that goes on page after page reads ahead, twice as many pages each time, up to so many rows and about so many letters.
+_AHEAD_ROWS = 16_000
+_AHEAD_LETTERS = 16_000_000
+
 # Times that carry file statistics, so that time bounds skip row groups.
 _TIMES = {"spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS"}
 
@@ -132,6 +136,21 @@ class Snapshot:
         return {s for c in self.records for s in c.streams}
 
 
+@dataclass
+class _Ahead:
+    """Pages of a walk by their places, read together with one that was asked for; they hold while the batches of the walk stay as they are."""
+
+    asked: tuple[LogFilter, int]
+    shown: list[Commit]
+    most: int
+    pages: dict[str | None, listing.Page]
+    end: str | None  # the place after the last of them
+    longest: int  # letters of the longest page so far
+
+    def follows(self, asked: tuple[LogFilter, int], place: str | None) -> bool:
+        return place is not None and self.asked == asked and (place == self.end or place in self.pages)
+
+
 class LogTable:
     def __init__(self, spark: SparkSession, path: str, file_bytes: str = FILE_BYTES, lookups: Iterable[str] = ()):
         """``lookups`` names attributes whose values scans of later batches can look up; readers need not name them."""
@@ -139,6 +158,7 @@ class LogTable:
         self.path = path.rstrip("/")
         self.file_bytes = file_bytes
         self.lookups = tuple(dict.fromkeys(lookups))
+        self._ahead: _Ahead | None = None
 
     # -- reading ---------------------------------------------------------------
 
@@ -248,21 +268,27 @@ class LogTable:
         """A page of the stored log on the driver; its cursor goes into the filter of the next."""
         return self._page(self.snapshot(), where, limit)
 
-    def _page(self, now: Snapshot, where: LogFilter, limit: int, seen: dict[str, int] | None = None) -> listing.Page:
-        page = None
+    def _page(self, now: Snapshot, where: LogFilter, limit: int) -> listing.Page:
+        return self._pages(now, where, limit)[0]
+
+    def _pages(
+        self, now: Snapshot, where: LogFilter, limit: int, seen: dict[str, int] | None = None, most: int = 1
+    ) -> list[listing.Page]:
+        """One page or more: those that the newest days that fill one hold."""
         for part in self._spans(now, where):
-            page = listing.fetch_page(part.apply(self._accepted(now, part, seen)), limit)
-            if page.next_cursor is not None:  # full, and more rows follow
-                break
-        return page
+            pages = listing.fetch_pages(part.apply(self._accepted(now, part, seen)), limit, most)
+            full = [p for p in pages if p.next_cursor is not None]  # and more rows follow
+            if full and part is not where:
+                return full
+        return pages
 
     def walk(self, where: LogFilter, limit: int = listing.DEFAULT_LIMIT, place: str | None = None) -> listing.Page:
         """A page of a walk that shows the table as it was at the first page, whatever is stored or merged meanwhile.
 
         ``place`` is the ``next_cursor`` of the page before. It names the last batch of every stream that the walk began with;
-        rows of later batches, also those with older times, are left for another walk.
+        rows of later batches, also those with older times, are left for another walk. A walk that goes on reads ahead.
         """
-        now = self.snapshot()
+        now, asked = self.snapshot(), (where, listing.check_limit(limit))
         if place is None:
             seen = {s: max(high for c in now.live for _, high in c.numbers(s)) for s in now.streams}
         else:
@@ -270,10 +296,30 @@ class LogTable:
             if found is None:
                 raise ValueError("not a place in a walk")
             seen, where = found.seen, replace(where, cursor=found.cursor)
-        page = self._page(Snapshot([c for c in now.live if c.begins(seen)]), where, limit, seen)
-        if page.next_cursor is None:
-            return page
-        return listing.Page(page.logs, Walk(Cursor.decode(page.next_cursor), seen).encode())
+        shown = [c for c in now.live if c.begins(seen)]
+        ahead = self._ahead
+        if ahead is None or ahead.shown != shown or ahead.asked != asked or place not in ahead.pages:
+            ahead = self._ahead = self._read_ahead(asked, shown, where, seen, place)
+        return ahead.pages.pop(place)
+
+    def _read_ahead(
+        self, asked: tuple[LogFilter, int], shown: list[Commit], where: LogFilter, seen: dict[str, int], place: str | None
+    ) -> _Ahead:
+        """The page at a place, and further ones if the walk came here page by page. One page after another, each
+        would cost a scan of its days."""
+        before, limit = self._ahead, asked[1]
+        most, longest = 1, 0
+        if before is not None and before.follows(asked, place):
+            longest = before.longest
+            bound = min(_AHEAD_ROWS // limit, _AHEAD_LETTERS // max(1, longest))
+            most = max(1, min(bound, 2 * before.most if place == before.end else before.most))
+        pages: dict[str | None, listing.Page] = {}
+        for page in self._pages(Snapshot(shown), where, limit, seen, most):
+            following = page.next_cursor and Walk(Cursor.decode(page.next_cursor), seen).encode()
+            longest = max(longest, sum(len(v or "") for entry in page.logs for v in entry.values()))
+            pages[place] = listing.Page(page.logs, following)
+            place = following
+        return _Ahead(asked, shown, most, pages, place, longest)
 
     def counts(
         self, where: LogFilter, bucket: str, group_by: str | None = None, exact: bool = False
